@@ -1,0 +1 @@
+"""No stream source, watermark or stateful stream operator belongs to the covered work."""
