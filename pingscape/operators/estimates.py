@@ -179,7 +179,8 @@ def merge_context(estimates: DataFrame, econ: DataFrame, names: DataFrame, regio
     cols = ["dwells_shops", "dwells_shops_ma", "dwells_shops_norm"]
 
     def level(sums: DataFrame, name: str, tag: str) -> DataFrame:
-        keyed = shop_index(sums, name).join(lookup, F.col(name) == F.col("NAME_1"))
+        named = lookup.select(F.col("NAME_1").alias("unit"), "region_english").withColumnRenamed("unit", name)
+        keyed = shop_index(sums, name).join(named, name)
         unique = first_row(
             keyed.select("day", "region_english", name, *cols), ["day", "region_english"], [F.col(name)]
         )

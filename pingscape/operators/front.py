@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import ZONE_RADIUS_KM
 from ..functions.geo import grid_cell, planar, x_km, y_km
 from ..sources.tables import date_of_column_name
+from .checkpoints import cut
 from .joins import first_row, reference_join
 
 SIDES = ("RU", "UA")
@@ -89,11 +90,12 @@ def front_distance(
     """
     px = x_km(F.col("longitude_center"), lat0)
     py = y_km(F.col("latitude_center"))
-    placed = points.select(*keys, "day", px.alias("x"), py.alias("y")).withColumns(
+    # points and lenses are each read several times below, so both are stored once
+    placed = cut(points.select(*keys, "day", px.alias("x"), py.alias("y")).withColumns(
         {"area_x": grid_cell(F.col("x"), area), "area_y": grid_cell(F.col("y"), area)}
-    )
+    ))
     areas = placed.select("day", "area_x", "area_y").distinct()
-    near = _area_lenses(areas, lenses, area, radius)
+    near = cut(_area_lenses(areas, lenses, area, radius))
     joined = reference_join(placed, near, ["day", "area_x", "area_y"], "inner", spread=keys)
     distance = lens_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")], radius)
     return joined.groupBy(*keys).agg(F.min(distance).alias("distance_to_front"))
@@ -107,7 +109,7 @@ def _area_lenses(areas: DataFrame, lenses: DataFrame, area: float, radius: float
     """
     middle = {"tile_x": grid_cell((F.col("ax") + F.col("bx")) / 2, area),
               "tile_y": grid_cell((F.col("ay") + F.col("by")) / 2, area)}
-    tiled = lenses.withColumns(middle)
+    tiled = cut(lenses.withColumns(middle))
     tiles = tiled.select("day", "tile_x", "tile_y").distinct()
     dx, dy = F.abs(F.col("area_x") - F.col("tile_x")), F.abs(F.col("area_y") - F.col("tile_y"))
     zero = F.lit(0).cast("long")

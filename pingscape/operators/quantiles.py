@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 from .joins import salted_join
 
 
@@ -14,12 +15,17 @@ def group_quantiles(
 
     A percentile sketch of bounded size gives, for each wanted rank, a narrow value range that must
     contain it.  Only the distinct values inside the ranges are then ordered; rows below a range are
-    just counted.  No task holds a group.
+    just counted.  No task holds a group.  The values are stored once and read for every step.
     """
-    keys = list(keys)
+    return _quantiles(cut(_values(df, keys, value)), list(keys) or ["all_rows"], probs, accuracy).drop("all_rows")
+
+
+def _values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     data = df.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    if not keys:
-        data, keys = data.withColumn("all_rows", F.lit(1)), ["all_rows"]
+    return data if keys else data.withColumn("all_rows", F.lit(1))
+
+
+def _quantiles(data: DataFrame, keys: list[str], probs: dict[str, float], accuracy: int = 10000) -> DataFrame:
     slack = 3.0 / accuracy
     names = list(probs)
 
@@ -76,17 +82,16 @@ def group_quantiles(
     wide = found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names]
     )
-    return wide.drop("all_rows")
+    return wide
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean, sample sd, min, quartiles and max of a column per group."""
-    v = F.col(value).cast("double")
-    basic = df.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
+    data = cut(_values(df, keys, value))
+    keys = list(keys) or ["all_rows"]
+    basic = data.groupBy(*keys).agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
     )
-    quart = group_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    if keys:
-        return basic.join(quart, keys, "left")
-    return basic.withColumn("j", F.lit(1)).join(quart.withColumn("j", F.lit(1)), "j", "left").drop("j")
+    quart = _quantiles(data, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return basic.join(quart, keys, "left").drop("all_rows")

@@ -184,11 +184,174 @@ SQL = {
 NEEDS = {"pings": ["raw_pings"]}
 
 
-def with_views(*names: str) -> str:
-    """`WITH a AS (...), b AS (...)` for the named views and what they need."""
+def with_views(*names: str, recursive: bool = False) -> str:
+    """`WITH a AS (...), b AS (...)` for the named views and everything they need."""
     order: list[str] = []
+
+    def add(name: str) -> None:
+        for part in NEEDS.get(name, []):
+            add(part)
+        if name not in order:
+            order.append(name)
+
     for name in names:
-        for part in [*NEEDS.get(name, []), name]:
-            if part not in order:
-                order.append(part)
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
+        add(name)
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(f"{n} AS ({SQL[n]})" for n in order) + "\n"
+
+
+def _chain(name: str, needs: list[str], text: str) -> None:
+    SQL[name], NEEDS[name] = text, needs
+
+
+def _chord(a: str, b: str, c: str, d: str) -> str:
+    """Chord in metres from (a lat, b lon) to (c lat, d lon)."""
+    return (
+        f"2*6378000*sqrt(pow(sin((radians({c})-radians({a}))/2),2)"
+        f"+cos(radians({a}))*cos(radians({c}))*pow(sin((radians({d})-radians({b}))/2),2))"
+    )
+
+
+def sql_arc(a: str, b: str, c: str, d: str, radius: float = 6371009) -> str:
+    return (
+        f"2*{radius}*asin(sqrt(pow(sin((radians({c})-radians({a}))/2),2)"
+        f"+cos(radians({a}))*cos(radians({c}))*pow(sin((radians({d})-radians({b}))/2),2)))"
+    )
+
+
+def sql_time(epoch: str) -> str:
+    return f"strftime(make_timestamp(cast({epoch} as bigint)*1000000), '%Y-%m-%d %H:%M:%S')"
+
+
+def sql_day(epoch: str) -> str:
+    return f"strftime(make_timestamp(cast({epoch} as bigint)*1000000), '%Y-%m-%d')"
+
+
+# --- panel and event panel; minutes and alert times are local epoch seconds ---------------------
+_chain("lagged", ["pings"], """select *, lag(latitude) over w as plat, lag(longitude) over w as plon,
+    lag(utc_timestamp) over w as pt from pings
+    window w as (partition by caid order by utc_timestamp, latitude, longitude)""")
+_chain("speeds", ["lagged"], f"""select *, utc_timestamp-pt as time_diff,
+    {_chord('plat', 'plon', 'latitude', 'longitude')} as distance,
+    3.6*{_chord('plat', 'plon', 'latitude', 'longitude')}/nullif(utc_timestamp-pt, 0) as kmh from lagged""")
+_chain("minutes", ["speeds"], f"""select caid, (utc_timestamp+{ZONE_S})//60*60 as minute,
+    (utc_timestamp+{ZONE_S})//86400*86400 as day, avg(kmh) as kmh_avg, avg(distance) as distance_avg,
+    sum(distance) as distance_sum, avg(longitude) as longitude_center, avg(latitude) as latitude_center,
+    avg(altitude) as altitude_avg from speeds where kmh <= 300 group by 1, 2, 3""")
+_chain("local_alerts", ["alerts"], f"""select region_english, start_s+{ZONE_S} as start_dt,
+    end_s+{ZONE_S} as end_dt from alerts""")
+_chain("located", ["minutes", "boxes"], """select m.*, b.region_english from minutes m join boxes b
+    on longitude_center > x0 and longitude_center < x1 and latitude_center > y0 and latitude_center < y1""")
+_chain("matched", ["located", "local_alerts"], """select l.*, a.start_dt, a.end_dt from located l
+    left join local_alerts a on l.region_english = a.region_english and l.minute between a.start_dt and a.end_dt""")
+_chain("panel", ["matched"], """select caid, minute, day, any_value(kmh_avg) as kmh_avg,
+    any_value(distance_avg) as distance_avg, any_value(distance_sum) as distance_sum,
+    any_value(longitude_center) as longitude_center, any_value(latitude_center) as latitude_center,
+    any_value(altitude_avg) as altitude_avg,
+    first(region_english order by start_dt nulls last, region_english) as region_english,
+    max(case when start_dt is not null then 1 else 0 end) as alert,
+    min(start_dt) as start_raid_min, max(end_dt) as end_raid_max from matched group by 1, 2, 3""")
+_chain("city_panel", ["panel", "cities"], """select p.*, c.city, case when c.city is null then 1 else 0 end as rural
+    from panel p left join cities c on longitude_center > x0 and longitude_center < x1
+    and latitude_center > y0 and latitude_center < y1""")
+_chain("good_days", ["city_panel"], """select * from city_panel anti join
+    (select caid, day from city_panel group by 1, 2
+     having not (sum(distance_sum) > 0 and sum(distance_sum) < 100000)) using (caid, day)""")
+_chain("nexts", ["good_days"], """select * from (select *, minute - start_raid_next as time_to_raid from
+    (select * replace (start_raid_min//60*60 as start_raid_min),
+     last_value(start_raid_min//60*60 ignore nulls) over (partition by caid order by minute desc) as start_raid_next
+     from good_days where region_english is not null)) where time_to_raid is not null""")
+_chain("anchors", ["nexts"], """select caid, start_raid_next, region_english,
+    arg_max(latitude_center, time_to_raid) as lat_pre, arg_max(longitude_center, time_to_raid) as lon_pre
+    from nexts where time_to_raid between -86400 and -0.1 and latitude_center <> 0 group by 1, 2, 3""")
+_chain("anchored", ["nexts", "anchors"], f"""select n.*, case when latitude_center <> 0 and lat_pre <> 0 then
+    {_chord('latitude_center', 'longitude_center', 'lat_pre', 'lon_pre')} end as distance_point
+    from nexts n left join anchors using (caid, start_raid_next, region_english)""")
+_chain("windowed", ["anchored"], "select * from anchored where time_to_raid between -1800 and 1800")
+_chain("balanced", ["windowed"], """select * from windowed join (select start_raid_next, region_english,
+    count(distinct minute) as minute_count from windowed group by 1, 2 having count(distinct minute) = 61)
+    using (start_raid_next, region_english)""")
+_chain("event_panel", ["balanced"], """select *, case when time_to_raid >= -600 then time_to_raid else -1 end
+    as time_to_raid_post from balanced""")
+
+
+def sql_effects(source: str, y: str, keys: str = "start_raid_next, region_english") -> str:
+    """Cell means minus the base mean (or the minimum-norm constant) for a table of event rows."""
+    return f"""select {keys}, cell, n, m - coalesce(base_m, case when k = 1 then 0 else total_m/(k+1) end) as b from
+    (select *, max(case when cell = -1 then m end) over g as base_m,
+     count(case when cell <> -1 then 1 end) over g as k,
+     sum(case when cell <> -1 then m end) over g as total_m from
+     (select {keys}, time_to_raid_post as cell, avg({y}) as m, count({y}) as n from {source}
+      where {y} is not null group by all) window g as (partition by {keys})) where cell <> -1"""
+
+
+_chain("effects", ["event_panel"], sql_effects("event_panel", "distance_sum"))
+
+# --- stays ---------------------------------------------------------------------------------------
+_chain("numbered", ["pings"], """select *, row_number() over (partition by caid
+    order by utc_timestamp, latitude, longitude) - 1 as pos, count(*) over (partition by caid) as n from pings""")
+_chain("near", ["numbered"], f"""select a.caid, a.pos, a.n, a.utc_timestamp as t, b.pos as q, b.utc_timestamp as qt
+    from numbered a join numbered b on a.caid = b.caid and b.pos between a.pos-18 and a.pos+18 and a.pos <> b.pos
+    where {sql_arc('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 25""")
+_chain("spans", ["near"], """select caid, pos, any_value(n) as n, least(any_value(t), min(qt)) as s,
+    greatest(any_value(t), max(qt)) as e from near group by 1, 2""")
+_chain("cores", ["spans"], "select * from spans where e - s >= 60 and pos <= n - 1 - 18")
+_chain("stay_cores", ["cores"], """select *, sum(fresh) over (partition by caid order by pos) - 1 as group_no from
+    (select *, case when s <= max(e) over (partition by caid order by pos rows between unbounded preceding
+     and 1 preceding) then 0 else 1 end as fresh from cores)""")
+_chain("members", ["near", "stay_cores"], """select distinct c.caid, c.group_no, near.q as pos
+    from stay_cores c join near on near.caid = c.caid and near.pos = c.pos""")
+_chain("stays", ["members", "numbered"], """select caid, group_no, avg(latitude) as latitude,
+    avg(longitude) as longitude, min(utc_timestamp) as utc_timestamp_start,
+    max(utc_timestamp)-min(utc_timestamp) as stay_length_sec, count(*) as n_members
+    from members join numbered using (caid, pos) group by 1, 2""")
+
+# --- homes (EET is UTC+2 in the months of the data) -----------------------------------------------
+HOME_SPAN = ("2023-12-20", "2024-03-20")
+_chain("nights", ["dwells"], f"""select caid, latitude, longitude, utc_timestamp_start+7200 as t_local,
+    (utc_timestamp_start+7200+stay_length_sec)//86400 - (utc_timestamp_start+7200)//86400 as num_days
+    from dwells where stay_length_sec > 7200
+    and utc_timestamp_start+7200 between epoch(timestamp '{HOME_SPAN[0]}') and epoch(timestamp '{HOME_SPAN[1]}')
+    and (utc_timestamp_start+7200+stay_length_sec)//86400 <> (utc_timestamp_start+7200)//86400""")
+_chain("centres", [], f"""select cast(date '{HOME_SPAN[0]}' + (1 + 30*k)::integer as date) as start_date
+    from range(0, 100) t(k) where 1 + 30*k < date '{HOME_SPAN[1]}' - date '{HOME_SPAN[0]}'""")
+_chain("night_windows", ["nights", "centres"], """select start_date, n.* from nights n join centres
+    on t_local between epoch(start_date - 21) and epoch(start_date + 21)""")
+_chain("night_places", ["night_windows"], """select start_date, caid, latitude, longitude, sum(num_days) as weight
+    from night_windows semi join (select start_date, caid from night_windows group by 1, 2
+    having sum(num_days) >= 4) using (start_date, caid) group by 1, 2, 3, 4""")
+_chain("place_ids", ["night_places"], """select *, row_number() over
+    (partition by start_date, caid order by latitude, longitude) as id from night_places""")
+_chain("close_places", ["place_ids"], f"""select a.start_date, a.caid, a.id, b.id as other, b.weight as other_w
+    from place_ids a join place_ids b using (start_date, caid)
+    where {sql_arc('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude', 6371)} <= 0.05""")
+_chain("core_places", ["close_places"], """select start_date, caid, id from close_places group by 1, 2, 3
+    having sum(other_w) >= 3""")
+_chain("core_links", ["close_places", "core_places"], """select c.start_date, c.caid, c.id, c.other
+    from close_places c semi join core_places p on c.start_date = p.start_date and c.caid = p.caid and c.id = p.id
+    semi join core_places q on c.start_date = q.start_date and c.caid = q.caid and c.other = q.id""")
+_chain("reach", ["core_links"], """select start_date, caid, id, id as low from core_links
+    union select l.start_date, l.caid, l.other, r.low from reach r join core_links l
+    on r.start_date = l.start_date and r.caid = l.caid and r.id = l.id""")
+_chain("core_labels", ["reach"], "select start_date, caid, id, min(low) as label from reach group by 1, 2, 3")
+_chain("place_labels", ["core_labels", "close_places"], """select start_date, caid, id, label from core_labels
+    union all select c.start_date, c.caid, c.id, min(l.label) from close_places c
+    join core_labels l on l.start_date = c.start_date and l.caid = c.caid and l.id = c.other
+    anti join core_labels o on o.start_date = c.start_date and o.caid = c.caid and o.id = c.id group by 1, 2, 3""")
+_chain("home_clusters", ["place_labels", "place_ids"], """select start_date, caid, label,
+    sum(latitude*weight)/sum(weight) as latitude, sum(longitude*weight)/sum(weight) as longitude,
+    sum(weight) as num_members from place_labels join place_ids using (start_date, caid, id) group by 1, 2, 3""")
+_chain("homes", ["home_clusters"], """select caid, latitude, longitude, strftime(start_date, '%Y-%m-%d') as start_date
+    from (select *, row_number() over (partition by start_date, caid order by num_members desc, label) as rn
+    from home_clusters) where rn = 1""")
+
+# --- contact zone ------------------------------------------------------------------------------------
+LAT0 = 49.5
+_chain("status", ["control"], """select locality, longitude, latitude, strptime(col[5:], '%Y%m%d')::date as day,
+    case when st = 'CONTESTED' then 'RU' else st end as status from
+    (unpivot control on ctr_20220315, ctr_20220316 into name col value st)""")
+_chain("spots", ["status"], f"""select distinct day, status, radians(longitude)*cos(radians({LAT0}))*6371.009 as x,
+    radians(latitude)*6371.009 as y from status""")
+_chain("lenses", ["spots"], """select a.day, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from spots a join spots b
+    on a.day = b.day and a.status = 'RU' and b.status = 'UA'
+    where sqrt(pow(a.x-b.x, 2)+pow(a.y-b.y, 2)) <= 10""")
