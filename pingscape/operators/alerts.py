@@ -65,9 +65,8 @@ def clean_alerts(
 
 def alert_days(alerts: DataFrame) -> DataFrame:
     """One row per 24-hour step from start to end, as the date of the step."""
-    return alerts.withColumn(
-        "day", F.to_date(F.explode(F.sequence("start_dt", "end_dt", F.expr("INTERVAL 1 DAY"))))
-    )
+    steps = alerts.withColumn("day", F.explode(F.sequence("start_dt", "end_dt", F.expr("INTERVAL 1 DAY"))))
+    return steps.withColumn("day", F.to_date("day"))
 
 
 def alert_counts(alerts: DataFrame, region: str = "region_english") -> DataFrame:

@@ -228,11 +228,13 @@ def local_curve(points: DataFrame, keys: list[str], x: str = "period_num", y: st
 
 def simple_fit(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Correlation, r squared, regression line, and the ends of the line y = x * sum(y)/sum(x)."""
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    slope = F.try_divide(F.covar_pop(a, b), F.var_pop(a))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     ratio = F.try_divide(F.sum(b), F.sum(a))
     return df.groupBy(*(keys or [])).agg(
-        F.corr(b, a).alias("r"), F.regr_r2(b, a).alias("r2"),
-        F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"),
+        r.alias("r"), (r * r).alias("r2"), slope.alias("slope"), (F.avg(b) - slope * F.avg(a)).alias("intercept"),
         ratio.alias("ratio"), F.min(a).alias("x_min"), F.max(a).alias("x_max"),
         (ratio * F.min(a)).alias("y_at_min"), (ratio * F.max(a)).alias("y_at_max"),
     )

@@ -73,11 +73,12 @@ def cell_slopes(df: DataFrame, keys: list[str], y: str, d: str, cell: str = CELL
     """Sums per (keys, cell) that determine any regression of y on cell, d and cell x d."""
     used = df.filter(F.col(y).isNotNull() & F.col(d).isNotNull())
     x, v = F.col(d).cast("double"), F.col(y).cast("double")
+    slope = F.try_divide(F.covar_pop(x, v), F.var_pop(x))
     return used.groupBy(*keys, cell).agg(
         F.count(v).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"),
         F.sum(v).alias("sy"), F.sum(x * v).alias("sxy"),
         F.min(x).alias("x_min"), F.max(x).alias("x_max"),
-        F.regr_slope(v, x).alias("slope"), F.regr_intercept(v, x).alias("intercept"),
+        slope.alias("slope"), (F.avg(v) - slope * F.avg(x)).alias("intercept"),
     )
 
 
