@@ -1,5 +1,7 @@
 """Distances and planar helpers as column expressions (no Python per row)."""
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,24 @@ def arc_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float
     return 2 * radius * F.asin(F.sqrt(half_chord_sq(lat1, lon1, lat2, lon2)))
 
 
+def unit_vector(lat: Column, lon: Column) -> Column:
+    """Point on the unit sphere as a struct (u, v, w)."""
+    p, t = F.radians(lat), F.radians(lon)
+    return F.struct(
+        (F.cos(p) * F.cos(t)).alias("u"), (F.cos(p) * F.sin(t)).alias("v"), F.sin(p).alias("w")
+    )
+
+
+def within_arc(a: Column, b: Column, metres: float, radius: float = ARC_RADIUS_M) -> Column:
+    """Whether two unit vectors are at most `metres` apart along the great circle.
+
+    Compares squared chords, so testing a pair needs no trigonometry.
+    """
+    du, dv, dw = a["u"] - b["u"], a["v"] - b["v"], a["w"] - b["w"]
+    limit = 4 * math.sin(min(metres / (2 * radius), math.pi / 2)) ** 2
+    return du * du + dv * dv + dw * dw <= limit
+
+
 def speed_kmh(distance_m: Column, seconds: Column) -> Column:
     """Speed in km/h; null when the time difference is zero or missing."""
     return F.try_divide(3.6 * distance_m, seconds)

@@ -68,14 +68,10 @@ def density_clusters(
         .withColumn("place", F.struct("latitude", "longitude"))
     )
     cell = [*keys, "cy", "cx"]
-    sums = points.groupBy(*cell).agg(
-        F.sum("w").alias("cell_w"), F.min("place").alias("cell_node"),
-        F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-    )
+    sums = points.groupBy(*cell).agg(F.sum("w").alias("cell_w"), F.min("place").alias("cell_node"))
     points = cut(
-        salted_join(
-            points, sums.select(*cell, "cell_w", "cell_node"), cell, "inner", spread=["latitude", "longitude"]
-        ).withColumn("dense", F.col("cell_w") >= min_points).drop("cell_w")
+        salted_join(points, sums, cell, "inner", spread=["latitude", "longitude"])
+        .withColumn("dense", F.col("cell_w") >= min_points).drop("cell_w")
     )
 
     # places outside dense cells, with every place in reach
@@ -83,24 +79,25 @@ def density_clusters(
         *keys, F.col("place").alias("probe"), F.col("y").alias("py"), F.col("x").alias("px"),
         F.explode(_cells_around(F.col("y"), F.col("y"), F.col("x"), F.col("x"), eps, side)).alias("c"),
     ).select(*keys, "probe", "py", "px", "c.cy", "c.cx")
-    near = salted_join(points, probes, cell, "inner", spread=["latitude", "longitude"]).filter(
-        _haversine(F.col("py"), F.col("px"), F.col("y"), F.col("x")) <= limit
+    target = F.when(F.col("dense"), F.col("cell_node")).otherwise(F.col("place"))
+    near = (
+        salted_join(points, probes, cell, "inner", spread=["latitude", "longitude"])
+        .filter(_haversine(F.col("py"), F.col("px"), F.col("y"), F.col("x")) <= limit)
+        .groupBy(*keys, "probe", target.alias("other"), "dense").agg(F.sum("w").alias("w"))
     )
+    contacts = cut(near)
     cores = (
-        near.groupBy(*keys, "probe").agg(F.sum("w").alias("reach_w"))
+        contacts.groupBy(*keys, "probe").agg(F.sum("w").alias("reach_w"))
         .filter(F.col("reach_w") >= min_points).select(*keys, "probe")
     )
-    target = F.when(F.col("dense"), F.col("cell_node")).otherwise(F.col("place"))
-    contacts = cut(near.select(*keys, "probe", target.alias("other"), "dense").distinct())
     single_cores = cores.select(*keys, F.col("probe").alias("node"))
-    core_of = single_cores.withColumnRenamed("node", "other").withColumn("core", F.lit(True))
+    core_of = cores.select(*keys, F.col("probe").alias("other"), F.lit(True).alias("core"))
 
-    solid = sums.filter(F.col("cell_w") >= min_points)
     links = contacts.join(cores, [*keys, "probe"]).join(core_of, [*keys, "other"], "left").filter("dense OR core")
     edges = links.select(*keys, F.col("probe").alias("a"), F.col("other").alias("b")).filter("a != b")
-    edges = edges.unionByName(_dense_links(points, solid, keys, eps, side, limit))
-    nodes = solid.select(*keys, F.col("cell_node").alias("node")).unionByName(single_cores)
-    labels = components(nodes, edges, keys)
+    edges = edges.unionByName(_dense_links(points.filter("dense"), keys, eps, side, limit))
+    solid = points.filter("dense").select(*keys, F.col("cell_node").alias("node")).distinct()
+    labels = components(solid.unionByName(single_cores), edges, keys)
 
     # members: dense places by their cell, single cores by themselves, border places by a core in reach
     dense = points.filter("dense").select(*keys, "place", "w", F.col("cell_node").alias("node"))
@@ -121,58 +118,76 @@ def density_clusters(
     )
 
 
-def _dense_links(points: DataFrame, solid: DataFrame, keys: list[str], eps: float, side: float,
-                 limit: float) -> DataFrame:
-    """Pairs of dense cells that hold places within eps of each other, as (a, b) of their nodes.
-
-    Cells are compared by the tight boxes of their pieces: boxes that are surely close link their
-    cells, boxes that are surely apart are dropped, and places are compared only for the boxes in
-    between whose cells are not linked yet.
-    """
-    box = ["y0", "y1", "x0", "x1"]
-    around = solid.select(
-        *keys, F.col("cell_node").alias("a"),
-        F.explode(_cells_around(*[F.col(c) for c in box], eps, side)).alias("c"),
-    ).select(*keys, "a", "c.cy", "c.cx")
-    pairs = around.join(
-        solid.select(*keys, "cy", "cx", F.col("cell_node").alias("b")), [*keys, "cy", "cx"]
-    ).filter("a < b").select(*keys, "a", "b")
-
-    step_x = _width(F.col("cy"), side) / PARTS
-    inner = points.filter("dense").withColumns(
-        {"sy": F.floor(F.col("y") / (side / PARTS)), "sx": F.floor(F.col("x") / step_x)}
+def _graded(pairs: DataFrame, eps: float, limit: float) -> DataFrame:
+    """Keep pairs of boxes (y0a .. x1a, y0b .. x1b) that may be in reach; `sure` if they wholly are."""
+    gap = lambda lo, hi: F.greatest(
+        F.lit(0.0), F.col(lo + "b") - F.col(hi + "a"), F.col(lo + "a") - F.col(hi + "b")
     )
-    pieces = inner.groupBy(*keys, F.col("cell_node").alias("node"), "sy", "sx").agg(
-        F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")
+    span = lambda lo, hi: F.greatest(
+        F.abs(F.col(hi + "b") - F.col(lo + "a")), F.abs(F.col(hi + "a") - F.col(lo + "b"))
     )
-
-    def side_of(df: DataFrame, tag: str) -> DataFrame:
-        return df.withColumnsRenamed({c: c + tag for c in df.columns if c not in keys and c != "node"}) \
-            .withColumnRenamed("node", tag)
-
-    both = pairs.join(side_of(pieces, "a"), [*keys, "a"]).join(side_of(pieces, "b"), [*keys, "b"])
-    gap = lambda lo, hi: F.greatest(F.lit(0.0), F.col(lo + "b") - F.col(hi + "a"), F.col(lo + "a") - F.col(hi + "b"))
-    span = lambda lo, hi: F.greatest(F.abs(F.col(hi + "b") - F.col(lo + "a")), F.abs(F.col(hi + "a") - F.col(lo + "b")))
     lats = [F.abs(F.col(c + t)) for c in ("y0", "y1") for t in ("a", "b")]
     sq = lambda v: F.sin(v / 2) * F.sin(v / 2)
     # margins far above rounding error keep the quick answers safe
+    equator_side = F.greatest(F.least(*lats) - eps, F.lit(0.0))
     closest = sq(gap("y0", "y1")) + F.pow(F.cos(F.greatest(*lats)), 2) * sq(gap("x0", "x1"))
-    farthest = sq(span("y0", "y1")) + F.pow(F.cos(F.greatest(F.least(*lats) - eps, F.lit(0.0))), 2) * sq(span("x0", "x1"))
-    graded = both.withColumns(
+    farthest = sq(span("y0", "y1")) + F.pow(F.cos(equator_side), 2) * sq(span("x0", "x1"))
+    return pairs.withColumns(
         {"sure": farthest <= limit * (1 - 1e-9), "open": closest <= limit * (1 + 1e-9)}
-    ).filter("open")
-    sure = graded.filter("sure").select(*keys, "a", "b").distinct()
-    unsure = graded.filter("NOT sure").join(sure, [*keys, "a", "b"], "left_anti").select(
-        *keys, "a", "b", "sya", "sxa", "syb", "sxb"
+    ).filter("open").drop("open")
+
+
+def _boxes(points: DataFrame, keys: list[str]) -> DataFrame:
+    return points.groupBy(*keys).agg(
+        F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")
+    )
+
+
+def _side(df: DataFrame, tag: str, shared: list[str]) -> DataFrame:
+    """Columns of one side of a pair: suffix a or b, the node becoming the column a or b itself."""
+    names = {c: c + tag for c in df.columns if c not in shared}
+    return df.withColumnsRenamed({**names, "cell_node": tag})
+
+
+def _dense_links(points: DataFrame, keys: list[str], eps: float, side: float, limit: float) -> DataFrame:
+    """Pairs of dense cells that hold places within eps of each other, as (a, b) of their nodes.
+
+    Cells are compared by the tight boxes of their places: boxes that are surely close link their
+    cells, boxes that are surely apart are dropped.  For the cells in between the same is done with
+    the boxes of their pieces, and places are compared only where those leave it open too.
+    """
+    cells = _boxes(points, [*keys, "cy", "cx", "cell_node"])
+    box = ["y0", "y1", "x0", "x1"]
+    around = cells.select(
+        *keys, F.col("cell_node").alias("a"), *[F.col(c).alias(c + "a") for c in box],
+        F.explode(_cells_around(*[F.col(c) for c in box], eps, side)).alias("c"),
+    ).select("*", "c.cy", "c.cx").drop("c")
+    pairs = around.join(_side(cells, "b", [*keys, "cy", "cx"]), [*keys, "cy", "cx"]).filter("a < b")
+    graded = cut(_graded(pairs, eps, limit).select(*keys, "a", "b", "sure"))
+    sure = graded.filter("sure").select(*keys, "a", "b")
+    unsure = graded.filter("NOT sure").select(*keys, "a", "b")
+    if unsure.isEmpty():
+        return sure
+
+    split = points.withColumns(
+        {
+            "sy": F.floor(F.col("y") / (side / PARTS)),
+            "sx": F.floor(F.col("x") / (_width(F.col("cy"), side) / PARTS)),
+        }
     )
-    spot = inner.select(*keys, F.col("cell_node").alias("node"), "sy", "sx", "y", "x")
+    pieces = _boxes(split, [*keys, "cell_node", "sy", "sx"])
+    both = unsure.join(_side(pieces, "a", keys), [*keys, "a"]).join(_side(pieces, "b", keys), [*keys, "b"])
+    graded = cut(_graded(both, eps, limit).select(*keys, "a", "b", "sya", "sxa", "syb", "sxb", "sure"))
+    linked = graded.filter("sure").select(*keys, "a", "b").distinct()
+    open_pieces = graded.filter("NOT sure").drop("sure").join(linked, [*keys, "a", "b"], "left_anti")
+    spots = split.select(*keys, "cell_node", "sy", "sx", "y", "x")
     compared = (
-        unsure.join(side_of(spot, "a"), [*keys, "a", "sya", "sxa"])
-        .join(side_of(spot, "b"), [*keys, "b", "syb", "sxb"])
+        open_pieces.join(_side(spots, "a", keys), [*keys, "a", "sya", "sxa"])
+        .join(_side(spots, "b", keys), [*keys, "b", "syb", "sxb"])
         .filter(_haversine(F.col("ya"), F.col("xa"), F.col("yb"), F.col("xb")) <= limit)
         .select(*keys, "a", "b").distinct()
     )
-    return sure.unionByName(compared)
+    return sure.unionByName(linked).unionByName(compared)
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -184,7 +199,9 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     both = cut(edges.select(*keys, "a", "b").unionByName(
         edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))
     ).distinct())
-    labels = cut(nodes.distinct().withColumn("cluster", F.col("node")))
+    labels = cut(nodes.withColumn("cluster", F.col("node")))
+    if both.isEmpty():
+        return labels
     while True:
         lowest = (
             both.join(labels.select(*keys, F.col("node").alias("b"), "cluster"), [*keys, "b"])

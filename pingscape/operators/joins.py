@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 MAX_BROADCAST_ROWS = 100_000
 SALTS = 16
 
@@ -32,7 +34,11 @@ def reference_join(
     facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", spread: list[str] | None = None,
     max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS,
 ) -> DataFrame:
-    """Join a reference table: broadcast when its counted size allows it, salted join beyond."""
+    """Join a reference table: broadcast when its counted size allows it, salted join beyond.
+
+    The table is stored first, so that counting and joining do not derive it twice.
+    """
+    dim = cut(dim)
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
     return salted_join(facts, dim, on, how, spread, salts)

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import STAY_DISTANCE_M, STAY_SECONDS, STAY_WINDOW
-from ..functions.geo import arc_m
+from ..functions.geo import unit_vector, within_arc
+from .checkpoints import cut
 from .ordered import CHUNK, hour_chunk, merge_in_sequence, with_halo, with_position
 from .panel import PING_ORDER
 
@@ -36,13 +37,14 @@ def neighbours(
     Rows are repeated in neighbouring blocks (`inner` marks the home copy); arrays of copies that
     lie less than `window` inside a block may be cut and are only used by their home copy.
     """
-    blocks = with_halo(numbered, "pos", block_size, halo or window)
+    blocks = with_halo(numbered, "pos", block_size, halo or window).withColumn(
+        "p", unit_vector(F.col("latitude"), F.col("longitude"))
+    )
     around = W.partitionBy("caid", "block").orderBy("pos").rowsBetween(-window, window)
-    point = F.struct("pos", "latitude", "longitude", F.col("utc_timestamp").alias("t"))
+    point = F.struct("pos", "p", F.col("utc_timestamp").alias("t"))
 
     def close(q: Column) -> Column:
-        apart = arc_m(F.col("latitude"), F.col("longitude"), q["latitude"], q["longitude"])
-        return (q["pos"] != F.col("pos")) & (apart <= distance)
+        return (q["pos"] != F.col("pos")) & within_arc(F.col("p"), q["p"], distance)
 
     return (
         blocks.withColumn("around", F.collect_list(point).over(around))
@@ -50,7 +52,7 @@ def neighbours(
             "near",
             F.transform(F.filter("around", close), lambda q: F.struct(q["pos"].alias("pos"), q["t"].alias("t"))),
         )
-        .drop("around")
+        .drop("around", "p")
     )
 
 
@@ -97,18 +99,20 @@ def stay_members(
 ) -> DataFrame:
     """(caid, group_no, ping) for every ping that is a neighbour of a core of the stay."""
     cores = core_pings(numbered_pings(pings), window, distance, seconds, block_size)
-    groups = stay_groups(cores)
     # core neighbours of each ping; neighbourhood is mutual, so they are in the ping's own array
     around = W.partitionBy("caid", "block").orderBy("pos").rowsBetween(-window, window)
-    with_cores = cores.withColumn(
-        "core_pos", F.collect_list(F.when(F.col("is_core"), F.col("pos"))).over(around)
-    )
     own = F.transform("near", lambda q: q["pos"])
-    touched = (
-        with_cores.filter("inner")
+    # stored once: the stays are found from it and their members are then looked up in it
+    linked = cut(
+        cores.withColumn("core_pos", F.collect_list(F.when(F.col("is_core"), F.col("pos"))).over(around))
+        .filter("inner")
         .withColumn("core_pos", F.array_intersect("core_pos", own))
-        .filter(F.size("core_pos") > 0)
-        .select("caid", "block", "pos", "latitude", "longitude", "utc_timestamp", "core_pos")
+        .filter("is_core OR size(core_pos) > 0")
+        .drop("near")
+    )
+    groups = stay_groups(linked)
+    touched = linked.filter(F.size("core_pos") > 0).select(
+        "caid", "block", "pos", "latitude", "longitude", "utc_timestamp", "core_pos"
     )
     reach = groups.withColumn(
         "block",
