@@ -9,14 +9,14 @@ from .joins import alias_join, map_values
 from .ordered import pair_toggles
 
 
-def month_chunk(epoch_seconds: Column) -> Column:
-    return F.date_trunc("month", F.timestamp_seconds(epoch_seconds))
+def day_chunk(epoch_seconds: Column) -> Column:
+    return F.floor(epoch_seconds / 86400)
 
 
 def alert_intervals(toggles: DataFrame, place: str, zone: str = LOCAL_ZONE, time: str = "t",
                     order: list[str] | None = None) -> DataFrame:
     """Switch times -> (place, start, end, start_dt, end_dt), paired within each place."""
-    paired = pair_toggles(toggles, [place], time, order or [time], month_chunk(F.col(time)))
+    paired = pair_toggles(toggles, [place], time, order or [time], day_chunk(F.col(time)))
     return paired.withColumns(
         {"start_dt": local_time(F.col("start"), zone), "end_dt": local_time(F.col("end"), zone)}
     )

@@ -22,6 +22,7 @@ from ..functions.fixed_values import (
     MIN_SPREAD_KM,
 )
 from ..functions.geo import chord_m
+from .checkpoints import cut
 from .joins import first_row, reference_join, salted_join
 
 EVENT = ["start_raid_next", "region_english"]
@@ -91,10 +92,14 @@ def event_window(events: DataFrame, hours: float) -> DataFrame:
 
 
 def balanced_events(events: DataFrame, hours: float) -> DataFrame:
-    """Keep events in which every minute of the window is seen for some device."""
-    minutes = events.groupBy(*EVENT).agg(F.countDistinct("minute").alias("minute_count"))
+    """Keep events in which every minute of the window is seen for some device.
+
+    The rows are stored once: minutes are counted from them and the complete events selected.
+    """
+    stored = cut(events)
+    minutes = stored.groupBy(*EVENT).agg(F.countDistinct("minute").alias("minute_count"))
     full = minutes.filter(F.col("minute_count") == 120 * hours + 1)
-    return salted_join(events, full, EVENT, "inner", spread=["caid"])
+    return reference_join(stored, full, EVENT, "inner", spread=["caid"])
 
 
 def with_cell(events: DataFrame, first: int = FIRST_CELL_S, base: int = BASE_CELL) -> DataFrame:
@@ -126,8 +131,8 @@ def interaction_columns(df: DataFrame, columns: list[str], by: str) -> DataFrame
 def with_period(events: DataFrame) -> DataFrame:
     """Month, period of the conflict and the number of periods a device is seen in."""
     dated = events.withColumn("month", F.month("day")).withColumn("period", conflict_period(F.col("month")))
-    seen = F.size(F.collect_set("period").over(W.partitionBy("caid")))
-    return dated.withColumn("count", seen)
+    seen = dated.groupBy("caid").agg(F.countDistinct("period").alias("count"))
+    return salted_join(dated, seen, ["caid"], "left", spread=["day"], salts=4)
 
 
 def consistent_sample(events: DataFrame, periods: int = 3) -> DataFrame:
@@ -172,18 +177,18 @@ def wide_spread_events(events: DataFrame, value: str, minimum: float = MIN_SPREA
         events.groupBy(*EVENT).agg((F.max(value) - F.min(value)).alias("spread"))
         .filter(F.col("spread") >= minimum).drop("spread")
     )
-    return salted_join(events, kept, EVENT, "left_semi", spread=["caid"])
+    return reference_join(events, kept, EVENT, "left_semi", spread=["caid"])
 
 
 def large_events(events: DataFrame, minimum: int = MIN_EVENT_ROWS) -> DataFrame:
     kept = events.groupBy(*EVENT).agg(F.count("caid").alias("obs")).filter(F.col("obs") >= minimum).drop("obs")
-    return salted_join(events, kept, EVENT, "left_semi", spread=["caid"])
+    return reference_join(events, kept, EVENT, "left_semi", spread=["caid"])
 
 
 def approx_median_flag(events: DataFrame, value: str, out: str, accuracy: int = 10000) -> DataFrame:
     """1 where the value reaches its event's approximate median (a sketch of bounded size per event)."""
     medians = events.groupBy(*EVENT).agg(F.percentile_approx(value, 0.5, accuracy).alias("median"))
-    return salted_join(events, medians, EVENT, "left", spread=["caid"]).withColumn(
+    return reference_join(events, medians, EVENT, "left", spread=["caid"]).withColumn(
         out, (F.col(value) >= F.col("median")).cast("int")
     ).drop("median")
 
@@ -201,8 +206,15 @@ def with_front_distance(events: DataFrame, distances: DataFrame) -> DataFrame:
 
 def front_sample(events: DataFrame, names: list[str] = EXCLUDED_NAMES, spread: float = MIN_SPREAD_KM,
                  rows: int = MIN_EVENT_ROWS) -> DataFrame:
-    kept = wide_spread_events(exclude_names(events, names), "distance_to_front", spread)
-    return large_events(kept, rows)
+    """Events outside the named regions, with enough spread of distance and enough rows.
+
+    Both rules drop whole events, so one pass over the rows decides them together.
+    """
+    d = F.col("distance_to_front")
+    named = exclude_names(events, names)
+    kept = named.groupBy(*EVENT).agg((F.max(d) - F.min(d)).alias("spread"), F.count("caid").alias("obs"))
+    kept = kept.filter((F.col("spread") >= spread) & (F.col("obs") >= rows)).select(*EVENT)
+    return reference_join(named, kept, EVENT, "left_semi", spread=["caid"])
 
 
 def event_positions(events: DataFrame) -> DataFrame:

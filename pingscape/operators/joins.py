@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .checkpoints import cut
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
 
 
@@ -25,16 +26,21 @@ def salted_join(
     return left.join(right, [*on, "salt"], how).drop("salt")
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Check the size of a reference table by counting at most max_rows + 1 of its rows."""
-    return dim.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Check the size of a reference table: its rows and the length of its content as text.
+
+    At most max_rows + 1 rows are looked at; one row of two numbers comes back.
+    """
+    size = F.length(F.to_json(F.struct(*dim.columns)))
+    rows, length = dim.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows <= max_rows and (length or 0) <= max_bytes
 
 
 def reference_join(
     facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", spread: list[str] | None = None,
     max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS,
 ) -> DataFrame:
-    """Join a reference table: broadcast when its counted size allows it, salted join beyond.
+    """Join a reference table: broadcast when its measured size allows it, salted join beyond.
 
     The table is stored first, so that counting and joining do not derive it twice.
     """

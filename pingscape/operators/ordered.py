@@ -60,6 +60,25 @@ def previous_row(
     )
 
 
+def next_known(
+    df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column, out: str
+) -> DataFrame:
+    """Add `out`: the first known `value` at this row or after it (null if none follows)."""
+    data = df.withColumn(CHUNK, chunk)
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    firsts = data.groupBy(*keys, CHUNK).agg(F.min_by(value, known).alias(out))
+    after = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, W.unboundedFollowing)
+    carry = firsts.select(*keys, CHUNK, F.first(out, ignorenulls=True).over(after).alias(out))
+    back = W.partitionBy(*keys, CHUNK).orderBy("own", *[F.col(c).desc() for c in order])
+    seen = F.coalesce(F.when(F.col("own") == 1, F.col(value)), F.col(out))
+    return (
+        _with_carry(data, carry.filter(F.col(out).isNotNull()))
+        .withColumn(out, F.last(seen, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)))
+        .filter("own = 1")
+        .drop("own", CHUNK)
+    )
+
+
 def with_position(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "pos"
 ) -> DataFrame:

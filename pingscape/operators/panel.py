@@ -77,6 +77,20 @@ def alert_minutes(alerts: DataFrame) -> DataFrame:
     )
 
 
+def active_alerts(panel: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row per device-minute and alert of its region that is active in the minute.
+
+    Alerts are repeated for the hours they touch, so rows meet only the alerts of their own hour.
+    """
+    hours = alerts.withColumn(
+        "hour",
+        F.explode(F.sequence(F.date_trunc("hour", "start_dt"), F.date_trunc("hour", "end_dt"), F.expr("INTERVAL 1 HOUR"))),
+    )
+    keyed = panel.withColumn("hour", F.date_trunc("hour", "minute"))
+    both = reference_join(keyed, hours, ["region_english", "hour"], "inner", spread=["caid"])
+    return both.filter(F.col("minute").between(F.col("start_dt"), F.col("end_dt"))).drop("hour")
+
+
 def attach_alerts(panel: DataFrame, alerts: DataFrame) -> DataFrame:
     """Left join of device-minutes to the alerts of their region that are active in the minute."""
     return reference_join(

@@ -83,10 +83,10 @@ def _(spark, sf):
 
 @query("src7_toggle_json", with_views("toggles") + """select region_ukrainian || '/' || day as place, t,
     row_number() over (partition by region_ukrainian, day order by t) - 1 as position from
-    (select *, cast(t//86400 as varchar) as day from toggles)""")
+    (select *, cast(t//3600 as varchar) as day from toggles)""")
 def _(spark, sf):
-    # lists of switch times as JSON text, one per region and day, parsed back and unrolled
-    day = F.floor(F.col("t") / 86400).cast("string")
+    # lists of switch times as JSON text, one per region and hour, parsed back and unrolled
+    day = F.floor(F.col("t") / 3600).cast("string")
     place = F.concat_ws("/", "region_ukrainian", day)
     listed = V.toggles(spark, sf).groupBy(place.alias("place")).agg(
         F.to_json(F.struct(F.sort_array(F.collect_list("t")).alias("locations"))).alias("body")
@@ -551,8 +551,7 @@ def _(spark, sf):
     from ..operators.polygons import locate
 
     placed = locate(minutes(spark, sf), V.regions(spark, sf), "region_english")
-    both = joins.reference_join(placed, local_alerts(spark, sf), ["region_english"])
-    return both.filter(F.col("minute").between(F.col("start_dt"), F.col("end_dt"))).groupBy(
+    return panel.active_alerts(placed, local_alerts(spark, sf)).groupBy(
         "caid", text("minute").alias("minute")
     ).agg(F.count(F.lit(1)).alias("n"))
 

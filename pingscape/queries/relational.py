@@ -254,15 +254,16 @@ def _(spark, sf):
     return near.groupBy("caid").agg(F.sum(F.size("near")).alias("pairs"), F.sum(offset).alias("offsets"))
 
 
-@query("jn18_next_event", """select event_id, min(case when event_type = 'error' then ts end) over (partition by user_id
-    order by ts, event_id rows between current row and unbounded following) as next_error from events""")
+@query("jn18_next_event", """select event_id, strftime(min(case when event_type = 'error' then ts end) over (partition by
+    user_id order by ts, event_id rows between current row and unbounded following), '%Y-%m-%d %H:%M:%S') as next_error
+    from events""")
 def _(spark, sf):
     # events of one user in time order, the next error carried back
-    along = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    at = F.when(F.col("event_type") == "error", F.col("ts"))
-    return V.table(spark, sf, "events").select(
-        "event_id", F.last(at, ignorenulls=True).over(along).alias("next_error")
+    rows = V.table(spark, sf, "events").select(
+        "event_id", "user_id", "ts", F.when(F.col("event_type") == "error", F.col("ts")).alias("error_at")
     )
+    known = ordered.next_known(rows, ["user_id"], ["ts", "event_id"], "error_at", F.to_date("ts"), "next_error")
+    return known.select("event_id", text("next_error").alias("next_error"))
 
 
 PAIRS_SQL = with_views("toggles").rstrip() + """, n as (select *, row_number() over (partition by region_ukrainian order by t, seq)-1
@@ -620,10 +621,10 @@ def _(spark, sf):
     )
 
 
-@query("wn2_partition_extremes", """select event_id, min(value) over (partition by user_id, cast(ts as date)) as lo,
-    max(value) over (partition by user_id, cast(ts as date)) as hi from events""")
+@query("wn2_partition_extremes", """select event_id, min(value) over (partition by user_id, date_trunc('hour', ts)) as lo,
+    max(value) over (partition by user_id, date_trunc('hour', ts)) as hi from events""")
 def _(spark, sf):
-    whole = W.partitionBy("user_id", F.to_date("ts"))
+    whole = W.partitionBy("user_id", F.date_trunc("hour", "ts"))
     return V.table(spark, sf, "events").select(
         "event_id", F.min("value").over(whole).alias("lo"), F.max("value").over(whole).alias("hi")
     )

@@ -36,6 +36,15 @@ def test_position_counts_over_chunks(spark):
     assert (out["pos"] == pdf.groupby("k").cumcount()).all()
 
 
+def test_next_known_value_is_carried_over_chunks(spark):
+    df, pdf = frame(spark, 6)
+    df = df.withColumn("x", F.when(F.col("v") % 9 == 0, F.col("v")))
+    out = ordered.next_known(df, ["k"], ["t", "v"], "x", F.floor(F.col("t") / 3600), "next_x").toPandas()
+    out = out.sort_values(["k", "t", "v"]).reset_index(drop=True)
+    want = pdf.v.where(pdf.v % 9 == 0).groupby(pdf.k).bfill()
+    pd.testing.assert_series_equal(out["next_x"], want, check_names=False)
+
+
 def test_merge_in_sequence_matches_a_loop(spark):
     rng = np.random.default_rng(3)
     rows, want = [], {}

@@ -276,3 +276,22 @@ def test_zero_denominators_give_null(spark):
     assert [(r.false_alarm_rate, r.abv_med_falserate) for r in out] == [(None, None), (0.75, 0)]
     flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert estimates.simple_fit(flat, "x", "y").first().r is None
+
+
+def test_broadcast_needs_few_and_short_rows(spark):
+    df = spark.range(50).withColumn("text", F.repeat(F.lit("x"), 100))
+    assert joins.fits_broadcast(df)
+    assert not joins.fits_broadcast(df, max_rows=49)
+    assert not joins.fits_broadcast(df, max_bytes=5000)
+
+
+def test_active_alerts_match_each_alert(spark):
+    from pingscape.operators import panel
+
+    at = lambda h, m: datetime(2022, 3, 1, h, m)
+    rows = spark.createDataFrame([("d", "r", at(10, 0)), ("d", "r", at(11, 30)), ("d", "q", at(10, 0))],
+                                 "caid string, region_english string, minute timestamp")
+    given = spark.createDataFrame([("r", at(9, 50), at(10, 0)), ("r", at(10, 0), at(12, 0)), ("r", at(12, 0), None)],
+                                  "region_english string, start_dt timestamp, end_dt timestamp")
+    out = panel.active_alerts(rows, given).collect()
+    assert sorted((r.minute.hour, r.start_dt.hour) for r in out) == [(10, 9), (10, 10), (11, 10)]
