@@ -11,6 +11,7 @@ from ..functions.fixed_values import (
     SHOP_MEAN_ROWS,
     TRIM_IQR,
 )
+from .checkpoints import cut
 from .joins import first_row, reference_join, salted_join
 from .quantiles import group_quantiles
 
@@ -113,7 +114,7 @@ def distance_bands(effects: DataFrame, keys: list[str], sd: Column | float, by:
         paired.withColumn("v", F.explode(both)).select(*keys, "cell", "v.*")
         .withColumn("period_num", F.col("cell") / 60.0)
     )
-    dated = long.withColumn("time_period", conflict_period(F.month("start_raid_next"), default=0))
+    dated = cut(long.withColumn("time_period", conflict_period(F.month("start_raid_next"), default=0)))
     return mean_bands(trim_outliers(dated, ["time_period"]), by)
 
 
@@ -202,7 +203,7 @@ def local_curve(points: DataFrame, keys: list[str], x: str = "period_num", y: st
     group is bounded by the number of cells; each point is joined with its side's points.
     """
     side = F.when(F.col(x) < 0, "before").otherwise("after")
-    data = points.select(*keys, side.alias("side"), F.col(x).alias("x"), F.col(y).alias("y")).dropna("any")
+    data = cut(points.select(*keys, side.alias("side"), F.col(x).alias("x"), F.col(y).alias("y")).dropna("any"))
     here = data.select(*keys, "side", F.col("x").alias("x0"))
     group = [*keys, "side"]
     pairs = here.join(data, group).withColumn("u", F.abs(F.col("x") - F.col("x0")))

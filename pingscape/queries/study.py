@@ -394,10 +394,20 @@ def _(spark, sf):
     return kept.groupBy("k").agg(F.count(F.lit(1)).alias("n"), r(F.max("v"), 4).alias("top"))
 
 
-@query("st17_local_curve")
+@query("st17_local_curve", EST_SQL + """, bands as (select period_num as x, avg(movement) as y, case when period_num < 0
+    then 'before' else 'after' end as side from est where movement <> 0 group by 1),
+    pairs as (select a.side, a.x as x0, b.x, b.y, abs(b.x-a.x) as u, b.x-a.x as t, row_number() over
+    (partition by a.side, a.x order by abs(b.x-a.x), b.x) as rk, count(*) over (partition by a.side, a.x) as n
+    from bands a join bands b on a.side = b.side),
+    w as (select *, pow(1-pow(u/h, 3), 3) as w from (select *, max(case when rk <= floor(n*0.75+1e-5) then u end)
+    over (partition by side, x0) as h from pairs) where u < h),
+    s as (select side, x0, sum(w) as s0, sum(w*t) as s1, sum(w*t*t) as s2, sum(w*t*t*t) as s3, sum(w*t*t*t*t) as s4,
+    sum(w*y) as r0, sum(w*y*t) as r1, sum(w*y*t*t) as r2 from w group by 1, 2)
+    select 1 as time_period, side, x0 as period_num, round((r0*(s2*s4-s3*s3)-s1*(r1*s4-r2*s3)+s2*(r1*s3-r2*s2))
+    / nullif(s0*(s2*s4-s3*s3)-s1*(s1*s4-s2*s3)+s2*(s1*s3-s2*s2), 0), 4) as smooth from s""")
 def _(spark, sf):
     bands = T.mean_bands(T.drop_unobserved(_long(spark, sf)), ["period_num", "time_period"])
-    return T.local_curve(bands, ["time_period"])
+    return T.local_curve(bands, ["time_period"]).withColumn("smooth", r("smooth", 4))
 
 
 # --- contact zone -----------------------------------------------------------------------------------------
