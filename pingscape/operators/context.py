@@ -1,6 +1,7 @@
 """Population, country and download tables."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import NO_SYSTEM_LABEL, NOT_A_COUNTRY, SYSTEM_LABEL
@@ -15,11 +16,9 @@ def _column_index(polygons: DataFrame, name: str, margin: float, wkt: str, cell:
     columns = polygon_edges(polygons, name, wkt).filter("x1 != x2").withColumn(
         "cx", F.explode(span(F.least("x1", "x2"), F.greatest("x1", "x2")))
     )
-    floor_cy = columns.groupBy(name, "cx").agg(
-        F.min(grid_cell(F.least("y1", "y2") - margin, cell)).alias("first_cy")
-    )
+    first_cy = F.min(grid_cell(F.least("y1", "y2") - margin, cell)).over(W.partitionBy(name, "cx"))
     return (
-        columns.join(floor_cy, [name, "cx"])
+        columns.withColumn("first_cy", first_cy)
         .withColumn("cy", F.explode(F.sequence("first_cy", grid_cell(F.greatest("y1", "y2") + margin, cell))))
         .groupBy("cx", "cy", name)
         .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))

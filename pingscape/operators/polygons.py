@@ -1,6 +1,7 @@
 """Point-in-polygon joins on a grid of cells."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid_cell
@@ -39,16 +40,17 @@ def ring_area(ring: Column) -> Column:
 
 
 def polygon_cells(polygons: DataFrame, name: str, wkt: str = "geometry", cell: float = CELL) -> DataFrame:
-    """Grid index: (cx, cy, name, edges) with the edges a ray to the east from that cell can meet."""
+    """Grid index: (cx, cy, name, edges) with the edges a ray to the east from that cell can meet.
+
+    Groups are bounded by a polygon's corners in one row of cells.
+    """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     bands = polygon_edges(polygons, name, wkt).withColumn(
         "cy", F.explode(F.sequence(grid_cell(low, cell), grid_cell(high, cell)))
     )
-    extent = bands.groupBy(name, "cy").agg(
-        F.min(grid_cell(F.least("x1", "x2"), cell)).alias("first_cx"),
-    )
+    first_cx = F.min(grid_cell(F.least("x1", "x2"), cell)).over(W.partitionBy(name, "cy"))
     return (
-        bands.join(extent, [name, "cy"])
+        bands.withColumn("first_cx", first_cx)
         .withColumn(
             "cx", F.explode(F.sequence("first_cx", grid_cell(F.greatest("x1", "x2"), cell)))
         )

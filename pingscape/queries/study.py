@@ -87,9 +87,9 @@ def _(spark, sf):
 
 
 @query("fil14_away_from_home", with_views("event_panel", "dwells").rstrip() + HOMES_SQL + f"""
-    select caid, {KEYS_SQL}, count(*) as n from home_min where distance_home_min > 2500 group by all""")
+    select caid, {KEYS_SQL}, count(*) as n from home_min where distance_home_min > 1000 group by all""")
 def _(spark, sf):
-    near = events.away_from_home(event_panel(spark, sf), _device_homes(spark, sf), 2500)
+    near = events.away_from_home(event_panel(spark, sf), _device_homes(spark, sf), 1000)
     return near.groupBy("caid", *event_keys()).agg(F.count(F.lit(1)).alias("n"))
 
 
