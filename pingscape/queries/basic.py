@@ -372,7 +372,7 @@ def _(spark, sf):
 WORLD_SQL = """with world as (select case when n_nationkey = 3 then 'Antarctica' else n_name end as name,
     n_nationkey*1000000 as pop_est from nation), systems as (select n_name as country,
     case n_nationkey % 3 when 0 then 1 when 1 then 0 end as cell_broadcast,
-    case n_nationkey % 4 when 0 then 1 when 1 then 0 end as sirens from nation where n_nationkey % 5 <> 4)"""
+    case n_nationkey % 4 when 0 then 1 when 1 then 0 end as sirens from nation where n_regionkey <> 4)"""
 
 
 def _world(spark, sf):
@@ -382,7 +382,7 @@ def _world(spark, sf):
 
 def _systems(spark, sf):
     flag = lambda m: F.when(F.col("n_nationkey") % m == 0, 1).when(F.col("n_nationkey") % m == 1, 0)
-    return V.table(spark, sf, "nation").filter("n_nationkey % 5 <> 4").select(
+    return V.table(spark, sf, "nation").filter("n_regionkey <> 4").select(
         F.col("n_name").alias("country"), flag(3).alias("cell_broadcast"), flag(4).alias("sirens")
     )
 

@@ -682,9 +682,9 @@ def _(spark, sf):
 
 # --- order, dedup, reshape ------------------------------------------------------------------------------------
 
-@query("so1_order_in_key", with_views("numbered") + "select caid, pos, utc_timestamp from numbered where pos < 3")
+@query("so1_order_in_key", with_views("numbered") + "select caid, pos, utc_timestamp from numbered")
 def _(spark, sf):
-    return trajectory.numbered_pings(pings(spark, sf)).filter("pos < 3").select("caid", "pos", "utc_timestamp")
+    return trajectory.numbered_pings(pings(spark, sf)).select("caid", "pos", "utc_timestamp")
 
 
 @query("so2_biggest_group", """select user_id, event_type, n from (select user_id, event_type, count(*) as n, row_number() over
