@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, licenses, sharding, tokens
+from . import chat, decontamination, licenses, sharding, substring_dedup, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,20 @@ def tokenizer_path() -> str:
 
 
 
+@query("op1_decontamination")
+def decontamination_query(spark, folder):
+    found = decontamination.contamination(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query("op2_substring_dedup")
+def substring_dedup_query(spark, folder):
+    cut = substring_dedup.dedup_substrings(spark, table(spark, folder, "documents"), size=35)
+    return cut.select("rest.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op4_license_scan")
 def license_scan(spark, folder):
     return licenses.license_scan(table(spark, folder, "documents"))
