@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, sharding, substring_dedup, tokens
+from . import chat, decontamination, licenses, sharding, substring_dedup, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,23 @@ def substring_dedup_query(spark, folder):
     return cut.select("rest.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op3_exact_top_k", sql="""
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+        from embeddings
+        where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))
+    ), scored as (
+        select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+        from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+    ), ranked as (
+        select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored
+    )
+    select query_id, cast(place as integer) as rank, vec_id, score from ranked where place <= 5
+""")
+def top_k_query(spark, folder):
+    return topk.top_k(spark, table(spark, folder, "embeddings"), k=5, every=50, scale=256)
+
+
 @query("op4_license_scan")
 def license_scan(spark, folder):
     return licenses.license_scan(table(spark, folder, "documents"))
