@@ -191,24 +191,68 @@ def anchored(docs: DataFrame, size: int, estimates) -> DataFrame:
     return docs.mapInArrow(find, "anchor long, doc_id long, text_key long, first int, hashes binary")
 
 
+def _ranges(row: np.ndarray, place: np.ndarray, again: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, hi) of the word ranges under runs of flagged windows; windows are in the order of row and place."""
+    row, place = row[again], place[again]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    begin = np.flatnonzero(new)
+    stop = np.append(begin[1:], len(row))[: len(begin)] - 1
+    return row[begin], place[begin].astype(np.int32), (place[stop] + size).astype(np.int32)
+
+
+def _met_twice(group: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which (group, hash) stand more than once, and the index of one row of each distinct of those."""
+    order = np.lexsort((hashes, group))
+    same = (group[order][1:] == group[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
+    again = np.zeros(len(group), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    first = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]])) if len(same) else np.zeros(0, np.int64)
+    return again, order[first]
+
+
 def hot_windows(docs: DataFrame, size: int, estimates) -> DataFrame:
-    """Windows of hot anchors, a row each: (anchor, hash, doc_id, text_key, lo, hi)."""
+    """Windows of hot anchors, summed up per chunk of texts: (anchor, hash, n, doc_id, text_key, lo, hi).
+
+    What stands twice in a chunk is a finished range (no anchor) and one row with n = 2 for the other chunks; a window
+    that stands once is an open row with n = 1. So a window has at most one row per chunk, however often it stands.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for found, runs, row, first in _chosen(batch, size, estimates.value, hot=True):
                 length = found.length[runs]
-                rows = pa.array(np.repeat(row, length))
-                lo = _expand(first, length).astype(np.int32)
+                place, row = _expand(first, length), np.repeat(row, length)
+                anchor, hashes = np.repeat(found.anchor[runs], length), found.hash[_expand(found.first[runs], length)]
+                again, one = _met_twice(anchor, hashes)
+                done, lo, hi = _ranges(row, place, again, size)
+                alone = np.flatnonzero(~again)
+                n = [len(done), len(one), len(alone)]
+                none = lambda k, kind: pa.nulls(k, kind)
+                rows = pa.array(np.concatenate([done, np.zeros(n[1], np.int64), row[alone]]).astype(np.int64))
+                known = np.concatenate([one, alone])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        as_long(np.repeat(found.anchor[runs], length)), as_long(found.hash[_expand(found.first[runs], length)]),
-                        batch.column(0).take(rows), batch.column(2).take(rows), pa.array(lo), pa.array(lo + np.int32(size)),
+                        pa.concat_arrays([none(n[0], pa.int64()), as_long(anchor[known])]),
+                        pa.concat_arrays([none(n[0], pa.int64()), as_long(hashes[known])]),
+                        pa.array(np.repeat(np.array([0, 2, 1], np.int32), n)),
+                        batch.column(0).take(rows), batch.column(2).take(rows),
+                        pa.array(np.concatenate([lo, np.zeros(n[1], np.int32), place[alone].astype(np.int32)])),
+                        pa.array(np.concatenate([hi, np.zeros(n[1], np.int32), (place[alone] + size).astype(np.int32)])),
                     ],
-                    names=["anchor", "hash", "doc_id", "text_key", "lo", "hi"],
+                    names=["anchor", "hash", "n", "doc_id", "text_key", "lo", "hi"],
                 )
 
-    return docs.mapInArrow(find, "anchor long, hash long, doc_id long, text_key long, lo int, hi int")
+    return docs.mapInArrow(find, "anchor long, hash long, n int, doc_id long, text_key long, lo int, hi int")
+
+
+def hot_spans(rows: DataFrame) -> DataFrame:
+    """Word ranges of hot windows that stand twice or more, from the stored rows of `hot_windows`."""
+    twice = rows.filter("n > 0").groupBy("anchor", "hash").agg(F.sum("n").alias("all")).filter("all > 1")
+    spans = ["doc_id", "text_key", "lo", "hi"]
+    opened = rows.filter("n = 1").join(twice.select("anchor", "hash"), ["anchor", "hash"]).select(*spans)
+    return rows.filter("n = 0").select(*spans).unionByName(opened)
 
 
 def repeated_spans(runs: DataFrame, size: int) -> DataFrame:
@@ -223,20 +267,14 @@ def repeated_spans(runs: DataFrame, size: int) -> DataFrame:
         length = np.diff(edges) // 8
         row = np.repeat(np.arange(len(anchor)), length)
         group = np.cumsum(np.diff(anchor, prepend=anchor[:1]) != 0)[row]
-        order = np.lexsort((hashes, group))
-        same = (group[order][1:] == group[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
-        again = np.zeros(len(row) + 1, bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        new_row = np.append(np.diff(row, prepend=-1) != 0, True)
-        begin = np.flatnonzero(again & (new_row | ~np.roll(again, 1)))
-        stop = np.flatnonzero(~np.roll(again, -1)[:-1] & again[:-1] | again[:-1] & new_row[1:])
+        again, _ = _met_twice(group, hashes)
         place = table.column("first").to_numpy()[row] + (np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length))
-        rows = pa.array(row[begin])
+        begin, lo, hi = _ranges(row, place, again, size)
+        rows = pa.array(begin)
         return pa.RecordBatch.from_arrays(
             [
                 table.column("doc_id").combine_chunks().take(rows), table.column("text_key").combine_chunks().take(rows),
-                pa.array(place[begin].astype(np.int32)), pa.array((place[stop] + size).astype(np.int32)),
+                pa.array(lo), pa.array(hi),
             ],
             names=["doc_id", "text_key", "lo", "hi"],
         )
@@ -304,9 +342,7 @@ def dedup_substrings(spark: SparkSession, documents: DataFrame, size: int = 35,
     shared = spark.sparkContext.broadcast(estimates)
     spans = repeated_spans(anchored(docs, size, shared), size)
     if estimates.any_hot():
-        hot_rows = stored(hot_windows(docs, size, shared))
-        twice = hot_rows.groupBy("anchor", "hash").count().filter("count > 1").select("anchor", "hash")
-        spans = spans.unionByName(hot_rows.join(twice, ["anchor", "hash"]).select("doc_id", "text_key", "lo", "hi"))
+        spans = spans.unionByName(hot_spans(stored(hot_windows(docs, size, shared))))
     per_text = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(
         F.collect_list(F.struct("lo", "hi")).alias("spans")
     )
