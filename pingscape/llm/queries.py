@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, sharding, substring_dedup, tokens, topk
+from . import chat, decontamination, licenses, near_dedup, sharding, substring_dedup, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,11 @@ def chat_format(spark, folder):
     return chat.read_back(chat.format_turns(turns))
 
 
+@query("op7_near_duplicates")
+def near_duplicates_query(spark, folder):
+    return near_dedup.near_duplicates(spark, table(spark, folder, "documents"), width=5, percent=75)
+
+
 @query("op8_token_counts")
 def token_counts(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), tokenizer_path(), limit=1024)

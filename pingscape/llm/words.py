@@ -119,6 +119,11 @@ class Words:
         """Hashes of the windows of k words at every word; those that run over the end of a text mean nothing."""
         return window_hashes(self.h2 if second else self.h, k, int(second))
 
+    def windows_at(self, a: int, b: int) -> np.ndarray:
+        """Hash of the words from a up to b, as one value in an array."""
+        up, _ = _WORD_POWERS[0].upto(b - a)
+        return (self.h[a:b] * up).sum(keepdims=True, dtype=np.uint64)
+
     def whole(self, k: int) -> np.ndarray:
         """True where k words fit into the text."""
         ends = np.repeat(self.row[1:], np.diff(self.row))
