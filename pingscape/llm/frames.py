@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import checkpoint_dir
 from ..operators.checkpoints import cut as stored
 
-__all__ = ["key_of", "same_key", "stored", "tasks"]
+__all__ = ["key_of", "stored", "tasks", "without", "written"]
+
+#: A list of keys to leave out is broadcast up to this many rows of 16 bytes.
+MOST_KEYS = 200_000
 
 
 def key_of(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -22,8 +28,23 @@ def key_of(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
 
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder as Parquet and read it again: whole texts take less room than in checkpoints."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def without(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of a table with doc_id and text whose (doc_id, text_key) is not in `keys`; null ids are ids.
+
+    The keys are stored and counted; few are broadcast, so that texts are not shuffled, more are joined.
+    """
+    gone = stored(keys.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
+    text_key = F.xxhash64(df["text"].cast("string"))
+    same = df["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_key == gone["gone_key"])
+    return df.join(F.broadcast(gone) if gone.count() <= MOST_KEYS else gone, same, "left_anti")
 
 
 def tasks(df: DataFrame) -> int:

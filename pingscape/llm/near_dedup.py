@@ -6,8 +6,9 @@ all pairs under that distance share a key. At a similarity of exactly 0.75 a chu
 CHUNKS fail together with about 2e-6, and sooner the more alike two texts are.
 
 Documents with equal sets become one node first. Among the nodes of a key only pairs that can still join two
-components are confirmed: first every node with the smallest of its key; then, where a key still holds several
-components, the other pairs that the triangle inequality of the Jaccard distance to that smallest node leaves open.
+components are confirmed: first every node with its key's pivot, the node with most copies. Where a key still holds
+several components, shingles that no other such node has bound what a node can share, and the triangle inequality of
+the Jaccard distance to the pivot bounds pairs; only pairs that both bounds leave open are confirmed.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import bit_map, marked
-from .frames import stored
+from .frames import key_of, stored
 from .graph import relabelled
 from .words import SPACED_LOWER, Words, as_long, chunks, mix, seeded
 
 CHUNKS, CHUNK = 10, 4
 VALUES = CHUNKS * CHUNK
 FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Width of the bins of the distance to a key's smallest node.
+#: Width of the bins of the distance to a key's pivot.
 BIN = 0.05
 
 
@@ -45,7 +46,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 
 
 def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, one, two, keys): size and 128-bit sum of the set, and the keys of the signature's chunks."""
+    """(doc_id, text_key, n, one, two, keys): size and 128-bit sum of the set, and the keys of the signature's chunks."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,13 +78,13 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
             join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(join(size, np.int64)), as_long(join(one, np.uint64)), as_long(join(two, np.uint64)),
+                    batch.column(0), batch.column(2), pa.array(join(size, np.int64)), as_long(join(one, np.uint64)), as_long(join(two, np.uint64)),
                     pa.ListArray.from_arrays(edges, as_long(flat.ravel())),
                 ],
-                names=["doc_id", "n", "one", "two", "keys"],
+                names=["doc_id", "text_key", "n", "one", "two", "keys"],
             )
 
-    return documents.mapInArrow(sign, "doc_id long, n long, one long, two long, keys array<long>")
+    return documents.mapInArrow(sign, "doc_id long, text_key long, n long, one long, two long, keys array<long>")
 
 
 def _texts_of(documents: DataFrame, wanted) -> DataFrame:
@@ -137,6 +138,25 @@ def confirmed(spark: SparkSession, documents: DataFrame, pairs: DataFrame, width
     return found.groupBy("a", "b").agg(F.max_by(F.struct("same", "all"), F.col("same") / F.col("all")).alias("x")).select("a", "b", "x.*")
 
 
+def own_shingles(spark: SparkSession, documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, own): how many shingles of a node no other of the given nodes has."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column(1)):
+                sets = shingle_sets(data, offsets, width)
+                rows = pa.array(np.repeat(np.arange(a, b), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), as_long(np.concatenate([np.zeros(0, np.uint64), *sets]))], names=["node", "shingle"]
+                )
+
+    wanted = spark.sparkContext.broadcast(bit_map(_hashed(nodes, "node")))
+    texts = _texts_of(documents, wanted).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    shingles = texts.mapInArrow(each, "node long, shingle long")
+    rare = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    return rare.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _one_set(raw: bytes, width: int) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     return shingle_sets(data, np.array([0, len(data)]), width)[0]
@@ -145,20 +165,23 @@ def _one_set(raw: bytes, width: int) -> np.ndarray:
 def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of `percent` / 100 or more.
 
-    Returns, one row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id is
+    Returns, one row per input row: doc_id, text_key, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id is
     component_id). A text of fewer than `width` words is one shingle; null texts and texts without words have none
     and are linked with nothing, so they are their own component. A row with a null doc_id is linked with nothing,
     has no component and is kept. Rows that repeat a doc_id with equal sets share their component and `kept`; texts
     that differ under one doc_id are texts of their own, linked through nothing but their sets, unless that doc_id is
     the smallest of both sets. Empty tables give empty results. Other columns are not read.
     """
-    docs = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.coalesce(F.col("`text`").cast("string"), F.lit("")).alias("text"))
+    docs = key_of(documents).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "text_key")
     signed = stored(signatures(docs, width))
+    docs = docs.drop("text_key")
     member = signed.filter("doc_id is not null and n > 0")
-    nodes = member.groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"))
+    nodes = member.groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     first = member.join(nodes.withColumnRenamed("node", "doc_id"), ["one", "two", "n", "doc_id"]).dropDuplicates(["one", "two", "n", "doc_id"])
-    each = first.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").drop("last")
+    each = first.select(F.col("doc_id").alias("node"), "n", "copies", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.struct(-F.col("copies"), F.col("node"))).alias("pivot")
+    ).filter("low <> high").select("key", "pivot")
     held = stored(each.join(shared, "key"))  # nodes by key, for keys of several nodes
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes cannot qualify
@@ -170,29 +193,36 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, p
     tested = stored(confirmed(spark, docs, best, width))
     labels = relabelled(None, tested.filter(linked))
 
-    # The other smallest nodes of a node's keys, where they are not yet in one component.
+    # The other pivots of a node's keys, where they are not yet in one component.
     rest = _apart(stars.select("a", "b"), labels).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = stored(confirmed(spark, docs, rest, width))
     tested = stored(tested.unionByName(more))
     labels = relabelled(labels, more.filter(linked))
 
-    # Keys that still hold several components: distances of all their nodes to the smallest, then what these leave open.
-    split = _labelled(held.select("key", "node", "n", "pivot"), "node", "label", labels)
-    mixed = split.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    split = stored(split.join(mixed, "key"))
+    # Keys that still hold several components, without the nodes that can share too little with any other such node.
+    def several(rows: DataFrame) -> DataFrame:
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+        return rows.join(mixed.select("key"), "key")
+
+    split = stored(several(_labelled(held.select("key", "node", "n", "pivot"), "node", "label", labels)))
+    alone = own_shingles(spark, docs, split.select("node").distinct(), width)
+    split = split.join(alone, "node", "left").withColumn("can", F.col("n") - F.coalesce("own", F.lit(0)))
+    split = stored(several(split.filter(100 * F.col("can") >= percent * F.col("n")).drop("own")))
     asked = split.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     missing = asked.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     known = stored(tested.join(asked, ["a", "b"], "left_semi").unionByName(confirmed(spark, docs, missing, width)))
     far = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("same") / F.col("all")).alias("far"))
     others = split.filter("node <> pivot").join(far, ["pivot", "node"]).withColumn("bin", F.floor(F.col("far") / BIN).cast("int"))
     reach = int(np.ceil((100 - percent) / 100 / BIN)) + 1
-    x = others.select("key", "bin", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("far").alias("af"))
+    x = others.select("key", "bin", F.col("node").alias("a"), F.col("n").alias("an"), F.col("can").alias("ac"), F.col("label").alias("al"), F.col("far").alias("af"))
     y = others.select(
         "key", F.explode(F.sequence(F.col("bin") - reach, F.col("bin") + reach)).alias("bin"),
-        F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("far").alias("bf"),
+        F.col("node").alias("b"), F.col("n").alias("bn"), F.col("can").alias("bc"), F.col("label").alias("bl"), F.col("far").alias("bf"),
     )
     near = F.abs(F.col("af") - F.col("bf")) <= (100 - percent) / 100 + 1e-9
-    open_pairs = x.join(y, ["key", "bin"]).filter((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & near & fits(F.col("an"), F.col("bn")))
+    enough = (100 + percent) * F.least("ac", "bc") >= percent * (F.col("an") + F.col("bn"))
+    cross = (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))
+    open_pairs = x.join(y, ["key", "bin"]).filter(cross & near & enough & fits(F.col("an"), F.col("bn")))
     last = stored(open_pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     if not last.isEmpty():
         labels = relabelled(labels, stored(confirmed(spark, docs, last, width)).filter(linked))
@@ -203,7 +233,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, p
     )
     component = F.when(F.col("d.doc_id").isNotNull(), F.coalesce("s.label", "d.doc_id"))
     return whole.select(
-        F.col("d.doc_id").alias("doc_id"), F.col("d.n").alias("n_shingles"), component.alias("component_id"),
+        F.col("d.doc_id").alias("doc_id"), F.col("d.text_key").alias("text_key"), F.col("d.n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("d.doc_id") == component, F.lit(True)).alias("kept"),
     )
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, near_dedup, sharding, substring_dedup, tokens, topk
+from . import chat, decontamination, licenses, near_dedup, packing, sharding, substring_dedup, tokens, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,9 +75,14 @@ def chat_format(spark, folder):
     return chat.read_back(chat.format_turns(turns))
 
 
+@query("op6_best_fit_packing")
+def packing_query(spark, folder):
+    return packing.pack(spark, table(spark, folder, "documents"), tokenizer_path(), size=2048, end=0)
+
+
 @query("op7_near_duplicates")
 def near_duplicates_query(spark, folder):
-    return near_dedup.near_duplicates(spark, table(spark, folder, "documents"), width=5, percent=75)
+    return near_dedup.near_duplicates(spark, table(spark, folder, "documents"), width=5, percent=75).drop("text_key")
 
 
 @query("op8_token_counts")
@@ -88,3 +93,8 @@ def token_counts(spark, folder):
 @query("op9_sharding")
 def shards(spark, folder):
     return sharding.shards(table(spark, folder, "documents"), count=16)
+
+
+@query("op10_toxicity")
+def toxicity_query(spark, folder):
+    return toxicity.toxicity(spark, table(spark, folder, "documents"), table(spark, folder, "labels")).drop("text_key")
