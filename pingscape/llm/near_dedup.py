@@ -6,9 +6,10 @@ all pairs under that distance share a key. At a similarity of exactly 0.75 a chu
 CHUNKS fail together with about 2e-6, and sooner the more alike two texts are.
 
 Documents with equal sets become one node first. Among the nodes of a key only pairs that can still join two
-components are confirmed: first every node with its key's pivot, the node with most copies. Where a key still holds
-several components, shingles that no other such node has bound what a node can share, and the triangle inequality of
-the Jaccard distance to the pivot bounds pairs; only pairs that both bounds leave open are confirmed.
+components are confirmed: first every node with its key's pivot, the node with most copies, then, where a key still
+holds several components, the pairs across them. Before texts are compared, pairs pass two exact bounds: sets of too
+different sizes cannot qualify, nor can sets whose parity maps (BITS counters modulo 2 of hashed shingles) differ in
+more places than their symmetric difference may have elements.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import bit_map, marked
@@ -28,8 +29,8 @@ from .words import SPACED_LOWER, Words, as_long, chunks, mix, seeded
 CHUNKS, CHUNK = 10, 4
 VALUES = CHUNKS * CHUNK
 FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Width of the bins of the distance to a key's pivot.
-BIN = 0.05
+#: Size of a set's parity map.
+BITS = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -46,11 +47,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 
 
 def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, n, one, two, keys): size and 128-bit sum of the set, and the keys of the signature's chunks."""
+    """(doc_id, text_key, n, one, two, keys, bits): size, 128-bit sum, keys of the signature's chunks, parity map."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, one, two, keys = [], [], [], []
+            size, one, two, keys, parity = [], [], [], [], []
             for _, _, data, offsets in chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -69,6 +70,9 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                             rest = [own[:, i] for i in range(CHUNK) if i != out]
                             packed = rest[0] | (rest[1] << np.uint64(16)) | (rest[2] << np.uint64(32))
                             index[:, c * CHUNK + out] = seeded(packed, c * CHUNK + out)
+                for own in sets:
+                    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+                    parity.append(np.packbits(odd.astype(bool)).view(np.int64))
                 size.append(n)
                 one.append(sums[0])
                 two.append(sums[1])
@@ -80,11 +84,12 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                 [
                     batch.column(0), batch.column(2), pa.array(join(size, np.int64)), as_long(join(one, np.uint64)), as_long(join(two, np.uint64)),
                     pa.ListArray.from_arrays(edges, as_long(flat.ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(parity) + 1, dtype=np.int32) * (BITS // 64)), pa.array(join(parity, np.int64))),
                 ],
-                names=["doc_id", "text_key", "n", "one", "two", "keys"],
+                names=["doc_id", "text_key", "n", "one", "two", "keys", "bits"],
             )
 
-    return documents.mapInArrow(sign, "doc_id long, text_key long, n long, one long, two long, keys array<long>")
+    return documents.mapInArrow(sign, "doc_id long, text_key long, n long, one long, two long, keys array<long>, bits array<long>")
 
 
 def _texts_of(documents: DataFrame, wanted) -> DataFrame:
@@ -138,25 +143,6 @@ def confirmed(spark: SparkSession, documents: DataFrame, pairs: DataFrame, width
     return found.groupBy("a", "b").agg(F.max_by(F.struct("same", "all"), F.col("same") / F.col("all")).alias("x")).select("a", "b", "x.*")
 
 
-def own_shingles(spark: SparkSession, documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, own): how many shingles of a node no other of the given nodes has."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in chunks(batch.column(1)):
-                sets = shingle_sets(data, offsets, width)
-                rows = pa.array(np.repeat(np.arange(a, b), [len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), as_long(np.concatenate([np.zeros(0, np.uint64), *sets]))], names=["node", "shingle"]
-                )
-
-    wanted = spark.sparkContext.broadcast(bit_map(_hashed(nodes, "node")))
-    texts = _texts_of(documents, wanted).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    shingles = texts.mapInArrow(each, "node long, shingle long")
-    rare = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
-    return rare.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-
-
 def _one_set(raw: bytes, width: int) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     return shingle_sets(data, np.array([0, len(data)]), width)[0]
@@ -178,17 +164,24 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, p
     member = signed.filter("doc_id is not null and n > 0")
     nodes = member.groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     first = member.join(nodes.withColumnRenamed("node", "doc_id"), ["one", "two", "n", "doc_id"]).dropDuplicates(["one", "two", "n", "doc_id"])
-    each = first.select(F.col("doc_id").alias("node"), "n", "copies", F.explode("keys").alias("key"))
+    each = first.select(F.col("doc_id").alias("node"), "copies", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.struct(-F.col("copies"), F.col("node"))).alias("pivot")
     ).filter("low <> high").select("key", "pivot")
     held = stored(each.join(shared, "key"))  # nodes by key, for keys of several nodes
 
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes cannot qualify
-    sizes = first.select(F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"))
-    stars = stored(held.filter("node <> pivot").groupBy("pivot", "node", "n").count())
-    stars = stored(stars.join(sizes, "pivot").filter(fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "count"))
-    linked = (100 * F.col("same") >= percent * F.col("all"))
+    # Pairs that the sizes and parity maps of the two sets do not rule out.
+    def possible(x: str, y: str) -> Column:
+        sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+        differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+        return sizes & (differ * (100 + percent) <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
+    maps = first.select(F.col("doc_id").alias("node"), "n", "bits")
+    linked = 100 * F.col("same") >= percent * F.col("all")
+    stars = held.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).count()
+    x, y = maps.alias("x"), maps.alias("y")
+    stars = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(possible("x", "y"))
+    stars = stored(stars.select("a", "b", "count"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
     tested = stored(confirmed(spark, docs, best, width))
     labels = relabelled(None, tested.filter(linked))
@@ -196,34 +189,18 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, p
     # The other pivots of a node's keys, where they are not yet in one component.
     rest = _apart(stars.select("a", "b"), labels).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = stored(confirmed(spark, docs, rest, width))
-    tested = stored(tested.unionByName(more))
+    tested = stored(tested.unionByName(more).select("a", "b"))
     labels = relabelled(labels, more.filter(linked))
 
-    # Keys that still hold several components, without the nodes that can share too little with any other such node.
-    def several(rows: DataFrame) -> DataFrame:
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        return rows.join(mixed.select("key"), "key")
-
-    split = stored(several(_labelled(held.select("key", "node", "n", "pivot"), "node", "label", labels)))
-    alone = own_shingles(spark, docs, split.select("node").distinct(), width)
-    split = split.join(alone, "node", "left").withColumn("can", F.col("n") - F.coalesce("own", F.lit(0)))
-    split = stored(several(split.filter(100 * F.col("can") >= percent * F.col("n")).drop("own")))
-    asked = split.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    missing = asked.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    known = stored(tested.join(asked, ["a", "b"], "left_semi").unionByName(confirmed(spark, docs, missing, width)))
-    far = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("same") / F.col("all")).alias("far"))
-    others = split.filter("node <> pivot").join(far, ["pivot", "node"]).withColumn("bin", F.floor(F.col("far") / BIN).cast("int"))
-    reach = int(np.ceil((100 - percent) / 100 / BIN)) + 1
-    x = others.select("key", "bin", F.col("node").alias("a"), F.col("n").alias("an"), F.col("can").alias("ac"), F.col("label").alias("al"), F.col("far").alias("af"))
-    y = others.select(
-        "key", F.explode(F.sequence(F.col("bin") - reach, F.col("bin") + reach)).alias("bin"),
-        F.col("node").alias("b"), F.col("n").alias("bn"), F.col("can").alias("bc"), F.col("label").alias("bl"), F.col("far").alias("bf"),
-    )
-    near = F.abs(F.col("af") - F.col("bf")) <= (100 - percent) / 100 + 1e-9
-    enough = (100 + percent) * F.least("ac", "bc") >= percent * (F.col("an") + F.col("bn"))
-    cross = (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))
-    open_pairs = x.join(y, ["key", "bin"]).filter(cross & near & enough & fits(F.col("an"), F.col("bn")))
-    last = stored(open_pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    # Keys that still hold several components: the pairs across them.
+    split = _labelled(held.select("key", "node"), "node", "label", labels)
+    mixed = split.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    split = stored(split.join(mixed.select("key"), "key").join(maps, "node"))
+    x, y = split.alias("x"), split.alias("y")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    pairs = x.join(y, across & possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    last = stored(pairs.join(known, ["a", "b"], "left_anti"))
     if not last.isEmpty():
         labels = relabelled(labels, stored(confirmed(spark, docs, last, width)).filter(linked))
 
