@@ -29,7 +29,6 @@ MAX_DAY_DISTANCE_M = 100000
 ANCHOR_SECONDS = 86400
 BASE_CELL = -1
 FIRST_CELL_S = -600
-CELL_STEP_S = 60
 MIN_MOVING_KMH = 0.3
 MIN_SPREAD_KM = 50
 MIN_EVENT_ROWS = 200
@@ -42,7 +41,6 @@ ZONE_RADIUS_KM = 5.0
 FALSE_RATE_THRESHOLD = 0.769
 SHOP_MEAN_ROWS = 15
 TRIM_IQR = 10
-PLOT_CELLS_S = (300, 1800)
 
 # --- fixed values: counterfactuals ---
 MOVEMENT_COEF = -0.0000674

@@ -1,9 +1,11 @@
 """Alert log: switch times to named intervals with a duration."""
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import local_time, minute_of, seconds_between
+from ..functions.clock import local_time, minute_of
 from ..functions.fixed_values import LOCAL_ZONE, REGION_FIXES, REGION_RENAMES, REGION_SUFFIXES
 from .joins import alias_join, map_values
 from .ordered import pair_toggles
@@ -52,6 +54,8 @@ def clean_alerts(
 ) -> DataFrame:
     """Switch times -> alerts with English region, unit name and duration in minutes.
 
+    Durations are differences of epochs, so a change of the clocks during an alert does not count.
+
     `names` is the (key, value) dictionary of place labels; places without a label are left out.
     """
     named = map_values(alert_intervals(toggles, place, zone, order=order), place, names, "region_english")
@@ -59,7 +63,7 @@ def clean_alerts(
         "region_english", tidy_region(F.col("region_english"))
     )
     return name_regions(tidy, level1, level2, fixes).withColumn(
-        "duration", seconds_between(F.col("end_dt"), F.col("start_dt")) / 60
+        "duration", (F.col("end") - F.col("start")) / 60
     )
 
 
@@ -74,12 +78,19 @@ def alert_counts(alerts: DataFrame, region: str = "region_english") -> DataFrame
     return alert_days(alerts).groupBy(region, "day").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-def heat_table(counts: DataFrame, days: list[str], region: str = "region_english") -> DataFrame:
-    """Region x day table for a known list of days, zero filled, largest total first."""
-    wide = (
-        counts.withColumn("day", F.col("day").cast("string")).groupBy(region).pivot("day", days)
-        .agg(F.sum("alerts")).fillna(0, days)
-    )
+def heat_table(counts: DataFrame, days: list[str] | None = None, region: str = "region_english") -> DataFrame:
+    """Region x day table, zero filled, largest total first.
+
+    Without a list, the days are all from the first to the last with an alert; a day that is missing from a given list
+    stops the job instead of leaving the table and its total.
+    """
+    if days is None:
+        first, last = counts.agg(F.min(F.to_date("day")), F.max(F.to_date("day"))).first()
+        days = [str(first + timedelta(n)) for n in range((last - first).days + 1)] if first else []
+    day = F.col("day").cast("string")
+    unlisted = F.raise_error(F.concat(day, F.lit(" is not in the list of days"))).cast("string")
+    listed = F.when(day.isin(days), day).otherwise(unlisted)
+    wide = counts.withColumn("day", listed).groupBy(region).pivot("day", days).agg(F.sum("alerts")).fillna(0, days)
     total = sum((F.col(f"`{d}`") for d in days), F.lit(0))
     return wide.withColumn("total", total).orderBy(F.desc("total"), region)
 

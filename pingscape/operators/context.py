@@ -13,7 +13,7 @@ from .polygons import CELL, polygon_edges
 def _column_index(polygons: DataFrame, name: str, margin: float, wkt: str, cell: float) -> DataFrame:
     """(cx, cy, name, edges): for a grid cell, the edges above it or in it, with a margin around."""
     span = lambda lo, hi: F.sequence(grid_cell(lo - margin, cell), grid_cell(hi + margin, cell))
-    columns = polygon_edges(polygons, name, wkt).filter("x1 != x2").withColumn(
+    columns = polygon_edges(polygons, name, wkt, oriented=True).filter("x1 != x2").withColumn(
         "cx", F.explode(span(F.least("x1", "x2"), F.greatest("x1", "x2")))
     )
     first_cy = F.min(grid_cell(F.least("y1", "y2") - margin, cell)).over(W.partitionBy(name, "cx"))
@@ -28,8 +28,8 @@ def _column_index(polygons: DataFrame, name: str, margin: float, wkt: str, cell:
 def overlap_area(edges: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Area shared by a polygon and the rectangle [x0, x1] x [y0, y1].
 
-    Adds, edge by edge, the signed area below the edge inside the rectangle; rings must run in
-    opposite directions for shells and holes, as WKT writers do.
+    Adds, edge by edge, the signed area below the edge inside the rectangle; shells and holes must
+    run in opposite directions, see `polygons.oriented_rings`.
     """
     height = y1 - y0
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.clock import conflict_period
 from ..functions.fixed_values import (
     FALSE_RATE_THRESHOLD,
-    PLOT_CELLS_S,
     SHOP_MEAN_ROWS,
     TRIM_IQR,
 )
@@ -17,8 +16,11 @@ from .quantiles import group_quantiles
 
 
 def long_estimates(wide: DataFrame, ids: list[str], prefix: str = "e_TYPE_",
-                   cells: tuple[int, int] | None = PLOT_CELLS_S) -> DataFrame:
-    """Wide estimate columns -> (ids, period text, period_num in minutes, movement)."""
+                   cells: tuple[int, int] | None = None) -> DataFrame:
+    """Wide estimate columns -> (ids, period text, period_num in minutes, movement).
+
+    All cells, before and after the alert, unless `cells` names the first and last second of a part.
+    """
     columns = [c for c in wide.columns if c.startswith(prefix)]
     if cells:
         columns = [c for c in columns if cells[0] <= int(c[len(prefix):]) <= cells[1]]

@@ -11,11 +11,16 @@ from .joins import reference_join
 CELL = 0.25
 
 
-def polygon_edges(polygons: DataFrame, name: str, wkt: str = "geometry") -> DataFrame:
-    """One row per edge (x1, y1, x2, y2) of every ring; rows without geometry give none."""
-    rings = polygons.filter(F.col(wkt).isNotNull()).select(name, F.explode(wkt_rings(F.col(wkt))).alias("ring"))
+def polygon_edges(polygons: DataFrame, name: str, wkt: str = "geometry", oriented: bool = False) -> DataFrame:
+    """One row per edge (x1, y1, x2, y2) of every ring; rows without geometry give none.
+
+    With `oriented`, rings run one way where they add area and the other way where they take it away.
+    """
+    given = polygons.filter(F.col(wkt).isNotNull()).select(name, wkt_rings(F.col(wkt)).alias("rings"))
+    rings = oriented_rings(given, name) if oriented else given
     return (
-        rings.select(name, "ring", F.posexplode("ring").alias("i", "a"))
+        rings.select(name, F.explode("rings").alias("ring"))
+        .select(name, "ring", F.posexplode("ring").alias("i", "a"))
         .filter(F.col("i") < F.size("ring") - 1)
         .withColumn("b", F.element_at("ring", F.col("i") + 2))
         .select(
@@ -26,8 +31,8 @@ def polygon_edges(polygons: DataFrame, name: str, wkt: str = "geometry") -> Data
     )
 
 
-def ring_area(ring: Column) -> Column:
-    """Unsigned shoelace area of a closed ring of (x, y) structs."""
+def signed_area(ring: Column) -> Column:
+    """Shoelace area of a closed ring of (x, y) structs, positive if it runs against the clock."""
     steps = F.sequence(F.lit(2), F.size(ring))
     twice = F.aggregate(
         steps,
@@ -36,7 +41,49 @@ def ring_area(ring: Column) -> Column:
         + F.element_at(ring, i - 1)["x"] * F.element_at(ring, i)["y"]
         - F.element_at(ring, i)["x"] * F.element_at(ring, i - 1)["y"],
     )
-    return F.abs(twice) / 2
+    return twice / 2
+
+
+def ring_area(ring: Column) -> Column:
+    """Unsigned area of a closed ring."""
+    return F.abs(signed_area(ring))
+
+
+def _crossings(ring: Column, y: Column) -> Column:
+    """Sorted x of the places where a ring crosses the line at height y."""
+    at = lambda i: F.element_at(ring, i)
+    edges = F.filter(F.sequence(F.lit(2), F.size(ring)), lambda i: (at(i - 1)["y"] > y) != (at(i)["y"] > y))
+    slope = lambda i: (at(i)["x"] - at(i - 1)["x"]) / (at(i)["y"] - at(i - 1)["y"])
+    return F.array_sort(F.transform(edges, lambda i: at(i - 1)["x"] + slope(i) * (y - at(i - 1)["y"])))
+
+
+def oriented_rings(polygons: DataFrame, name: str) -> DataFrame:
+    """(name, rings): rings inside an odd number of larger rings run with the clock, all others against it.
+
+    WKT writers do not promise directions.  Rings of a polygon may touch but not cross, so a ring lies inside a larger
+    one if a point of its interior does; the point is between the first two crossings just above its lowest corner.
+    Rings without any height enclose nothing and stay as they are.
+    """
+    tall = polygons.withColumn("rings", F.filter("rings", lambda r: F.array_max(r["y"]) > F.array_min(r["y"])))
+    height = lambda r: (lambda ys: (ys[0] + ys[1]) / 2)(F.array_sort(F.array_distinct(r["y"])))
+    known = tall.withColumn(
+        "rings", F.transform("rings", lambda r: F.struct(r.alias("ring"), signed_area(r).alias("area"), height(r).alias("y")))
+    )
+    known = known.withColumn(
+        "rings", F.transform("rings", lambda k: F.struct(
+            k["ring"].alias("ring"), k["area"].alias("area"), k["y"].alias("y"), _crossings(k["ring"], k["y"]).alias("xs")
+        ))
+    )
+
+    def turned(k: Column) -> Column:
+        x = (k["xs"][0] + k["xs"][1]) / 2
+        around = F.filter("rings", lambda o: (F.abs(o["area"]) > F.abs(k["area"])) & (
+            F.size(F.filter(_crossings(o["ring"], k["y"]), lambda c: c > x)) % 2 == 1
+        ))
+        adds = F.size(around) % 2 == 0
+        return F.when((k["area"] > 0) == adds, k["ring"]).otherwise(F.reverse(k["ring"]))
+
+    return known.select(name, F.transform("rings", turned).alias("rings"))
 
 
 def polygon_cells(polygons: DataFrame, name: str, wkt: str = "geometry", cell: float = CELL) -> DataFrame:

@@ -199,6 +199,12 @@ def grouped_ols(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFr
 
 
 def wide_estimates(effects: DataFrame, cells: list[int], keys: list[str] = EVENT, prefix: str = "e_TYPE_") -> DataFrame:
-    """One row per event and one column per cell of a known list; unobserved cells are 0."""
+    """One row per event and one column per cell of a known list; unobserved cells are 0.
+
+    A cell that is missing from the list stops the job instead of being lost.
+    """
+    cell = F.col(CELL_COL)
+    unlisted = F.raise_error(F.concat(cell.cast("string"), F.lit(" is not in the list of cells"))).cast("int")
+    effects = effects.withColumn(CELL_COL, F.when(cell.isin(cells) | cell.isNull(), cell).otherwise(unlisted))
     wide = effects.groupBy(*keys).pivot(CELL_COL, cells).agg(F.first("b"))
     return wide.fillna(0.0, [str(c) for c in cells]).withColumnsRenamed({str(c): f"{prefix}{c}" for c in cells})

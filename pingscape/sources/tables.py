@@ -35,16 +35,6 @@ DWELL_SCHEMA = T.StructType(
         T.StructField("stay_length_sec", T.IntegerType()),
     ]
 )
-ALERT_SCHEMA = T.StructType(
-    [
-        T.StructField("region_english", T.StringType()),
-        T.StructField("start_dt", T.TimestampType()),
-        T.StructField("end_dt", T.TimestampType()),
-    ]
-)
-FRONT_SCHEMA = T.StructType(
-    [T.StructField("date", T.DateType()), T.StructField("geometry", T.StringType())]
-)
 
 
 def day_list(span: str) -> list[str]:

@@ -97,6 +97,20 @@ def test_largest_overlap_matches_sampling(spark):
             assert i not in out or out[i][1] < 0.02
 
 
+@pytest.mark.parametrize("wkt, area", [
+    ("MULTIPOLYGON (((0 0, 0.05 0, 0.05 0.1, 0 0.1, 0 0)), ((0.05 0, 0.05 0.1, 0.1 0.1, 0.1 0, 0.05 0)))", 0.01),
+    ("POLYGON ((0 0, 0.1 0, 0.1 0.1, 0 0.1, 0 0), (0.02 0.02, 0.08 0.02, 0.08 0.08, 0.02 0.08, 0.02 0.02))", 0.0064),
+    ("POLYGON ((0 0, 0 0.1, 0.1 0.1, 0.1 0, 0 0), (0.02 0.02, 0.08 0.02, 0.08 0.08, 0.02 0.08, 0.02 0.02))", 0.0064),
+    ("MULTIPOLYGON (((0 0, 0.1 0, 0.1 0.1, 0 0.1, 0 0), (0.02 0.02, 0.08 0.02, 0.08 0.08, 0.02 0.08, 0.02 0.02)), "
+     "((0.04 0.04, 0.04 0.06, 0.06 0.06, 0.06 0.04, 0.04 0.04)))", 0.0068),
+])
+def test_overlap_area_for_any_ring_direction(spark, wkt, area):
+    df = spark.createDataFrame([("u", wkt)], "name string, geometry string")
+    cells = spark.createDataFrame([(1, 0.0, 0.0, 1.0)], "wp_index long, x double, y double, v double")
+    out = context.largest_overlap(cells, df, "name", 0.1).collect()
+    assert len(out) == 1 and out[0].area == pytest.approx(area, abs=1e-12)
+
+
 def test_distances(spark):
     df = spark.createDataFrame([(49.0, 30.0, 49.01, 30.02), (None, 30.0, 49.0, 30.0)], "a double, b double, c double, d double")
     cols = [F.col(c) for c in "abcd"]

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pingscape.operators import regression
@@ -71,5 +72,7 @@ def test_grouped_ols_equals_lstsq(spark):
 def test_wide_estimates_fill_unobserved_cells(spark):
     df = frame(spark).withColumnsRenamed({"id": "region_english"}).withColumn("start_raid_next", F.lit("t"))
     fit = regression.dummy_effects(df, ["start_raid_next", "region_english"], "y")
+    with pytest.raises(Exception, match="not in the list"):
+        regression.wide_estimates(fit, CELLS[:1]).collect()
     wide = regression.wide_estimates(fit, CELLS).filter("region_english = 'missing_cell'").first()
     assert wide["e_TYPE_60"] == 0.0 and wide["e_TYPE_120"] == 0.0 and wide["e_TYPE_0"] != 0.0

@@ -127,8 +127,11 @@ def test_alert_over_midnight_counts_for_its_first_day(spark):
     assert {(r.region_english, str(r.day)): r.alerts for r in counts.collect()} == {
         ("a", "2022-03-01"): 1, ("a", "2022-03-05"): 1, ("a", "2022-03-06"): 1, ("a", "2022-03-07"): 1
     }
-    wide = alerts.heat_table(counts, ["2022-03-01", "2022-03-02"]).collect()
-    assert [(r["region_english"], r["2022-03-01"], r["2022-03-02"], r["total"]) for r in wide] == [("a", 1, 0, 1)]
+    days = [f"2022-03-0{d}" for d in range(1, 8)]
+    for wide in (alerts.heat_table(counts), alerts.heat_table(counts, days)):
+        assert [tuple(r) for r in wide.collect()] == [("a", 1, 0, 0, 0, 1, 1, 1, 4)]
+    with pytest.raises(Exception, match="not in the list"):
+        alerts.heat_table(counts, days[:2]).collect()
 
 
 def test_region_names(spark):
@@ -249,9 +252,11 @@ def test_long_estimates_and_unobserved_cells(spark):
     )
     long = estimates.with_time_period(estimates.decode_id(estimates.long_estimates(wide, ["id"])))
     rows = {r.period_num: r for r in long.collect()}
-    assert sorted(rows) == [5.0, 6.0]
+    assert sorted(rows) == [-10.0, 5.0, 6.0, 31.0]
+    some = estimates.long_estimates(wide, ["id"], cells=(300, 1800)).collect()
+    assert sorted(r.period_num for r in some) == [5.0, 6.0]
     assert (rows[5.0].region_english, str(rows[5.0].day), rows[5.0].time_period) == ("Kiev City", "2022-03-15", 1)
-    assert [r.period_num for r in estimates.drop_unobserved(long).collect()] == [6.0]
+    assert [r.period_num for r in estimates.drop_unobserved(long).collect()] == [-10.0, 6.0, 31.0]
 
 
 def test_local_curve_reproduces_a_parabola(spark):
