@@ -24,7 +24,7 @@ from .tokens import encoded_chunks
 
 #: Sizes of the rounded problem, the share of a sequence above which a length is large, and most improving columns.
 GROUPS, LARGE, MOST_COLUMNS = 64, 1 / 8, 600
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000
 
 
 def cut_lengths(total: int, size: int) -> list[int]:
@@ -213,9 +213,12 @@ def pack(spark: SparkSession, documents: DataFrame, path: str, size: int = 2048,
     table = np.array(ranges, np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)
 
-    buckets = max(1, -(-sum(counts.values()) // ROWS_PER_BUCKET))
+    # Ranks within a length: a frequent length is dealt to buckets of about ROWS_PER_BUCKET, each after those before it.
     order = ["doc_id", "piece", "ids_crc32", "start"]
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    frequent = {x: -(-n // ROWS_PER_BUCKET) for x, n in counts.items() if n > ROWS_PER_BUCKET}
+    known = F.create_map(*[F.lit(v).cast("long") for pair in frequent.items() for v in pair]) if frequent else None
+    buckets = F.coalesce(F.element_at(known, F.col("length")), F.lit(1)) if frequent else F.lit(1)
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), buckets))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "bucket").count().select(
         "length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")

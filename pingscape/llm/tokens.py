@@ -28,8 +28,8 @@ _VISIBLE[0x21:0x7F] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
 
-SLOTS = 1 << 21
-POOL_IDS = 1 << 23
+SLOTS = 1 << 20
+POOL_IDS = 1 << 22
 ENCODE_BYTES = 1 << 18
 
 
