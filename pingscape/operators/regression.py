@@ -77,7 +77,7 @@ def cell_slopes(df: DataFrame, keys: list[str], y: str, d: str, cell: str = CELL
     return used.groupBy(*keys, cell).agg(
         F.count(v).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"),
         F.sum(v).alias("sy"), F.sum(x * v).alias("sxy"),
-        F.min(x).alias("x_min"), F.max(x).alias("x_max"),
+        F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.var_pop(x).alias("x_var"),
         slope.alias("slope"), (F.avg(v) - slope * F.avg(x)).alias("intercept"),
     )
 
@@ -120,28 +120,35 @@ def _term(name: str, cell: Column, b: Column) -> Column:
 
 
 def _interacted_row(cells: list[dict], base: int) -> list[dict]:
-    """Minimum-norm solution of one event from its cell sums (a few dozen cells at most)."""
+    """Minimum-norm solution of one event from its cell sums (a few dozen cells at most).
+
+    The squares of a cell are n (y_mean - line at x_mean)^2 + n x_var (slope - slope of the line)^2 and a constant, so
+    two rows stand for a cell; solving these rows keeps the digits that products of raw sums would lose.
+    """
     named = sorted(c["cell"] for c in cells if c["cell"] != base)
     at = {c: i for i, c in enumerate(named)}
     k = len(named)
     # columns: constant, dummies, dummies x d, d
-    xtx, xty = np.zeros((2 * k + 2, 2 * k + 2)), np.zeros(2 * k + 2)
+    design, target = [], []
     for c in cells:
         one, line = [0], [2 * k + 1]
         if c["cell"] in at:
             one, line = [0, 1 + at[c["cell"]]], [2 * k + 1, 1 + k + at[c["cell"]]]
-        xtx[np.ix_(one, one)] += c["n"]
-        xtx[np.ix_(one, line)] += c["sx"]
-        xtx[np.ix_(line, one)] += c["sx"]
-        xtx[np.ix_(line, line)] += c["sxx"]
-        xty[one] += c["sy"]
-        xty[line] += c["sxy"]
+        weight, level = np.sqrt(c["n"]), np.zeros(2 * k + 2)
+        level[one], level[line] = 1.0, c["sx"] / c["n"]
+        design.append(weight * level)
+        target.append(weight * c["sy"] / c["n"])
+        if c["x_min"] < c["x_max"]:
+            weight, tilt = np.sqrt(c["n"] * c["x_var"]), np.zeros(2 * k + 2)
+            tilt[line] = 1.0
+            design.append(weight * tilt)
+            target.append(weight * c["slope"])
     all_d = {c["x_min"] for c in cells} | {c["x_max"] for c in cells}
     # a regressor that is already a non-zero constant takes the place of the constant
     constant_given = (k == 1 and len(cells) == 1) or (len(all_d) == 1 and 0.0 not in all_d)
     keep = np.arange(1 if constant_given else 0, 2 * k + 2)
     b = np.zeros(2 * k + 2)
-    b[keep] = np.linalg.pinv(xtx[np.ix_(keep, keep)], rcond=1e-12, hermitian=True) @ xty[keep]
+    b[keep] = np.linalg.lstsq(np.array(design)[:, keep], np.array(target), rcond=1e-10)[0]
     out = [{"term": "cell", "cell": c, "b": b[1 + i]} for c, i in at.items()]
     out += [{"term": "cell_x", "cell": c, "b": b[1 + k + i]} for c, i in at.items()]
     return out + [{"term": "x", "cell": None, "b": b[2 * k + 1]}]
@@ -149,7 +156,7 @@ def _interacted_row(cells: list[dict], base: int) -> list[dict]:
 
 def solve_interacted(sums: DataFrame, keys: list[str], cell: str = CELL_COL, base: int = BASE_CELL) -> DataFrame:
     """Coefficients from cell sums; one row per event (its cells as an array) reaches numpy."""
-    parts = F.struct(F.col(cell).cast("long").alias("cell"), "n", "sx", "sxx", "sy", "sxy", "x_min", "x_max")
+    parts = F.struct(F.col(cell).cast("long").alias("cell"), "n", "sx", "sy", "x_min", "x_max", "x_var", "slope")
     events = sums.groupBy(*keys).agg(F.collect_list(parts).alias("cells"))
 
     @F.pandas_udf("array<struct<term:string,cell:long,b:double>>")
@@ -162,40 +169,48 @@ def solve_interacted(sums: DataFrame, keys: list[str], cell: str = CELL_COL, bas
 def grouped_ols(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     """General OLS per group on any columns and a constant: (keys, term, b), constant left out.
 
-    The cross products are summed by Spark (rows with a missing value dropped); the solver sees one
-    row per group.
+    Means and covariances are made by Spark (rows with a missing value dropped); the solver sees one
+    row of them per group.
     """
     complete = df.dropna("any", subset=[y, *xs])
-    cols = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
+    cols = [*[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
     size = len(cols)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     sums = complete.groupBy(*keys).agg(
-        F.array(*[F.sum(cols[i] * cols[j]) for i, j in pairs]).alias("s"),
-        F.array(*[F.min(c) for c in cols[1:-1]]).alias("lo"),
-        F.array(*[F.max(c) for c in cols[1:-1]]).alias("hi"),
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in cols]).alias("means"),
+        F.array(*[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).alias("s"),
+        F.array(*[F.min(c) for c in cols[:-1]]).alias("lo"),
+        F.array(*[F.max(c) for c in cols[:-1]]).alias("hi"),
     )
 
     @F.pandas_udf("array<struct<term:string,b:double>>")
-    def solve(s: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    def solve(n: pd.Series, means: pd.Series, s: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
         rows = []
-        for sums_row, lo_row, hi_row in zip(s, lo, hi):
-            m = np.zeros((size, size))
+        for count, mean, sums_row, low, high in zip(n, means, s, lo, hi):
+            m, mean, low = np.zeros((size, size)), np.array(mean), np.array(low)
             for (i, j), value in zip(pairs, sums_row):
                 m[i, j] = m[j, i] = value
-            constant_given = any(a == z and a != 0 for a, z in zip(lo_row, hi_row))
-            keep = np.arange(1 if constant_given else 0, size - 1)
+            same = low == np.array(high)
+            varied, fixed = np.flatnonzero(~same), np.flatnonzero(same & (low != 0))
             b = np.zeros(size - 1)
-            scale = np.sqrt(np.diag(m)[keep])
-            scale[scale == 0] = 1.0
-            xtx = m[np.ix_(keep, keep)]
-            if np.linalg.matrix_rank(xtx / np.outer(scale, scale), tol=1e-10, hermitian=True) == len(keep):
-                b[keep] = np.linalg.solve(xtx / np.outer(scale, scale), m[keep, -1] / scale) / scale
-            else:
-                b[keep] = np.linalg.pinv(xtx, rcond=1e-12, hermitian=True) @ m[keep, -1]
-            rows.append([{"term": x, "b": b[i + 1]} for i, x in enumerate(xs)])
+            scale = np.sqrt(np.diag(m)[varied])
+            corr = m[np.ix_(varied, varied)] / np.outer(scale, scale)
+            if not len(varied) or np.linalg.matrix_rank(corr, tol=1e-10, hermitian=True) == len(varied):
+                # centred slopes; regressors that are constant share the level in the smallest way
+                b[varied] = np.linalg.solve(corr, m[varied, -1] / scale) / scale
+                if len(fixed):
+                    b[fixed] = (mean[-1] - b[varied] @ mean[varied]) * low[fixed] / (low[fixed] ** 2).sum()
+            else:  # minimum norm, from raw products with the constant unless a regressor takes its place
+                full = np.append(1.0, mean)
+                raw = count * np.outer(full, full)
+                raw[1:, 1:] += count * m
+                keep = np.arange(1 if len(fixed) else 0, size)
+                found = np.linalg.pinv(raw[np.ix_(keep, keep)], rcond=1e-12, hermitian=True) @ raw[keep, -1]
+                b = found[-(size - 1):]
+            rows.append([{"term": x, "b": b[i]} for i, x in enumerate(xs)])
         return pd.Series(rows)
 
-    return sums.select(*keys, F.explode(solve("s", "lo", "hi")).alias("t")).select(*keys, "t.*")
+    return sums.select(*keys, F.explode(solve("n", "means", "s", "lo", "hi")).alias("t")).select(*keys, "t.*")
 
 
 def wide_estimates(effects: DataFrame, cells: list[int], keys: list[str] = EVENT, prefix: str = "e_TYPE_") -> DataFrame:

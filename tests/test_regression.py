@@ -76,3 +76,24 @@ def test_wide_estimates_fill_unobserved_cells(spark):
         regression.wide_estimates(fit, CELLS[:1]).collect()
     wide = regression.wide_estimates(fit, CELLS).filter("region_english = 'missing_cell'").first()
     assert wide["e_TYPE_60"] == 0.0 and wide["e_TYPE_120"] == 0.0 and wide["e_TYPE_0"] != 0.0
+
+
+@pytest.mark.parametrize("centre, spread", [(270.0, 5.0), (270.0, 0.5), (1000.0, 0.05)])
+def test_solvers_keep_digits_far_from_zero(spark, centre, spread):
+    """Against the minimum-norm solution of the design itself; one cell has a single distance, so the solver is used."""
+    rng = np.random.default_rng(4)
+    cell = rng.choice([0, 60, 120, 180], 400)
+    d = centre + spread * rng.standard_normal(400)
+    d[cell == 180] = centre + spread
+    y = 3 + 0.01 * cell + (1.8 + 0.002 * cell) * (d - centre) + 0.1 * rng.standard_normal(400)
+    df = spark.createDataFrame(pd.DataFrame({"e": "a", regression.CELL_COL: cell, "d": d, "y": y}))
+    got = {(r.term, r.cell): r.b for r in regression.interacted_effects(df, ["e"], "y", "d", base=0).collect()}
+    names = [("cell", c) for c in (60, 120, 180)] + [("cell_x", c) for c in (60, 120, 180)] + [("x", None)]
+    dummies = [(cell == c).astype(float) for c in (60, 120, 180)]
+    design = np.column_stack([np.ones(400), *dummies, *[z * d for z in dummies], d])
+    want = np.linalg.lstsq(design, y, rcond=1e-12)[0][1:]
+    for name, value in zip(names, want):
+        assert abs(got[name] - value) <= 1e-8 * max(1.0, abs(value)) * (centre / spread), name
+    plain = {r.term: r.b for r in regression.grouped_ols(df.withColumn("u", F.col("d") * 0 + 7), ["e"], "y", ["d", "u"]).collect()}
+    slope = np.polyfit(d - d.mean(), y, 1)[0]
+    assert plain["d"] == pytest.approx(slope, rel=1e-8) and plain["u"] == pytest.approx((y.mean() - slope * d.mean()) / 7, rel=1e-8)
