@@ -20,7 +20,7 @@ from .frames import key_of, stored
 from .words import LETTERS, Words, as_long, chunks
 
 #: Bounds of what is gathered for training: toxic texts, unlabelled texts, words.
-TOXIC_ROWS, UNLABELLED_ROWS, FEATURES = 4000, 12000, 1024
+TOXIC_ROWS, UNLABELLED_ROWS, FEATURES = 4000, 12000, 2048
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 LOOKUP_BITS = 16
 
