@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,17 +122,21 @@ class Scanner:
     def scan(self, text: bytes) -> tuple:
         words = text.translate(_FOLD).split(b" ")
         words = [w for w in words if w]
-        line = " " + b" ".join(words).decode("latin-1") + " "
-        places, base, more, tagged = [], set(), set(), False
+        raw = b" " + b" ".join(words) + b" "
+        line = raw.decode("latin-1")
+        begins, base, more, tagged = [], set(), set(), False
         for end, (length, kinds) in self.automaton.iter(line):
             for kind, label in kinds:
                 if kind == "base":
-                    places.append(line.count(" ", 0, end - length + 2) - 1)
+                    begins.append(end - length + 1)
                     base.add(label)
                 elif kind == "more":
                     more.add(label)
                 else:
                     tagged = True
+        # The space before word number i is the i-th; one pass over them, however many places there are.
+        spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20) if begins else []
+        places = np.searchsorted(spaces, begins).tolist()
         expressions = []
         if tagged:
             for m in TAG_LINE.finditer(text):
