@@ -50,7 +50,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic = known.filter((F.col("toxic") == 1) & ours).select("doc_id").distinct().orderBy(*order).limit(TOXIC_ROWS)
     some = docs.select("doc_id").filter(ours & F.col("doc_id").isNotNull()).distinct().orderBy(*order).limit(UNLABELLED_ROWS)
     chosen = toxic.withColumn("toxic", F.lit(True)).unionByName(some.withColumn("toxic", F.lit(False)))
-    return docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # ids of bounded samples
+    rows = docs.join(F.broadcast(chosen), "doc_id")  # ids of bounded samples
+    return rows.groupBy("toxic", "doc_id").agg(F.min("text").alias("text")).select("toxic", "text")  # one text per id
 
 
 def word_shares(rows: DataFrame) -> DataFrame:

@@ -149,6 +149,14 @@ def test_licenses(edges, edge_rows, empty):
     )
 
 
+def test_licenses_in_a_text_of_many_places(spark):
+    """Every place of overlapping and repeated phrases in one long text; the work is linear in their number."""
+    said = "x Under the MIT license apache license version 2 cc by nc, " * 30000
+    row = licenses.license_scan(docs_table(spark, [(1, said)])).first()
+    got = (row["n_words"], row["n_base"], row["first_word"], row["last_word"], row["base_labels"])
+    assert got == (360000, 90000, 1, 359997, "apache-2,cc-by-nc,mit")
+
+
 @pytest.mark.parametrize(("text", "ways"), [
     ("MIT", [{"mit"}]), ("MIT OR Apache-2.0 AND BSD", [{"mit"}, {"apache-2.0", "bsd"}]), ("(MIT OR A) AND B", [{"mit", "b"}, {"a", "b"}]),
     ("GPL-2.0 WITH X OR MIT", [{"gpl-2.0 with x"}, {"mit"}]), ("MIT is the licence", [{"mit"}]),
@@ -288,6 +296,14 @@ def test_toxicity(spark, edges, edge_rows, empty):
     assert {r["score"] for r in none} == {0.0} and toxicity.toxicity(spark, empty, odd).count() == 0
 
 
+def test_training_sample_has_one_text_per_id(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(2, "u"), (2, None), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    ours = {d for d in (1, 2, 3) if zlib.crc32(str(d).encode()) % 5}
+    rows = toxicity.sample(docs, labels).collect()
+    assert len([r for r in rows if not r["toxic"]]) == len(ours) and len([r for r in rows if r["toxic"]]) == len(ours & {1})
+
+
 def test_training_finds_the_words():
     rng = np.random.default_rng(3)
     toxic, unlabelled = rng.random((300, 20)) < 0.1, rng.random((1000, 20)) < 0.1
