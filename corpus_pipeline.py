@@ -13,14 +13,14 @@ from pingscape.llm.decontamination import contamination
 from pingscape.llm.frames import without, written
 from pingscape.llm.near_dedup import near_duplicates
 from pingscape.llm.packing import pack
-from pingscape.llm.queries import tokenizer_path
+from pingscape.llm.queries import table, tokenizer_path
 from pingscape.llm.substring_dedup import dedup_substrings
 from pingscape.llm.toxicity import toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
-    scored = toxicity(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity(spark, docs, table(spark, sf_dir, "labels"))
     return without(docs, scored.filter("predicted = 1"))
 
 
@@ -45,7 +45,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(spark, docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.filter("contaminated"))
 
 
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage makes of `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

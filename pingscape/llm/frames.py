@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import checkpoint_dir
 from ..operators.checkpoints import cut as stored
 
-__all__ = ["key_of", "stored", "tasks", "without", "written"]
+__all__ = ["key_of", "small_batches", "stored", "tasks", "without", "written"]
 
+#: Spark's setting for the bytes of an Arrow batch, its default, and what whole texts are sent in.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 #: A list of keys to leave out is broadcast up to this many rows of 16 bytes.
 MOST_KEYS = 200_000
 
@@ -28,6 +30,15 @@ def key_of(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in batches of BATCH_BYTES, where it still has the default of 64 MB.
+
+    A batch is held by the JVM and by Python, and again as output, so its size decides the memory beside the heap.
+    """
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder as Parquet and read it again: whole texts take less room than in checkpoints."""
     spark = df.sparkSession

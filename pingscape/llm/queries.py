@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, licenses, near_dedup, packing, sharding, substring_dedup, tokens, topk, toxicity
+from .frames import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -32,7 +34,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-
 @query("op1_decontamination")
 def decontamination_query(spark, folder):
     found = decontamination.contamination(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
