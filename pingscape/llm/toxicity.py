@@ -23,6 +23,7 @@ from .words import LETTERS, Words, as_long, chunks
 TOXIC_ROWS, UNLABELLED_ROWS, FEATURES = 4000, 12000, 2048
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 LOOKUP_BITS = 16
+BLOCK_ROWS = 2048
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
@@ -90,8 +91,8 @@ class Features:
         return row[some][hit], at[hit]
 
 
-def sampled_features(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic flags and the 0/1 matrix of the sample, as bits: bounded by the sample and the number of words."""
+def sampled_features(rows: DataFrame, features: Features) -> tuple["Ones", "Ones"]:
+    """0/1 matrices of the toxic and the unlabelled texts: bounded by the sample and the number of words."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,30 +105,57 @@ def sampled_features(rows: DataFrame, features: Features) -> tuple[np.ndarray, n
 
     out = rows.mapInArrow(look, "toxic boolean, bits binary").toArrow()
     bits = np.frombuffer(b"".join(out.column("bits").to_pylist()), np.uint8).reshape(out.num_rows, -1)
-    x = np.unpackbits(bits, axis=1, count=len(features.words)) if out.num_rows else np.zeros((0, len(features.words)), np.uint8)
-    return out.column("toxic").to_numpy().astype(bool), x
+    flags = out.column("toxic").to_numpy().astype(bool)
+    return Ones(bits[flags], len(features.words)), Ones(bits[~flags], len(features.words))
 
 
-def train(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+class Ones:
+    """A 0/1 matrix, given as packed bits, by the places of its ones in blocks of rows.
+
+    Texts hold few of the words, so this is much smaller than the numbers; at worst it is two bytes a place and row.
+    """
+
+    def __init__(self, bits: np.ndarray, width: int):
+        self.rows, self.width, self.blocks = len(bits), width, []
+        for a in range(0, self.rows, BLOCK_ROWS):
+            row, column = np.nonzero(np.unpackbits(bits[a : a + BLOCK_ROWS], axis=1, count=width))
+            self.blocks.append((slice(a, min(a + BLOCK_ROWS, self.rows)), row.astype(np.uint16), column.astype(np.uint16)))
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """Per row the sum of the weights of its ones."""
+        out = np.zeros(self.rows)
+        for at, row, column in self.blocks:
+            out[at] = np.bincount(row, weights[column], at.stop - at.start)
+        return out
+
+    def across(self, slopes: np.ndarray) -> np.ndarray:
+        """Per column the sum of the slopes of the rows with a one."""
+        out = np.zeros(self.width)
+        for at, row, column in self.blocks:
+            out += np.bincount(column, slopes[at][row], self.width)
+        return out
+
+
+def train(toxic: Ones | np.ndarray, unlabelled: Ones | np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative positive-unlabelled risk with the logistic loss (Adam)."""
-    p, u = toxic.astype(np.float32), unlabelled.astype(np.float32)
-    w, b = np.zeros(p.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
+    p, u = (x if isinstance(x, Ones) else Ones(np.packbits(x.astype(bool), axis=1), x.shape[1]) for x in (toxic, unlabelled))
+    w, b = np.zeros(p.width), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
+        zp, zu = p.times(w) + b, u.times(w) + b
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         # Slopes of the loss in z: calling toxic texts clean, and the corrected risk of calling clean texts toxic.
-        slope_p, slope_u = -prior * (1 - sp) / len(p), np.zeros_like(su)
+        slope_p, slope_u = -prior * (1 - sp) / p.rows, np.zeros_like(su)
         if clean >= 0:
-            slope_p, slope_u = slope_p - prior * sp / len(p), su / len(u)
+            slope_p, slope_u = slope_p - prior * sp / p.rows, su / u.rows
         else:
-            slope_p, slope_u = prior * sp / len(p), -su / len(u)
-        g = np.append(p.T @ slope_p + u.T @ slope_u + DECAY * w, slope_p.sum() + slope_u.sum())
+            slope_p, slope_u = prior * sp / p.rows, -su / u.rows
+        g = np.append(p.across(slope_p) + u.across(slope_u) + DECAY * w, slope_p.sum() + slope_u.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), np.float32(b - step[-1])
-    return w.astype(float), float(b)
+        w, b = w - step[:-1], float(b - step[-1])
+    return w, b
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
@@ -146,8 +174,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     unlike = F.abs(a - b) / F.sqrt(both * (1 - both) + 1e-4)
     words = word_shares(rows).filter(F.col("in_toxic") + F.col("in_unlabelled") >= 5).orderBy(F.desc(unlike), "word").limit(FEATURES)
     features = Features(np.array([r["word"] for r in words.select("word").collect()], np.int64).view(np.uint64))
-    flags, x = sampled_features(rows, features)
-    weights, bias = train(x[flags], x[~flags], prior)
+    weights, bias = train(*sampled_features(rows, features), prior)
     return features.words, weights, bias
 
 
