@@ -7,7 +7,7 @@ from ..functions.clock import local_time, minute_of
 from ..functions.fixed_values import LOCAL_ZONE, MAX_KMH
 from ..functions.geo import chord_m, speed_kmh
 from .joins import reference_join
-from .ordered import CHUNK, hour_chunk, previous_row
+from .ordered import hour_chunk, previous_row
 from .polygons import locate
 
 PING_ORDER = ["utc_timestamp", "latitude", "longitude"]
@@ -36,12 +36,15 @@ def drop_jumps(speeds: DataFrame, max_kmh: float = MAX_KMH) -> DataFrame:
 
 
 def minute_means(speeds: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
-    """One row per device and local minute; the hour chunk stays in the key, so no new shuffle."""
+    """One row per device and local minute, also of the hour that a clock change repeats.
+
+    The key has no UTC hour, as that would split such a minute; what is shuffled for it are sums per minute.
+    """
     local = local_time(F.col("utc_timestamp"), zone)
     return (
         speeds.withColumn("minute", minute_of(local))
         .withColumn("day", F.to_date("minute"))
-        .groupBy("caid", CHUNK, "minute", "day")
+        .groupBy("caid", "minute", "day")
         .agg(
             F.avg("kmh").alias("kmh_avg"),
             F.avg("distance").alias("distance_avg"),
@@ -126,8 +129,8 @@ def minute_panel(
 ) -> DataFrame:
     """Pings -> one row per device-minute inside a region, with its alert state.
 
-    One shuffle of the pings, on (device, hour); all later groupings contain that key.  A region
-    that never has an alert yields a null region name.
+    The pings are shuffled on (device, hour), their sums per minute on (device, minute); all later groupings contain
+    that key.  A region that never has an alert yields a null region name.
     """
     per_minute = minute_means(drop_jumps(with_speed(pings), max_kmh), zone)
     known = alerts.select("region_english").distinct().withColumn("known", F.lit(True))
@@ -140,7 +143,7 @@ def minute_panel(
         "region_english", F.when(F.col("region.known"), F.col("region.geo"))
     )
     matched = attach_alerts(located.drop("region"), alerts)
-    return one_region_per_minute(matched, ["caid", CHUNK, "minute", "day"], MEASURES).drop(CHUNK)
+    return one_region_per_minute(matched, ["caid", "minute", "day"], MEASURES)
 
 
 def with_city(panel: DataFrame, cities: DataFrame) -> DataFrame:

@@ -136,3 +136,12 @@ def test_consistent_sample_and_exclusions(spark):
     assert {r.caid for r in events.consistent_sample(events.with_period(df)).collect()} == {"all"}
     named = spark.createDataFrame([("Kiev",), ("Donetsk oblast",), ("Luhansk",)], "region_english string")
     assert [r[0] for r in events.exclude_names(named).collect()] == ["Kiev"]
+
+
+def test_repeated_hour_gives_one_row_per_minute(spark):
+    """00:30 and 01:30 UTC on 2022-10-30 are both 03:30 in Kyiv."""
+    at = 1667089800
+    rows = [("a", at + d, 49.0 + k * 1e-4, 30.0, 1.0, 0.5, float(k)) for k, d in enumerate((0, 20, 3600, 3620))]
+    speeds = spark.createDataFrame(rows, "caid string, utc_timestamp long, latitude double, longitude double, altitude double, kmh double, distance double")
+    out = panel.minute_means(speeds, "Europe/Kyiv").collect()
+    assert [(r["minute"].hour, r["minute"].minute, r["distance_sum"]) for r in out] == [(3, 30, 6.0)]
