@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 CHUNK = "chunk"
 
 
@@ -119,16 +121,16 @@ def merge_in_sequence(
     """Merge intervals in position order: a new group starts where `start` is after every earlier end.
 
     Returns one row per group: keys, group_no (0-based), first_pos, last_pos.  Members are the input
-    rows whose position lies between them.  Two steps: groups inside a block first (running
-    window per (key, block)), then the few block-level groups of a key.
+    rows whose position lies between them.  The block must not decrease along the position.  Groups
+    inside a block come first; the latest end and the number of groups before a block reach it in
+    carry rows, so a window over a key sees one row per block.
     """
-    in_block = W.partitionBy(*keys, block).orderBy(pos)
-    local = (
-        df.withColumn(
-            "seen_end", F.max(end).over(in_block.rowsBetween(W.unboundedPreceding, -1))
-        )
-        .withColumn("fresh", (F.col("seen_end").isNull() | (F.col(start) > F.col("seen_end"))).cast("int"))
-        .withColumn("local_no", F.sum("fresh").over(in_block.rowsBetween(W.unboundedPreceding, 0)))
+    earlier = W.unboundedPreceding, -1
+    by_pos = W.partitionBy(*keys, block).orderBy(pos)
+    local = cut(
+        df.withColumn("seen_end", F.max(end).over(by_pos.rowsBetween(*earlier)))
+        .withColumn("fresh", _after(start, "seen_end"))
+        .withColumn("local_no", F.sum("fresh").over(by_pos.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy(*keys, block, "local_no")
         .agg(
             F.min_by(start, pos).alias("first_start"),
@@ -136,21 +138,35 @@ def merge_in_sequence(
             F.min(pos).alias("lo"),
             F.max(pos).alias("hi"),
         )
+        .drop("local_no")
     )
-    by_key = W.partitionBy(*keys).orderBy("lo")
+    by_block = W.partitionBy(*keys).orderBy(block).rowsBetween(*earlier)
+    by_lo = W.partitionBy(*keys, block).orderBy("own", "lo")
+    ends = local.groupBy(*keys, block).agg(F.max("last_end").alias("block_end"))
+    carry = ends.select(*keys, block, F.max("block_end").over(by_block).alias("last_end"))
+    started = (
+        _with_carry(local, carry)
+        .withColumn("seen_end", F.max("last_end").over(by_lo.rowsBetween(*earlier)))
+        .filter("own = 1")
+        .select(*keys, block, "lo", "hi", _after("first_start", "seen_end").alias("fresh"))
+    )
+    counts = started.groupBy(*keys, block).agg(F.sum("fresh").alias("groups"))
+    offsets = counts.select(*keys, block, F.coalesce(F.sum("groups").over(by_block), F.lit(0)).alias("offset"))
+    number = F.sum(F.coalesce("offset", "fresh")).over(by_lo.rowsBetween(W.unboundedPreceding, 0)) - 1
     return (
-        local.withColumn(
-            "seen_end", F.max("last_end").over(by_key.rowsBetween(W.unboundedPreceding, -1))
-        )
-        .withColumn(
-            "fresh", (F.col("seen_end").isNull() | (F.col("first_start") > F.col("seen_end"))).cast("int")
-        )
-        .withColumn("group_no", F.sum("fresh").over(by_key.rowsBetween(W.unboundedPreceding, 0)) - 1)
+        _with_carry(started, offsets)
+        .withColumn("group_no", number)
+        .filter("own = 1")
         .groupBy(*keys, "group_no")
         .agg(F.min("lo").alias("first_pos"), F.max("hi").alias("last_pos"))
     )
 
 
+def _after(start: str, seen_end: str) -> Column:
+    """1 where an interval starts after every earlier end, or none is earlier."""
+    return (F.col(seen_end).isNull() | (F.col(start) > F.col(seen_end))).cast("int")
+
+
 def pair_toggles(
     df: DataFrame, keys: list[str], time: str, order: list[str], chunk: Column
 ) -> DataFrame:

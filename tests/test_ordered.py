@@ -73,3 +73,22 @@ def test_odd_toggle_leaves_other_keys_alone(spark):
     out = ordered.pair_toggles(df, ["k"], "t", ["t"], F.floor(F.col("t") / 1000)).collect()
     assert sorted((r.k, r.start, r.end) for r in out if r.k == "b") == [("b", 5, 15), ("b", 4000, 4100)]
     assert sorted((r.start, r.end or 0) for r in out if r.k == "a") == [(10, 20), (30, 0)]
+
+
+def test_merge_of_a_key_with_many_blocks_matches_a_loop(spark):
+    """Starts are not in order and long intervals reach over many blocks; a null key is a key."""
+    rng = np.random.default_rng(8)
+    start = np.cumsum(rng.integers(0, 9, 2000)) - rng.integers(0, 12, 2000)
+    end = start + np.where(rng.random(2000) < 0.01, 400, rng.integers(0, 8, 2000))
+    want, seen = [], None
+    for pos in range(2000):
+        if seen is None or start[pos] > seen:
+            want.append([pos, pos])
+        want[-1][1] = pos
+        seen = end[pos] if seen is None else max(seen, end[pos])
+    rows = [(k, pos, pos // 16, int(start[pos]), int(end[pos])) for k in ("hot", None) for pos in range(2000)]
+    df = spark.createDataFrame(rows, "k string, pos long, block long, s long, e long")
+    out = ordered.merge_in_sequence(df, ["k"], "block", "pos", "s", "e").orderBy("k", "group_no").collect()
+    for key in ("hot", None):
+        assert [[r.first_pos, r.last_pos] for r in out if r.k == key] == want
+        assert [r.group_no for r in out if r.k == key] == list(range(len(want)))
