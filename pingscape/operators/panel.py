@@ -56,27 +56,36 @@ def minute_means(speeds: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     )
 
 
-def alert_minutes(alerts: DataFrame) -> DataFrame:
-    """(region, minute) -> earliest start and latest end of the alerts that cover the minute.
+def alert_spans(alerts: DataFrame) -> DataFrame:
+    """(region, hour) -> the spans of minutes in the hour that alerts cover, each with its earliest start and latest end.
 
-    A minute is covered when its first second lies in [start, end].  An open end covers only the
-    minutes up to its start, as a comparison with null is not true.  The panel clock is whole
-    minutes, so this turns the interval join into an equi-join with at most one match.
+    A minute is covered when its first second lies in [start, end].  An open end covers only the minutes up to its
+    start, as a comparison with null is not true.  An hour has at most 1,830 spans of whole minutes, which bounds the
+    array, and a long alert takes one row per hour.
     """
     start = F.col("start_dt")
-    first = F.when(minute_of(start) == start, start).otherwise(
-        minute_of(start) + F.expr("INTERVAL 1 MINUTE")
-    )
-    last = minute_of(F.col("end_dt"))
+    first = F.when(minute_of(start) == start, start).otherwise(minute_of(start) + F.expr("INTERVAL 1 MINUTE"))
+    hours = F.sequence(F.date_trunc("hour", "first"), F.date_trunc("hour", "last"), F.expr("INTERVAL 1 HOUR"))
     return (
-        alerts.withColumns({"first": first, "last": last})
+        alerts.withColumns({"first": first, "last": minute_of(F.col("end_dt"))})
         .filter("last >= first")
-        .select(
-            "region_english", "start_dt", "end_dt",
-            F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MINUTE"))).alias("minute"),
-        )
-        .groupBy("region_english", "minute")
+        .select("region_english", "start_dt", "end_dt", "first", "last", F.explode(hours).alias("hour"))
+        .withColumns({"lo": F.greatest("first", "hour"), "hi": F.least("last", F.expr("hour + INTERVAL 59 MINUTES"))})
+        .groupBy("region_english", "hour", "lo", "hi")
         .agg(F.min("start_dt").alias("start_raid"), F.max("end_dt").alias("end_raid"))
+        .groupBy("region_english", "hour")
+        .agg(F.collect_list(F.struct("lo", "hi", "start_raid", "end_raid")).alias("spans"))
+    )
+
+
+def alert_minutes(alerts: DataFrame) -> DataFrame:
+    """(region, minute) -> earliest start and latest end of the alerts that cover the minute."""
+    span = alert_spans(alerts).select("region_english", F.inline("spans"))
+    minutes = F.sequence("lo", "hi", F.expr("INTERVAL 1 MINUTE"))
+    return (
+        span.select("region_english", "start_raid", "end_raid", F.explode(minutes).alias("minute"))
+        .groupBy("region_english", "minute")
+        .agg(F.min("start_raid").alias("start_raid"), F.max("end_raid").alias("end_raid"))
     )
 
 
@@ -96,9 +105,15 @@ def active_alerts(panel: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def attach_alerts(panel: DataFrame, alerts: DataFrame) -> DataFrame:
     """Left join of device-minutes to the alerts of their region that are active in the minute."""
-    return reference_join(
-        panel, alert_minutes(alerts), ["region_english", "minute"], "left", spread=["caid"]
-    ).withColumn("alert", F.col("start_raid").isNotNull().cast("int"))
+    keyed = panel.withColumn("hour", F.date_trunc("hour", "minute"))
+    both = reference_join(keyed, alert_spans(alerts), ["region_english", "hour"], "left", spread=["caid"])
+    active = F.filter("spans", lambda x: F.col("minute").between(x["lo"], x["hi"]))
+    return (
+        both.withColumn("spans", active)
+        .withColumns({"start_raid": F.array_min("spans.start_raid"), "end_raid": F.array_max("spans.end_raid")})
+        .withColumn("alert", F.col("start_raid").isNotNull().cast("int"))
+        .drop("hour", "spans")
+    )
 
 
 def one_region_per_minute(matched: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:

@@ -145,3 +145,17 @@ def test_repeated_hour_gives_one_row_per_minute(spark):
     speeds = spark.createDataFrame(rows, "caid string, utc_timestamp long, latitude double, longitude double, altitude double, kmh double, distance double")
     out = panel.minute_means(speeds, "Europe/Kyiv").collect()
     assert [(r["minute"].hour, r["minute"].minute, r["distance_sum"]) for r in out] == [(3, 30, 6.0)]
+
+
+def test_long_alerts_take_a_row_per_hour_and_join_like_short_ones(spark):
+    given = [("in", -30, 180 * 86400), ("in", 90, 100), ("in", 7200, 7500)]
+    spans = panel.alert_spans(alerts(spark, given))
+    assert spans.count() == 180 * 24 + 1  # the last minute starts a new hour
+    df = spark.createDataFrame(
+        [("d", "in", ts(m)) for m in (0, 60, 120, 7200, 180 * 86400, 180 * 86400 + 60)] + [("d", None, ts(0))],
+        "caid string, region_english string, minute timestamp",
+    )
+    out = {(r.region_english, r.minute): (r.start_raid, r.end_raid, r.alert) for r in panel.attach_alerts(df, alerts(spark, given)).collect()}
+    whole = (ts(-30), ts(180 * 86400), 1)
+    assert [out["in", ts(m)] for m in (0, 60, 120, 7200, 180 * 86400)] == [whole] * 5
+    assert out["in", ts(180 * 86400 + 60)] == (None, None, 0) and out[None, ts(0)] == (None, None, 0)
