@@ -31,14 +31,19 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels of all nodes after more links between nodes, which need not have had a label."""
+    """Labels of all nodes after more links between nodes, which need not have had a label.
+
+    Links inside a component change nothing; where all are of that kind, no round is run.
+    """
     if labels is None:
         return components(links, "a", "b")
     now = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     then = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    up = links.join(now, "a", "left").join(then, "b", "left").select(
+    up = stored(links.join(now, "a", "left").join(then, "b", "left").select(
         F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")
-    ).filter("a <> b").distinct()
+    ).filter("a <> b").distinct())
+    if up.isEmpty():
+        return labels
     more = stored(components(up, "a", "b"))
     beyond = more.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
     old = labels.join(beyond, "label", "left").select("node", F.coalesce("beyond", "label").alias("label"))
