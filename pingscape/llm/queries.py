@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, near_dedup, packing, sharding, substring_dedup, tokens, topk, toxicity
+from . import chat, decontamination, licenses, near_dedup, packing, sharding, simhash, substring_dedup, tokens, topk, toxicity
 from .frames import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def shards(spark, folder):
 @query("op10_toxicity")
 def toxicity_query(spark, folder):
     return toxicity.toxicity(spark, table(spark, folder, "documents"), table(spark, folder, "labels")).drop("text_key")
+
+
+@query("op11_simhash_near_duplicates")
+def simhash_query(spark, folder):
+    return simhash.simhash_groups(spark, table(spark, folder, "documents"))
