@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, near_dedup, packing, sharding, simhash, substring_dedup, tokens, topk, toxicity
+from . import chat, decontamination, licenses, near_dedup, negatives, packing, sharding, simhash, substring_dedup, tokens, topk, toxicity
 from .frames import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,30 @@ def toxicity_query(spark, folder):
 @query("op11_simhash_near_duplicates")
 def simhash_query(spark, folder):
     return simhash.simhash_groups(spark, table(spark, folder, "documents"))
+
+
+@query("op13_hard_negatives", sql="""
+    with v as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+            list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+        from embeddings
+        where label is not null and embedding is not null
+            and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))
+    ), scored as (
+        select a.vec_id as anchor_id, c.vec_id, a.label = c.label as alike, cast(list_inner_product(a.v, c.v) as bigint) as score
+        from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id
+    ), positive as (
+        select * from (
+            select *, row_number() over (partition by anchor_id order by score desc, vec_id) as place from scored where alike
+        ) where place <= 5
+    ), ranked as (
+        select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+            row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as place
+        from positive p join scored n
+            on p.anchor_id = n.anchor_id and not n.alike and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+    )
+    select anchor_id, positive_id, cast(place as integer) as rank, negative_id, positive_score, negative_score
+    from ranked where place <= 10
+""")
+def hard_negatives_query(spark, folder):
+    return negatives.hard_negatives(spark, table(spark, folder, "embeddings"), every=100, positives=5, negatives=10, low=30, high=90)

@@ -1,8 +1,8 @@
 """SimHash groups, tokenizer alignment and hard negatives against brute force."""
 
+import math
 import os
 import random
-import re
 import sys
 
 import numpy as np
@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
-from pingscape.llm import queries, simhash  # noqa: E402
+from pingscape.llm import negatives, queries, simhash  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, fp long, key string, label int, component string, salt int, copies string"
@@ -135,3 +135,67 @@ def test_simhash_query(spark):
         low[group[f]] = min(d, low.get(group[f], d))
     got = queries.QUERIES["op11_simhash_near_duplicates"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted((d, f"{f:016x}", low[group[f]]) for d, f in docs)
+
+
+def brute_negatives(rows, every=100, positives=5, negatives=10):
+    best = {}
+    for i, v, label in rows:
+        if i is None or v is None or label is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        row = ((label + 1) % 10 if i % 7 == 0 else label, [math.floor(256 * x) for x in v])
+        best[i] = min(best.get(i, row), row)
+    out = []
+    product = lambda a, b: sum(x * y for x, y in zip(a, b))
+    for i, (label, v) in best.items():
+        if i % every:
+            continue
+        scores = sorted((-product(v, w), j, k) for j, (k, w) in best.items() if j != i)
+        for p, pid, _ in [s for s in scores if s[2] == label][:positives]:
+            inside = [(s, j) for s, j, k in scores if k != label and 30 * -p <= 100 * -s <= 90 * -p]
+            out += [(i, pid, n + 1, j, -p, -s) for n, (s, j) in enumerate(inside[:negatives])]
+    return sorted(out)
+
+
+def vectors_table(spark, rows):
+    kind = "vec_id long, embedding array<float>, label int, v string, band int, positives int, score string"
+    return spark.createDataFrame([(i, v, k, "v", 1, 2, "s") for i, v, k in rows], kind)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_hard_negatives(spark, monkeypatch, small):
+    if small:  # several lines, bands and blocks
+        monkeypatch.setattr(negatives, "ANCHOR_ROWS", 5)
+        monkeypatch.setattr(negatives, "BAND_ROWS", 150)
+        monkeypatch.setattr(negatives, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(-50, 700):
+        centre = np.zeros(12)
+        centre[i % 3] = 1.0
+        v = np.round(centre + rng.normal(0, 0.4, 12), 1).astype(np.float32).tolist()  # rounded: ties
+        rows.append((i, v, 1 if i % 3 == 0 else int(rng.integers(0, 10))))
+    rows += [(10, rows[3][1], 4), (20, rows[4][1], 1), (20, rows[4][1], 1)]  # repeated ids
+    rows += [(None, rows[0][1], 1), (1000, None, 1), (1010, rows[0][1], None), (1020, [None] * 12, 1), (1030, [float("nan")] * 12, 1),
+             (1040, [0.0] * 12, 2), (1050, [1.0, -0.5], 3), (1060, [-9.0] * 12, 8), (1070, [], 2)]
+    got = negatives.hard_negatives(spark, vectors_table(spark, rows).repartition(4), every=10)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    want = brute_negatives(rows, every=10)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 500
+    assert negatives.hard_negatives(spark, vectors_table(spark, [])).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.floats(-400, 400), st.floats(0, 500))
+def test_vertical_scan_loses_nothing(seed, least, wide):
+    rng = np.random.default_rng(seed)
+    m, q = rng.integers(-12, 13, (60, 21)), rng.integers(-12, 13, 21)
+    block = negatives.Block(np.arange(60), np.zeros(60), m)
+    rows, scores = negatives.vertical_scan(q, block, np.arange(0, 60, 2), least, least + wide)
+    whole = m @ q
+    want = [i for i in range(0, 60, 2) if least <= whole[i] <= least + wide]
+    assert rows.tolist() == want and scores.tolist() == whole[want].tolist()
+
+
+def test_hard_negatives_query(spark):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in queries.table(spark, SF, "embeddings").collect()]
+    assert sorted(map(tuple, queries.QUERIES["op13_hard_negatives"](spark, SF).collect())) == brute_negatives(rows)
