@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, near_dedup, negatives, packing, sharding, simhash, substring_dedup, tokens, topk, toxicity
+from . import (
+    alignment, chat, decontamination, licenses, near_dedup, negatives, packing, sharding, simhash, substring_dedup, tokens, topk, toxicity,
+)
 from .frames import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +108,11 @@ def simhash_query(spark, folder):
     return simhash.simhash_groups(spark, table(spark, folder, "documents"))
 
 
+@query("op12_tokenizer_alignment")
+def alignment_query(spark, folder):
+    return alignment.align(spark, table(spark, folder, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_hard_negatives", sql="""
     with v as (
         select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,

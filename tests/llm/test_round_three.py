@@ -6,6 +6,7 @@ import random
 import sys
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -14,9 +15,10 @@ from hypothesis import strategies as st
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
-from pingscape.llm import negatives, queries, simhash  # noqa: E402
+from pingscape.llm import alignment, negatives, queries, simhash  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
+PATH_A, PATH_B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 KIND = "doc_id long, text string, fp long, key string, label int, component string, salt int, copies string"
 
 
@@ -199,3 +201,114 @@ def test_vertical_scan_loses_nothing(seed, least, wide):
 def test_hard_negatives_query(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in queries.table(spark, SF, "embeddings").collect()]
     assert sorted(map(tuple, queries.QUERIES["op13_hard_negatives"](spark, SF).collect())) == brute_negatives(rows)
+
+
+@pytest.fixture(scope="module")
+def side():
+    return alignment.sides(PATH_A, PATH_B)
+
+
+def brute_tokens(side, text):
+    """(ids, ends) of both sides of a whole text, or nothing where one does not read back."""
+    whole = (" " + text).encode()
+    return (side.tokens_a(whole), side.tokens_b(whole)) if text else (None, None)
+
+
+def brute_alignment(side, docs):
+    out, held = [], {}
+    for d, text in docs:
+        a, b = brute_tokens(side, text or "")
+        if a is None or b is None:
+            out.append((d, None, [], []))
+            continue
+        starts = lambda t: [0, *t.ends[:-1]]
+        common = sorted({*a.ends} & {*b.ends})
+        inside = lambda t, low, high: ",".join(str(i) for i, e in zip(t.ids, t.ends) if low < e <= high)
+        groups = [f"{inside(a, low, high)}|{inside(b, low, high)}" for low, high in zip([0, *common], common)]
+        links, j0 = [], 0
+        for i, s, e in zip(a.ids, starts(a), a.ends):
+            while b.ends[j0] <= s:
+                j0 += 1
+            j = j0
+            while j < len(b.ids) and (b.ends[j - 1] if j else 0) < e:
+                links.append((i, b.ids[j]))
+                j += 1
+        out.append((d, (len(a.ids), len(b.ids)), groups, links))
+        for x in set(links):
+            held[x] = held.get(x, 0) + 1
+    best = {}
+    for (i, _), n in held.items():
+        best[i] = max(n, best.get(i, 0))
+    rows = []
+    for d, n, groups, links in out:
+        digest = brute.sha(";".join(groups)) if n else ""
+        rows.append((d, *(n or (0, 0)), len(groups), len(links), sum(held[x] == best[x[0]] for x in links), sum(held[x] for x in links), digest))
+    return sorted(rows, key=repr)
+
+
+ODD = st.text(alphabet=st.sampled_from("ab1.'’é ßλ中 \t\n\r\x85\xa0　😀▁<|endoftext|>"), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD)
+def test_cuts_change_no_tokens_of_either_side(text):
+    side = alignment.sides(PATH_A, PATH_B)
+    raw = (" " + text).encode()
+    own = alignment.Closed()
+    n_a, n_b = own.add_cuts(side, raw if text else b"")
+    want = brute_alignment(side, [(1, text)])[0]
+    if own.good and text:
+        assert (n_a, n_b, own.n_groups, brute.sha(";".join(own.said))) == (*want[1:4], want[-1])
+        assert int(own.counted()[1].sum()) == want[4]
+    else:
+        assert want == (1, 0, 0, 0, 0, 0, 0, "")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_fragments_compose_in_any_tree(data):
+    """Any division of both sides' tokens, folded in any order, gives the groups of the whole."""
+    size = data.draw(st.integers(1, 40))
+    side_ends = [sorted(data.draw(st.sets(st.integers(1, size))) | {size}) for _ in range(2)]
+    a, b = (alignment.Tokens(list(range(1, len(e) + 1)), e) for e in side_ends)
+    _, whole = alignment.closed(alignment.Stretch(0, 0, a, b))
+    n = data.draw(st.integers(1, 6))
+    divided = []
+    for t in (a, b):
+        at = sorted(data.draw(st.lists(st.integers(0, len(t.ids)), min_size=n - 1, max_size=n - 1)))
+        edges = [0, *at, len(t.ids)]
+        divided.append([(0 if x == 0 else t.ends[x - 1], t.part(x, y)) for x, y in zip(edges, edges[1:])])
+    parts, groups = [], []
+    for (a_from, x), (b_from, y) in zip(*divided):
+        fragment, found = alignment.closed(alignment.Stretch(a_from, b_from, x, y))
+        parts.append(alignment.unflat(alignment.flat(fragment)))
+        groups += found
+    while len(parts) > 1:
+        i = data.draw(st.integers(0, len(parts) - 2))
+        fragment, found = alignment.compose(parts[i], parts[i + 1])
+        parts[i : i + 2] = [fragment]
+        groups += found
+    assert sorted(groups) == whole
+    assert all(not s.a.ids and not s.b.ids for s in parts[0] if s is not None)
+
+
+@pytest.mark.parametrize("long,most", [(1 << 16, 10**6), (300, 10**6), (40, 10)])
+def test_alignment(spark, side, monkeypatch, long, most):
+    monkeypatch.setattr(alignment, "LONG", long)
+    rng = random.Random(6)
+    vocabulary = ["the", "Of", "Über", "x1", "don't", "λόγος", "end.", "<|endoftext|>", "\n", "\t\n", " ", "中文字", "😀", "tokenization", "12345", "<s>"]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(1, None), (2, ""), (3, " "), (4, "  a "), (5, say(500)), (6, "bad ▁ " + say(300)), (7, say(300) + "▁"), (8, "x" * 700), (9, "中" * 400)]
+    rows += [(None, say(60)), (None, None), (10, say(100)), (10, say(100)), (11, "same text"), (11, "same text")]
+    rows += [(12, "\n".join(say(9) for _ in range(60))), (13, "a b" * 200), (14, "word\tword\n" * 90), (15, " " * 500 + "a"), (16, say(300) + " ")]
+    docs = spark.createDataFrame([(d, t, 1, "at", 2, ["n"]) for d, t in rows], "doc_id long, text string, row int, at string, pair int, pairs array<string>")
+    got = alignment.align(spark, docs.repartition(3), PATH_A, PATH_B, most)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_alignment(side, rows)
+    if long == 300:
+        assert alignment.align(spark, docs.filter("false"), PATH_A, PATH_B).count() == 0
+
+
+def test_alignment_query(spark, side):
+    docs = [(r["doc_id"], r["text"]) for r in queries.table(spark, SF, "documents").collect()]
+    got = queries.QUERIES["op12_tokenizer_alignment"](spark, SF).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_alignment(side, docs)
