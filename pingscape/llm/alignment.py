@@ -12,14 +12,13 @@ after another, streamed.
 
 Inside a chunk both sides are cut together before spaces that follow a visible character: a byte-level BPE never puts
 white space behind another character into one token, and no piece of the other vocabulary holds a space behind another
-character (checked), so tokens are those of the cuts one after another. Cuts repeat; a worker remembers their tokens,
-groups and links in a table of bounded size.
+character (checked), so tokens are those of the cuts one after another. Cuts repeat; a worker remembers their
+ids in a table of bounded size, and ends, groups and links of many texts come from sorted arrays of byte offsets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import stored, tasks, written
-from .tokens import checked_tokenizer, cuts
+from .tokens import PLAIN, checked_tokenizer, cuts
+from .words import byte_hashes
 
 LONG, FAN = 1 << 16, 8
-#: Entries and bytes of cuts that a worker remembers; cuts of more than LONGEST bytes are not remembered.
-MOST_CUTS, MOST_CUT_BYTES, LONGEST = 100_000, 4 << 20, 256
+#: Cuts and ids that a worker remembers, and the bytes of texts and of new cuts that it works on at once.
+SLOTS, POOL_IDS, CHUNK_BYTES, ENCODE_BYTES = 1 << 17, 1 << 20, 1 << 18, 1 << 15
 #: Pairs of ids with their counts are sent to the tasks up to this many (17 bytes each); more are joined.
 MOST_PAIRS = 1_000_000
 #: Copies of a pair in that join, so that rows of one pair spread.
@@ -147,17 +147,6 @@ def byte_level(token: str) -> bytes:
 _BYTE_OF: dict[str, int] = {}
 
 
-class Cut(NamedTuple):
-    """What a cut gives: whether both sides read it back, its tokens, groups and links."""
-
-    good: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    said: str
-    pairs: np.ndarray
-
-
 class Sides:
     """Both tokenizers of a worker, and the cuts it remembers."""
 
@@ -173,8 +162,14 @@ class Sides:
             raise ValueError(f"{path_b}: a piece holds a space behind another character, so texts cannot be cut at spaces")
         self.bytes_a = [byte_level(t) if t is not None and all(ord(c) < 0x144 for c in t) else b"" for t in map(self.a.id_to_token, range(self.a.get_vocab_size()))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[bytes, Cut] = {}
-        self.known_bytes = 0
+        self.sizes = [np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
+        self.keys = np.zeros((2, SLOTS), np.uint64)
+        self.good = np.zeros(SLOTS, bool)
+        self.length, self.at = np.zeros((2, SLOTS), np.int32), np.zeros((2, SLOTS), np.int64)
+        self.pools, self.used = [np.zeros(1 << 16, np.int32) for _ in range(2)], [0, 0]
+        # Every id as text with what may follow it, of one width, and the length of that.
+        self.said = [[np.array([f"{i}{c}".encode() for i in range(len(t))], "S7") for c in follow] for t, follow in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
+        self.said_length = [np.char.str_len(own[0]) for own in self.said]
 
     def _read(self, ids: list[int], table: list[bytes], raw: bytes, at: int) -> Tokens | None:
         parts = [table[i] for i in ids]
@@ -194,23 +189,46 @@ class Sides:
             return Tokens([], [])
         return self._read(self.b.encode(raw[1:].decode("utf-8", "replace")), self.bytes_b, raw, at)
 
-    def cut(self, raw: bytes) -> Cut:
-        found = self.known.get(raw)
-        if found is None:
-            a, b = self.tokens_a(raw), self.tokens_b(raw)
-            if a is None or b is None:
-                found = Cut(False, 0, 0, 0, "", np.zeros(0, np.int64))
-            else:
-                _, groups = closed(Stretch(0, 0, a, b))
-                pairs = np.array([x for g in groups for x in g.links()], np.int64)
-                found = Cut(True, len(a.ids), len(b.ids), len(groups), ";".join(g.said() for g in groups), pairs)
-            if len(raw) <= LONGEST:
-                if len(self.known) >= MOST_CUTS or self.known_bytes >= MOST_CUT_BYTES:
-                    self.known.clear()
-                    self.known_bytes = 0
-                self.known[raw] = found
-                self.known_bytes += len(raw)
-        return found
+    def _encode(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether both sides read cuts back, the numbers of their ids and where these lie in the pools."""
+        texts = [raw.decode("utf-8", "replace") for raw in raws]
+        ids = [[x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        good = np.ones(len(raws), bool)
+        for own, table in zip(ids, (self.bytes_a, self.bytes_b)):
+            good &= [b"".join([table[i] for i in x]) == raw for x, raw in zip(own, raws)]
+        length, at = np.zeros((2, len(raws)), np.int32), np.zeros((2, len(raws)), np.int64)
+        for k, own in enumerate(ids):
+            length[k] = [len(x) if g else 0 for x, g in zip(own, good)]
+            flat_ids = np.fromiter((i for x, g in zip(own, good) if g for i in x), np.int32)
+            if self.used[k] + len(flat_ids) > len(self.pools[k]):
+                self.pools[k] = np.concatenate([self.pools[k], np.zeros(max(len(flat_ids), len(self.pools[k]) // 2), np.int32)])
+            self.pools[k][self.used[k] : self.used[k] + len(flat_ids)] = flat_ids
+            at[k] = self.used[k] + np.cumsum(length[k]) - length[k]
+            self.used[k] += len(flat_ids)
+        return good, length, at
+
+    def cuts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the cuts of some bytes; different new ones are encoded once."""
+        if max(self.used) > POOL_IDS:
+            self.used, self.keys[:] = [0, 0], 0
+        one, two = (byte_hashes(data, start, end, PLAIN, w) for w in (0, 1))
+        slot = (one & np.uint64(SLOTS - 1)).astype(np.int64)
+        good, length, at = self.good[slot], self.length[:, slot], self.at[:, slot]
+        new = np.flatnonzero((self.keys[0, slot] != one) | (self.keys[1, slot] != two))
+        if len(new):
+            _, first, back = np.unique(one[new] ^ (two[new] << np.uint64(1)), return_index=True, return_inverse=True)
+            places, raw = new[first], data.tobytes()
+            sizes = np.cumsum(end[places] - start[places]) // ENCODE_BYTES
+            parts = []
+            for own in np.split(places, np.flatnonzero(np.diff(sizes)) + 1):
+                parts.append(self._encode([raw[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())]))
+            known = [np.concatenate(x, axis=-1) for x in zip(*parts)]
+            good[new], length[:, new], at[:, new] = known[0][back], known[1][:, back], known[2][:, back]
+            # Of several new cuts with one slot the last entry stays whole: all arrays take the same last one.
+            there = slot[places]
+            self.keys[0, there], self.keys[1, there], self.good[there] = one[places], two[places], known[0]
+            self.length[:, there], self.at[:, there] = known[1], known[2]
+        return good, length, at
 
 
 _SIDES: dict[tuple[str, str], Sides] = {}
@@ -232,40 +250,94 @@ def common_cuts(raw: bytes) -> np.ndarray:
     return at[at < len(data) - 1]
 
 
+class Texts(NamedTuple):
+    """What texts give, one entry each: good is false where a side does not read a text back, which then has nothing."""
+
+    good: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    said: list[bytes]
+    pairs: list[np.ndarray]
+    times: list[np.ndarray]
+
+
+def aligned(side: Sides, raws: list[bytes]) -> Texts:
+    """Tokens, groups and links of texts that begin and end at common cuts, all at once.
+
+    Offsets count through all texts. Links are the stretches between neighbouring token ends of either side, groups
+    those between common ends.
+    """
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64)
+    start = cuts(data, offsets)
+    start = start[data[start] == 0x20]
+    start = start[~(np.isin(start + 1, offsets) & ~np.isin(start, offsets))]  # a space alone at a text's end
+    end = np.append(start[1:], len(data)) if len(start) else start
+    text_of = np.searchsorted(offsets, start, "right") - 1
+    cut_good, length, at = side.cuts(data, start, end)
+    good = np.bincount(text_of, ~cut_good, len(raws)) == 0
+    length = np.where(good[text_of], length, 0)
+    ids, ends = [], []
+    for k in range(2):
+        stop = np.cumsum(length[k], dtype=np.int64)
+        total = int(stop[-1]) if len(stop) else 0
+        own = side.pools[k][np.arange(total) + np.repeat(at[k] - (stop - length[k]), length[k])]
+        run = np.concatenate([[0], np.cumsum(side.sizes[k][own])])
+        ids.append(own)
+        ends.append(run[1:] + np.repeat(start - run[stop - length[k]], length[k]))
+    marks = np.union1d(*ends)
+    in_a, in_b = (np.searchsorted(e, marks) for e in ends)
+    common = marks[(ends[0][in_a] == marks) & (ends[1][in_b] == marks)]
+    code = (np.searchsorted(offsets, marks) - 1) << 48 | ids[0][in_a].astype(np.int64) << SHIFT | ids[1][in_b]
+    found, times = np.unique(code, return_counts=True)
+    per_text = np.searchsorted(found >> 48, np.arange(1, len(raws)))
+    found &= (1 << 48) - 1
+    group = [np.searchsorted(common, e) for e in ends]
+    begun = np.concatenate([[0], common])[:-1]
+    place = [np.arange(len(ids[0])) + np.searchsorted(ends[1], begun, "right")[group[0]], np.arange(len(ids[1])) + np.searchsorted(ends[0], common, "right")[group[1]]]
+    said, size = np.zeros(len(ids[0]) + len(ids[1]), "S7"), np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+    for k in range(2):
+        last = np.append(group[k][1:] != group[k][:-1], True)[: len(group[k])]
+        said[place[k]] = np.where(last, side.said[k][1][ids[k]], side.said[k][0][ids[k]])
+        size[place[k]] = side.said_length[k][ids[k]]
+    letters = said.view(np.uint8)
+    letters = letters[letters != 0].tobytes()
+    n_a, n_b, n_groups = (np.diff(np.searchsorted(e, offsets, "right")) for e in (*ends, common))
+    edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+    return Texts(good, n_a, n_b, n_groups, [letters[a : max(a, b - 1)] for a, b in zip(edge, edge[1:])], np.split(found, per_text), np.split(times, per_text))
+
+
 class Closed:
     """Groups of a stretch one after another: how many there are, what they say and their links."""
 
     def __init__(self):
         self.said, self.pairs, self.n_groups, self.good = [], [], 0, True
 
-    def add_cuts(self, side: Sides, raw: bytes) -> tuple[int, int]:
+    def add_text(self, side: Sides, raw: bytes) -> tuple[int, int]:
         """Add the groups of bytes that begin and end at common cuts; the number of tokens of both sides."""
         if not raw:
             return 0, 0
-        edges = [0, *common_cuts(raw).tolist(), len(raw)]
-        seen = Counter(pieces := [raw[a:b] for a, b in zip(edges, edges[1:])])
-        found = {p: side.cut(p) for p in seen}
-        self.good &= all(c.good for c in found.values())
-        self.said += [found[p].said for p in pieces]
-        n_a = n_b = 0
-        for p, n in seen.items():
-            c = found[p]
-            n_a, n_b, self.n_groups = n_a + n * c.n_a, n_b + n * c.n_b, self.n_groups + n * c.n_groups
-            self.pairs.append((c.pairs, n))
-        return n_a, n_b
+        found = aligned(side, [raw])
+        self.good &= bool(found.good[0])
+        if found.said[0]:
+            self.said.append(found.said[0].decode())
+        self.n_groups += int(found.n_groups[0])
+        self.pairs.append((found.pairs[0], found.times[0]))
+        return int(found.n_a[0]), int(found.n_b[0])
 
     def add(self, groups: list[Group]) -> None:
         self.said += [g.said() for g in groups]
         self.n_groups += len(groups)
-        self.pairs += [(np.array(g.links(), np.int64), 1) for g in groups]
+        links = np.array([x for g in groups for x in g.links()], np.int64)
+        self.pairs.append((links, np.ones(len(links), np.int64)))
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """Different links and how often each occurs."""
         if not self.pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         pairs, back = np.unique(np.concatenate([p for p, _ in self.pairs]), return_inverse=True)
-        times = np.repeat([n for _, n in self.pairs], [len(p) for p, _ in self.pairs])
-        return pairs, np.bincount(back, times, len(pairs)).astype(np.int64)
+        return pairs, np.bincount(back, np.concatenate([n for _, n in self.pairs]), len(pairs)).astype(np.int64)
 
 
 #: Groups of a stretch of a text: `at` is its first byte; a whole text of up to LONG bytes is one stretch.
@@ -297,6 +369,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield row, doc_id, text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
+def _runs(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Texts in runs of about CHUNK_BYTES."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text[2])
+        if size >= CHUNK_BYTES or len(held) == 1 << 14:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def short_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One piece for every text, where it is read; `said` is the digest of its groups already."""
 
@@ -304,13 +389,11 @@ def short_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         side = sides(path_a, path_b)
 
         def rows() -> Iterator[tuple]:
-            for row, doc_id, raw in _texts(batches):
-                own = Closed()
-                n_a, n_b = own.add_cuts(side, b" " + raw if raw else raw)
-                if own.good and raw:
-                    yield row, doc_id, 0, True, n_a, n_b, own.n_groups, hashlib.sha256(";".join(own.said).encode()).hexdigest(), *own.counted()
-                else:
-                    yield row, doc_id, 0, True, 0, 0, 0, "", [], []
+            for held in _runs(_texts(batches)):
+                found = aligned(side, [b" " + raw if raw else raw for _, _, raw in held])
+                counts = zip(found.n_a.tolist(), found.n_b.tolist(), found.n_groups.tolist(), found.said, found.pairs, found.times)
+                for (row, doc_id, _), (n_a, n_b, n_groups, said, pairs, times) in zip(held, counts):
+                    yield row, doc_id, 0, True, n_a, n_b, n_groups, hashlib.sha256(said).hexdigest() if n_a else "", pairs, times
 
         yield from _in_batches(rows(), PIECE)
 
@@ -381,7 +464,7 @@ def fragment_of(side: Sides, raw: bytes, start: int, a: int, b: int, a_to: int,
     nothing = Tokens([], [])
     whole, groups = compose(closed(Stretch(a, b, ends[0], ends[1]))[0], Fragment(Stretch(first, first, nothing, nothing), Stretch(last, last, nothing, nothing)))
     own.add(closed(Stretch(a, b, ends[0], ends[1]))[1] + groups)
-    n_a, n_b = own.add_cuts(side, bytes_of(first, last))
+    n_a, n_b = own.add_text(side, bytes_of(first, last))
     tail, groups = closed(Stretch(last, last, ends[2], ends[3]))
     whole, more = compose(whole, tail)
     own.add(groups + more)

@@ -255,7 +255,7 @@ def test_cuts_change_no_tokens_of_either_side(text):
     side = alignment.sides(PATH_A, PATH_B)
     raw = (" " + text).encode()
     own = alignment.Closed()
-    n_a, n_b = own.add_cuts(side, raw if text else b"")
+    n_a, n_b = own.add_text(side, raw if text else b"")
     want = brute_alignment(side, [(1, text)])[0]
     if own.good and text:
         assert (n_a, n_b, own.n_groups, brute.sha(";".join(own.said))) == (*want[1:4], want[-1])
