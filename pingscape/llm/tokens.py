@@ -28,9 +28,11 @@ _VISIBLE[0x21:0x7F] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
 
-SLOTS = 1 << 20
-POOL_IDS = 1 << 22
-ENCODE_BYTES = 1 << 18
+#: What a worker keeps and works on at once: entries of its table, ids of its pool, bytes of new cuts and of texts.
+SLOTS = 1 << 17
+POOL_IDS = 1 << 20
+ENCODE_BYTES = 1 << 15
+TEXT_BYTES = 1 << 18
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -53,7 +55,7 @@ def checked_tokenizer(path: str):
         said = json.load(file)
     rule = said.get("pre_tokenizer") or {}
     odd = [t["content"] for t in said.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"])]
-    if rule.get("type") != "ByteLevel" or rule.get("add_prefix_space") or said.get("normalizer") or odd:
+    if rule.get("type") != "ByteLevel" or rule.get("add_prefix_space") or not rule.get("use_regex", True) or said.get("normalizer") or odd:
         raise ValueError(f"{path}: texts can be cut for byte-level tokenizers without normalisation only")
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
@@ -131,7 +133,7 @@ def row_sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def encoded_chunks(column: pa.Array, path: str, keep_ids: bool) -> Iterator[tuple]:
     """(first row, end row, tokens of each text, encoder, (lengths, pool places) of its cuts) for chunks of a column."""
     coder = encoder(path, keep_ids)
-    for a, b, data, offsets in chunks(column):
+    for a, b, data, offsets in chunks(column, TEXT_BYTES):
         start = cuts(data, offsets)
         end = np.append(start[1:], len(data)) if len(start) else start
         length, at = coder.encode(data, start, end)
