@@ -1,8 +1,9 @@
 """Chat formatting with a grammar that is read back: rendered turns are reparsed and escaped until nothing differs.
 
 Grammar: a conversation is a run of turns; a turn is START role NEWLINE text END NEWLINE. Inside a role or text no
-control string can stand: every `<`, backslashes, `|` gets one backslash more, which the parser takes away again. A
-turn is first rendered as it is, and escaped only if the parser does not give the same role and text back.
+control string may stand: the parser refuses one that has any. An escaped role or text has one backslash more in every
+`<`, backslashes, `|`, so no control string is left, and the parser takes that backslash away again. A turn is first
+rendered as it is, and escaped if the parser refuses it or does not give the same role and text back.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-_TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.DOTALL)
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _LINE_END = {"\\n": "\n", "\\\\": "\\"}
 READ_AT_ONCE = 1 << 20
@@ -31,15 +31,22 @@ def unescaped(text: str) -> str:
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
-    """(role, text, start and end of the rendered text) of every turn; ValueError if it isn't a run of turns."""
+    """(role, text, start and end of the rendered text) of every turn; ValueError if it isn't a run of turns.
+
+    A text ends at the first END behind it, which a newline must follow; a START inside a role or text is refused.
+    """
     turns, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if m is None:
+        line = formatted.find("\n", at)
+        end = formatted.find(END, line + 1)
+        if not formatted.startswith(START, at) or line < 0 or end < 0 or not formatted.startswith("\n", end + len(END)):
             raise ValueError("not a run of turns")
-        role = re.sub(r"\\n|\\\\", lambda x: _LINE_END[x.group()], unescaped(m.group(1)))
-        turns.append((role, unescaped(m.group(2)), m.start(2), m.end(2)))
-        at = m.end()
+        said, text = formatted[at + len(START) : line], formatted[line + 1 : end]
+        if START in said or END in said or START in text:
+            raise ValueError("a control string inside a turn")
+        role = re.sub(r"\\n|\\\\", lambda x: _LINE_END[x.group()], unescaped(said))
+        turns.append((role, unescaped(text), line + 1, end))
+        at = end + len(END) + 1
     return turns
 
 
@@ -93,9 +100,10 @@ class _Conversation:
     def __init__(self, conv_id):
         self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
         self.said, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.waiting, self.size = [], 0
+        self.waiting, self.masks, self.size = [], [], 0
 
-    def add(self, formatted: str) -> None:
+    def add(self, formatted: str, loss_start: int, loss_end: int) -> None:
+        self.masks.append((self.size + loss_start, self.size + loss_end))
         self.waiting.append(formatted)
         self.size += len(formatted)
         if self.size > READ_AT_ONCE:
@@ -103,15 +111,15 @@ class _Conversation:
 
     def read(self) -> None:
         text = "".join(self.waiting)
-        for role, said, start, end in parse(text):
+        for role, said, _, _ in parse(text):
             self.turns += 1
             self.said.update(f"{role}\n{said}\n".encode())
-            if role == "assistant":
-                learned = unescaped(text[start:end])
-                self.loss_chars += len(learned)
-                self.loss.update(learned.encode())
+        for start, end in self.masks:
+            learned = unescaped(text[start:end])
+            self.loss_chars += len(learned)
+            self.loss.update(learned.encode())
         self.chars += len(text)
-        self.waiting, self.size = [], 0
+        self.waiting, self.masks, self.size = [], [], 0
 
     def row(self) -> tuple:
         self.read()
@@ -119,7 +127,7 @@ class _Conversation:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of every conversation, parsed from the formatted text that `format_turns` made.
+    """Digests of every conversation, parsed from the formatted text that `format_turns` made; the loss is what its masks cover.
 
     Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A conversation is read turn by
     turn in sorted order: neither its turns nor its text are held together, however long it is. Its digest is a
@@ -135,12 +143,12 @@ def read_back(turns: DataFrame) -> DataFrame:
         now = None
         for batch in batches:
             done = []
-            for conv_id, formatted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for conv_id, *turn in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if now is None or now.conv_id != conv_id:
                     if now is not None:
                         done.append(now.row())
                     now = _Conversation(conv_id)
-                now.add(formatted)
+                now.add(*turn)
             yield made(done)
         if now is not None:
             yield made([now.row()])
@@ -148,7 +156,7 @@ def read_back(turns: DataFrame) -> DataFrame:
     ordered = turns.repartition("conv_id").sortWithinPartitions(
         *[F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     )
-    return ordered.select("conv_id", "formatted").mapInArrow(
+    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(
         read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
