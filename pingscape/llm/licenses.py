@@ -77,9 +77,9 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def choices(expression: str, most: int = 64) -> list[frozenset[str]] | None:
-    """The ways to satisfy an expression: each a set of licences that then hold together; None if it does not parse.
+    """The ways to satisfy an expression: each a set of licences that then hold together.
 
-    An expression with more than `most` ways gives one set of all its licences.
+    None if it does not parse, or has more than `most` ways on the way; `infix` says any expression.
     """
     order = postfix(expression)
     if order is None:
@@ -93,16 +93,57 @@ def choices(expression: str, most: int = 64) -> list[frozenset[str]] | None:
         if token == "or":
             ways = left + right
         elif token == "and":
-            ways = [a | b for a in left for b in right] if len(left) * len(right) <= most else [frozenset().union(*left, *right)]
+            if len(left) * len(right) > most:
+                return None
+            ways = [a | b for a in left for b in right]
         else:
             if len(left) != 1 or len(right) != 1 or len(left[0]) != 1 or len(right[0]) != 1:
                 return None
             ways = [frozenset([f"{min(left[0])} with {min(right[0])}"])]
         ways = list(dict.fromkeys(ways))
-        stack.append(ways if len(ways) <= most else [frozenset().union(*ways)])
+        if len(ways) > most:
+            return None
+        stack.append(ways)
     return stack[0]
 
 
+def infix(order: list[str]) -> tuple[str, set[str]] | None:
+    """A postfix order as one expression, as long as the order itself, and its licences.
+
+    Equal operators in a row are one, with sorted operands; "or" inside "and" has brackets. None where "with" does not
+    stand between two ids.
+    """
+    stack: list[tuple[str, set[str], set[str]]] = []  # operator, none for an id; operands; licences
+    for token in order:
+        if token not in STRENGTH:
+            stack.append(("", {token}, {token}))
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            if left[0] or right[0] or " " in min(left[1]) or " " in min(right[1]):
+                return None
+            one = {f"{min(left[1])} with {min(right[1])}"}
+            stack.append(("", one, one))
+            continue
+        operands: set[str] = set()
+        for kind, own, _ in (left, right):
+            text = f" {kind} ".join(sorted(own))
+            operands |= own if kind in ("", token) else {f"({text})" if kind == "or" else text}
+        stack.append((token, operands, left[2] | right[2]))
+    kind, own, licences = stack[0]
+    return f" {kind} ".join(sorted(own)), licences
+
+
+def expressed(expression: str, most: int = 64) -> tuple[str, set[str]] | None:
+    """What an expression says and its licences: its ways, or, with more than `most`, the expression in its own shape."""
+    order = postfix(expression)
+    whole = infix(order) if order is not None else None
+    ways = choices(expression, most) if whole is not None else None
+    if ways is None:
+        return whole
+    return " or ".join(sorted(" and ".join(sorted(way)) for way in ways)), set().union(*ways)
+
+
 class Scanner:
     """One automaton for the base phrases, the further phrases and the tag, on words with one space between."""
 
@@ -140,10 +181,10 @@ class Scanner:
         expressions = []
         if tagged:
             for m in TAG_LINE.finditer(text):
-                ways = choices(m.group(1).decode("utf-8", "replace"))
-                if ways is not None:
-                    expressions.append(" or ".join(sorted(" and ".join(sorted(way)) for way in ways)))
-                    more.update(*ways)
+                found = expressed(m.group(1).decode("utf-8", "replace"))
+                if found is not None:
+                    expressions.append(found[0])
+                    more |= found[1]
         score = 1.0 if expressions else 1 - 0.5 ** (len(places) + len(more)) if places or more else 0.5 * tagged
         return len(words), places, base, more, expressions, score
 
@@ -153,7 +194,7 @@ def license_scan(documents: DataFrame, base: dict[str, str] | None = None, more:
 
     Returns doc_id, n_words, n_base (places of base phrases, overlapping ones too), first_word and last_word (their
     smallest and largest start, null without any), base_labels, labels, expressions (the ways to satisfy each parsed
-    expression, one expression per "; "), score: 1 with a parsed expression, else growing with the notices found.
+    expression, or the expression in its own shape if they are over 64, one per "; "), score: 1 with a parsed expression, else growing with the notices found.
     A label never holds a comma. A null or empty text has no words and empty labels; null ids, repeated rows and empty
     tables pass through; other columns are not read. A tag with an expression that does not parse gives no label.
     """
