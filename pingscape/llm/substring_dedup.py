@@ -344,7 +344,7 @@ def dedup_substrings(spark: SparkSession, documents: DataFrame, size: int = 35,
     if estimates.any_hot():
         spans = spans.unionByName(hot_spans(stored(hot_windows(docs, size, shared))))
     per_text = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(
-        F.collect_list(F.struct("lo", "hi")).alias("spans")
+        F.collect_set(F.struct("lo", "hi")).alias("spans")  # rows that repeat a text have the same spans
     )
     text = F.col("`text`").cast("string")
     rest = documents.select(
