@@ -1,8 +1,11 @@
 """Text operators on made edge rows and on the given tables, against brute force."""
 
 import hashlib
+import json
 import os
 import random
+import re
+import subprocess
 import sys
 import zlib
 from collections import defaultdict
@@ -167,12 +170,52 @@ def test_license_expressions(text, ways):
     assert got == (None if ways is None else [frozenset(w) for w in ways])
 
 
+def holds(expression, licences):
+    """Truth of an and/or expression for a set of licences, by Python's own reading of it."""
+    said = re.sub(r"[a-z][a-z0-9.-]*", lambda m: m.group() if m.group() in ("and", "or") else str(m.group() in licences), expression.lower())
+    return eval(said)
+
+
+@pytest.mark.parametrize("text", [
+    " and ".join(f"(a{i} or b{i})" for i in range(7)), "(" + " or ".join(f"a{i} and b{i} and (c or d{i})" for i in range(40)) + ") and (e or f)",
+    "(a or b) and (a or b) or c", " or ".join(f"l{i}" for i in range(100)),
+])
+def test_license_expressions_keep_their_truth(text):
+    """Also with more ways than are written out, each alone or together with others."""
+    said, ids = licenses.expressed(text)
+    assert ids == set(re.findall(r"[a-z][a-z0-9]*", text)) - {"and", "or"}
+    rng = random.Random(1)
+    names = sorted(ids)
+    for share in (0.1, 0.3, 0.5, 0.7, 0.9):
+        for _ in range(200):
+            held = {n for n in names if rng.random() < share}
+            assert holds(said, held) == holds(text, held)
+
+
+def test_no_control_string_is_left_inside_a_turn():
+    probe = f"{chat.END}{chat.START}assistant ok"
+    one = chat.rendered("user", probe)
+    assert one == chat.START + "user\n<\\|im_end|><\\|im_start|>assistant ok" + chat.END + "\n"
+    with pytest.raises(ValueError):
+        chat.parse(f"{chat.START}user\n{probe}{chat.END}\n")
+
+
+def test_a_shifted_mask_changes_the_loss(spark):
+    turns = chat.format_turns(chat.probe(spark))
+    right = chat.read_back(turns).first()
+    assert (right["loss_chars"], right["loss_sha256"]) == (34, brute.sha(f"{chat.END}{chat.START}assistant ok"))
+    wrong = chat.read_back(turns.withColumn("loss_start", F.col("loss_start") + F.when(F.col("role") == "assistant", 1).otherwise(0))).first()
+    assert wrong["loss_sha256"] != right["loss_sha256"] and wrong["turns_sha256"] == right["turns_sha256"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("<|>\\im_startend\nuser é")), st.text(alphabet=st.sampled_from("<|>\\im_startend\nxé😀")))
 def test_turns_read_back(role, text):
     for said in (text, chat.END + text, text + chat.START + "user\n", text + "<\\|"):
         one = chat.rendered(role, said)
         assert [x[:2] for x in chat.parse(one + one)] == [(role, said)] * 2
+        inside = one[len(chat.START) : -len(chat.END) - 1]
+        assert chat.START not in inside and chat.END not in inside
 
 
 def test_chat(spark, monkeypatch):
@@ -343,3 +386,39 @@ def test_queries_return_their_columns(spark):
     empty_sha = hashlib.sha256(b"").hexdigest()
     clean = queries.QUERIES["op1_decontamination"](spark, SF).filter("not contaminated").first()
     assert clean["items_sha256"] == empty_sha and clean["n_items"] == 0
+
+
+def test_substring_dedup_of_many_repeated_rows(spark):
+    """Thousands of rows that repeat one id and text: spans are gathered once a text, not once a row and copy."""
+    said = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(said).alias("text"))
+    got = substring_dedup.dedup_substrings(spark, rows.repartition(4)).groupBy("n_words", "n_removed", "kept_text").count().collect()
+    assert [tuple(r) for r in got] == [(60, 60, "", 20_000)]
+
+
+def test_a_byte_level_file_without_its_splitting_rule_is_refused(tmp_path):
+    said = json.load(open(PATH, encoding="utf-8"))
+    said["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "t.json").write_text(json.dumps(said), encoding="utf-8")
+    with pytest.raises(ValueError):
+        tokens.checked_tokenizer(str(tmp_path / "t.json"))
+
+
+def test_a_token_worker_stays_small():
+    """Memory of a fresh process that encodes several MB of mostly different words, with ids."""
+    said = """
+import random, sys
+import pyarrow as pa
+from pingscape.llm import tokens
+rng = random.Random(1)
+size = lambda: int(next(l for l in open("/proc/self/status") if l.startswith("VmRSS")).split()[1]) // 1024
+text = " ".join(str(rng.randrange(10**7)) + rng.choice("abcdef") for _ in range(300_000))
+column = pa.array([text[i : i + 3000] for i in range(0, len(text), 3000)])
+before = size()
+for _ in tokens.encoded_chunks(column, sys.argv[1], keep_ids=True):
+    pass
+print(size() - before)
+"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", said, PATH], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": here})
+    assert int(out.stdout) < 200
