@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +34,7 @@ from .words import byte_hashes
 
 LONG, FAN = 1 << 16, 8
 #: Cuts and ids that a worker remembers, and the bytes of texts and of new cuts that it works on at once.
-SLOTS, POOL_IDS, CHUNK_BYTES, ENCODE_BYTES = 1 << 17, 1 << 20, 1 << 18, 1 << 15
+SLOTS, POOL_IDS, CHUNK_BYTES, ENCODE_BYTES = 1 << 18, 1 << 21, 1 << 18, 1 << 15
 #: Pairs of ids with their counts are sent to the tasks up to this many (17 bytes each); more are joined.
 MOST_PAIRS = 1_000_000
 #: Copies of a pair in that join, so that rows of one pair spread.
@@ -199,7 +200,7 @@ class Sides:
         length, at = np.zeros((2, len(raws)), np.int32), np.zeros((2, len(raws)), np.int64)
         for k, own in enumerate(ids):
             length[k] = [len(x) if g else 0 for x, g in zip(own, good)]
-            flat_ids = np.fromiter((i for x, g in zip(own, good) if g for i in x), np.int32)
+            flat_ids = np.fromiter(chain.from_iterable([x for x, g in zip(own, good) if g]), np.int32, int(length[k].sum()))
             if self.used[k] + len(flat_ids) > len(self.pools[k]):
                 self.pools[k] = np.concatenate([self.pools[k], np.zeros(max(len(flat_ids), len(self.pools[k]) // 2), np.int32)])
             self.pools[k][self.used[k] : self.used[k] + len(flat_ids)] = flat_ids

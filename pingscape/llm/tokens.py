@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,10 @@ _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
 
 #: What a worker keeps and works on at once: entries of its table, ids of its pool, bytes of new cuts and of texts.
-SLOTS = 1 << 17
-POOL_IDS = 1 << 20
-ENCODE_BYTES = 1 << 15
-TEXT_BYTES = 1 << 18
+SLOTS = 1 << 20
+POOL_IDS = 1 << 22
+ENCODE_BYTES = 1 << 16
+TEXT_BYTES = 1 << 19
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -84,7 +85,7 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             lengths[a:b] = [len(x) for x in found]
             if self.keep_ids:
-                ids = np.fromiter((i for x in found for i in x.ids), np.uint32)
+                ids = np.fromiter(chain.from_iterable([x.ids for x in found]), np.uint32, int(lengths[a:b].sum()))
                 if self.used + len(ids) > len(self.pool):
                     self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), np.uint32)])
                 self.pool[self.used : self.used + len(ids)] = ids
