@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from .checkpoints import stored_and_counted
 
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -38,16 +38,16 @@ def fits_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes
 
 def reference_join(
     facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", spread: list[str] | None = None,
-    max_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS,
+    max_rows: int = MAX_BROADCAST_ROWS, salts: int | None = None,
 ) -> DataFrame:
     """Join a reference table: broadcast when its measured size allows it, salted join beyond.
 
-    The table is stored first, so that counting and joining do not derive it twice.
+    The table is stored first, and counted while it is written, so that counting and joining do not derive it twice.
     """
-    dim = cut(dim)
-    if fits_broadcast(dim, max_rows):
+    dim, rows, length = stored_and_counted(dim)
+    if rows <= max_rows and length <= MAX_BROADCAST_BYTES:
         return facts.join(F.broadcast(dim), on, how)
-    return salted_join(facts, dim, on, how, spread, salts)
+    return salted_join(facts, dim, on, how, spread, salts or SALTS)
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -91,3 +91,10 @@ def full_merge(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     b = right.withColumn("in_right", F.lit(2))
     code = F.coalesce("in_left", F.lit(0)) + F.coalesce("in_right", F.lit(0))
     return a.join(b, on, "full").withColumn("merge_code", code).drop("in_left", "in_right")
+
+
+def join_coalesced(left: DataFrame, right: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """Left join in which columns of both sides become one: the left value, or where it is missing the right."""
+    named = right.withColumnsRenamed({c: f"{c}_right" for c in columns})
+    joined = left.join(named, on, "left")
+    return joined.withColumns({c: F.coalesce(c, f"{c}_right") for c in columns}).drop(*[f"{c}_right" for c in columns])

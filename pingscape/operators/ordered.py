@@ -2,18 +2,29 @@
 
 A plain ``Window.partitionBy(device)`` puts all rows of a device into one task.  Here a key is
 first cut into chunks (an expression of the rows, e.g. the hour), the work is done per
-``(key, chunk)`` and what a chunk needs from the chunks before it travels in one *carry row* per
-chunk.  Carry rows come from an aggregate with map-side combine, so the only shuffle of the data
-is the one on ``(key, chunk)``, and it is as even as the chunks are.
+``(key, chunk)`` and what a chunk needs from the others of its key travels in one *carry row* per
+chunk.  The rows are read and shuffled once, on ``(key, chunk)``: the carry rows are an aggregate of
+the same shuffled rows and come back to them by a join on the same key.  Both readers ask that
+shuffle for the same columns, so that Spark makes it once and reuses it; a caller that wants few
+columns selects them before.
+
+Chunks by the clock can be uneven.  `even_chunks` counts them and cuts those with too many rows at
+quantiles of their time, taken from sketches.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .checkpoints import cut
+from .joins import reference_join
 
 CHUNK = "chunk"
+#: The shuffle key: keys and chunk as one value, in which a null key is a key like others.
+AT = "at_chunk"
+#: Rows that a chunk may have before `even_chunks` cuts it.
+MOST_ROWS = 4_000_000
 
 
 def hour_chunk(epoch_seconds: Column) -> Column:
@@ -21,11 +32,98 @@ def hour_chunk(epoch_seconds: Column) -> Column:
     return F.floor(epoch_seconds / 3600)
 
 
-def _with_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
-    """Rows of df (own = 1) plus carry rows (own = 0, sorting first in their chunk)."""
-    return df.withColumn("own", F.lit(1)).unionByName(
-        carry.withColumn("own", F.lit(0)), allowMissingColumns=True
-    )
+def even_chunks(
+    df: DataFrame, keys: list[str], time: str, chunk: Column, most_rows: int = MOST_ROWS
+) -> tuple[DataFrame, Column]:
+    """A table and a chunk for the functions below, with no chunk of (much) more than `most_rows` rows.
+
+    One job counts the chunks.  If one is too large, a second takes quantiles of `time` in those alone, and the
+    chunk becomes (chunk, range of time); the table then has the column `range_cuts`, which the functions drop.  Rows of a
+    key at one and the same time stay together, and so do those with a null in the key.
+    """
+    counted = cut(df.groupBy(*keys, chunk.alias(CHUNK)).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > most_rows))
+    most = counted.agg(F.max("rows")).first()[0]
+    if most is None:
+        return df, chunk
+    parts = -(-most // most_rows) + 1
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    large = df.withColumn(CHUNK, chunk).select(*keys, CHUNK, time)
+    large = reference_join(large, counted.select(*keys, CHUNK), [*keys, CHUNK], "left_semi", spread=[time])
+    ranges = large.groupBy(*keys, CHUNK).agg(F.percentile_approx(time, shares, max(10_000, 8 * parts)).alias("range_cuts"))
+    wide = reference_join(df.withColumn(CHUNK, chunk), ranges, [*keys, CHUNK], "left", spread=[time])
+    part = F.size(F.filter("range_cuts", lambda c: c < F.col(time)))
+    return wide.drop(CHUNK), F.struct(chunk.alias("chunk"), F.when(F.col("range_cuts").isNotNull(), part).otherwise(0).alias("part"))
+
+
+class _Dealt:
+    """Rows shuffled on (keys, chunk), the one exchange that rows and carry rows are made from."""
+
+    def __init__(self, df: DataFrame, keys: list[str], chunk: Column):
+        self.keys, self.rest = keys, [c for c in df.columns if c not in keys and c not in ("range_cuts", CHUNK)]
+        self.rows = df.select(F.struct(*keys, chunk.alias(CHUNK)).alias(AT), *self.rest).repartition(AT)
+        self.along = W.partitionBy(*[F.col(f"{AT}.{k}") for k in keys]).orderBy(F.col(f"{AT}.{CHUNK}"))
+
+    def within(self, *order: Column) -> W:
+        return W.partitionBy(AT).orderBy(*order)
+
+    def edge(self, order: list[str], pick, known: Column | None = None) -> Column:
+        """One whole row of a chunk, the last or the first of those where `known` holds, or of all."""
+        by = F.struct(*order)
+        return pick(F.struct(AT, *self.rest), by if known is None else F.when(known, by))
+
+    def count(self) -> Column:
+        """The number of rows, from all their columns: a plain count would ask the shuffle for fewer."""
+        plain = [f.name for f in self.rows.schema if not isinstance(f.dataType, T.MapType)]
+        h = F.xxhash64(*plain)
+        return F.count(F.when(h >= 0, 1)) + F.count(F.when(h < 0, 1))
+
+    def carried(self, lagged: DataFrame, carry: DataFrame) -> DataFrame:
+        return lagged.join(carry, AT, "left")
+
+    def whole(self, rows: DataFrame, *more: Column) -> DataFrame:
+        """The columns of the table, the chunk and more."""
+        return rows.select(*[F.col(f"{AT}.{k}").alias(k) for k in self.keys], *self.rest, F.col(f"{AT}.{CHUNK}").alias(CHUNK), *more)
+
+
+def beside(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, previous: dict[str, str] | None = None,
+    following: dict[str, str] | None = None, position: str | None = None,
+) -> DataFrame:
+    """Add values of the previous and of the following row of the same key, and the 0-based position in it.
+
+    `previous` and `following` are {new column: column}.  The chunk must not decrease along `order`.  The result has
+    the column `chunk`.
+    """
+    dealt = _Dealt(df, keys, chunk)
+    previous, following = previous or {}, following or {}
+    edges = {}
+    if previous:
+        edges["last_row"] = dealt.edge(order, F.max_by)
+    if following:
+        edges["first_row"] = dealt.edge(order, F.min_by)
+    if position:
+        edges["rows"] = dealt.count()
+    rows = dealt.within(*[F.col(c) for c in order])
+    inside, carry, out = {}, [], {}
+    if previous:
+        inside["first_in_chunk"] = F.lag(F.lit(1)).over(rows).isNull()
+        carry.append(F.lag("last_row").over(dealt.along).alias("carried_before"))
+    if following:
+        inside["last_in_chunk"] = F.lead(F.lit(1)).over(rows).isNull()
+        carry.append(F.lead("first_row").over(dealt.along).alias("carried_after"))
+    for name, c in previous.items():
+        inside[f"own_{name}"] = F.lag(c).over(rows)
+        out[name] = F.when(F.col("first_in_chunk"), F.col(f"carried_before.{c}")).otherwise(F.col(f"own_{name}"))
+    for name, c in following.items():
+        inside[f"own_{name}"] = F.lead(c).over(rows)
+        out[name] = F.when(F.col("last_in_chunk"), F.col(f"carried_after.{c}")).otherwise(F.col(f"own_{name}"))
+    if position:
+        inside["own_position"] = F.row_number().over(rows)
+        carry.append(F.sum("rows").over(dealt.along.rowsBetween(W.unboundedPreceding, -1)).alias("offset"))
+        out[position] = (F.col("own_position") + F.coalesce("offset", F.lit(0)) - 1).cast("long")
+    carries = dealt.rows.groupBy(AT).agg(*[c.alias(n) for n, c in edges.items()]).select(AT, *carry)
+    both = dealt.carried(dealt.rows.withColumns(inside), carries)
+    return dealt.whole(both, *[c.alias(n) for n, c in out.items()])
 
 
 def previous_row(
@@ -39,65 +137,36 @@ def previous_row(
 ) -> DataFrame:
     """Add `prefix + v`: the value of v in the previous row of the same key (step = -1: next row).
 
-    The chunk must not decrease along `order`.  The result keeps the column `chunk` and is
-    hash-partitioned by (keys, chunk); group by keys that contain both to avoid another shuffle.
+    The chunk must not decrease along `order`.  The result has the column `chunk`.
     """
-    data = df.withColumn(CHUNK, chunk)
-    by_row = F.struct(*order)
-    pick = F.max_by if step > 0 else F.min_by
-    edges = data.groupBy(*keys, CHUNK).agg(pick(F.struct(*values), by_row).alias("edge"))
-    along = W.partitionBy(*keys).orderBy(CHUNK if step > 0 else F.desc(CHUNK))
-    carry = (
-        edges.withColumn("to_chunk", F.lead(CHUNK).over(along))
-        .filter("to_chunk IS NOT NULL")
-        .select(*keys, F.col("to_chunk").alias(CHUNK), *[F.col(f"edge.{v}").alias(v) for v in values])
-    )
-    sort = [F.col(c) if step > 0 else F.col(c).desc() for c in order]
-    rows = W.partitionBy(*keys, CHUNK).orderBy("own", *sort)
-    return (
-        _with_carry(data, carry)
-        .withColumns({prefix + v: F.lag(v).over(rows) for v in values})
-        .filter("own = 1")
-        .drop("own")
-    )
+    wanted = {prefix + v: v for v in values}
+    return beside(df, keys, order, chunk, **({"previous": wanted} if step > 0 else {"following": wanted}))
 
 
 def next_known(
     df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column, out: str
 ) -> DataFrame:
     """Add `out`: the first known `value` at this row or after it (null if none follows)."""
-    data = df.withColumn(CHUNK, chunk)
-    known = F.when(F.col(value).isNotNull(), F.struct(*order))
-    firsts = data.groupBy(*keys, CHUNK).agg(F.min_by(value, known).alias(out))
-    after = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, W.unboundedFollowing)
-    carry = firsts.select(*keys, CHUNK, F.first(out, ignorenulls=True).over(after).alias(out))
-    back = W.partitionBy(*keys, CHUNK).orderBy("own", *[F.col(c).desc() for c in order])
-    seen = F.coalesce(F.when(F.col("own") == 1, F.col(value)), F.col(out))
-    return (
-        _with_carry(data, carry.filter(F.col(out).isNotNull()))
-        .withColumn(out, F.last(seen, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)))
-        .filter("own = 1")
-        .drop("own", CHUNK)
-    )
+    dealt = _Dealt(df, keys, chunk)
+    firsts = dealt.rows.groupBy(AT).agg(dealt.edge(order, F.min_by, F.col(value).isNotNull()).alias("first_row"))
+    after = dealt.along.rowsBetween(1, W.unboundedFollowing)
+    carry = firsts.select(AT, F.first(F.col(f"first_row.{value}"), ignorenulls=True).over(after).alias("carried_after"))
+    back = dealt.within(*[F.col(c).desc() for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    seen = dealt.rows.withColumn("own_next", F.last(value, ignorenulls=True).over(back))
+    return dealt.whole(dealt.carried(seen, carry), F.coalesce("own_next", "carried_after").alias(out)).drop(CHUNK)
 
 
 def with_position(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "pos"
 ) -> DataFrame:
     """Add the 0-based position of each row within its key (and the column `chunk`)."""
-    data = df.withColumn(CHUNK, chunk)
-    before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        data.groupBy(*keys, CHUNK)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(*keys, CHUNK, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    )
-    rows = W.partitionBy(*keys, CHUNK).orderBy("own", *order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        _with_carry(data, carry)
-        .withColumn(name, F.sum(F.coalesce("offset", F.lit(1))).over(rows) - 1)
-        .filter("own = 1")
-        .drop("own", "offset")
+    return beside(df, keys, order, chunk, position=name)
+
+
+def _with_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows of df (own = 1) plus carry rows (own = 0, sorting first in their chunk)."""
+    return df.withColumn("own", F.lit(1)).unionByName(
+        carry.withColumn("own", F.lit(0)), allowMissingColumns=True
     )
 
 
@@ -174,8 +243,5 @@ def pair_toggles(
 
     A key with an odd number of rows keeps its last start with a null end; other keys are untouched.
     """
-    numbered = with_position(df, keys, order, chunk).drop(CHUNK)
-    nexts = previous_row(numbered, keys, ["pos"], [time], chunk, prefix="next_", step=-1)
-    return nexts.filter(F.col("pos") % 2 == 0).select(
-        *keys, F.col(time).alias("start"), F.col("next_" + time).alias("end")
-    )
+    ordered = beside(df, keys, order, chunk, following={"next_time": time}, position="pos")
+    return ordered.filter(F.col("pos") % 2 == 0).select(*keys, F.col(time).alias("start"), F.col("next_time").alias("end"))

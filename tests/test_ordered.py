@@ -92,3 +92,44 @@ def test_merge_of_a_key_with_many_blocks_matches_a_loop(spark):
     for key in ("hot", None):
         assert [[r.first_pos, r.last_pos] for r in out if r.k == key] == want
         assert [r.group_no for r in out if r.k == key] == list(range(len(want)))
+
+
+def plan_of(df):
+    """The plan as it is run, each subtree once."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_rows_are_read_and_shuffled_once(spark, tmp_path):
+    """Minute means of pings: one scan and one exchange of pings; the others carry one row a chunk or sums a minute."""
+    from pingscape.operators import panel
+
+    rows = spark.range(4000).selectExpr(
+        "concat('d', id % 3) as caid", "id * 7 + 1647338400 as utc_timestamp", "49 + id / 1e6 as latitude",
+        "30 + id / 1e6 as longitude", "double(id) as altitude",
+    )
+    rows.write.parquet(str(tmp_path / "pings"))
+    stored = spark.read.parquet(str(tmp_path / "pings"))
+    tree = plan_of(panel.minute_means(panel.with_speed(stored)))
+    assert tree.count("Scan parquet") == 1 and "ReusedExchange" in tree
+    wide = [line for line in tree.splitlines() if " Exchange " in line and "at_chunk" in line and "REPARTITION" in line and "Reused" not in line]
+    assert len(wide) == 1
+
+
+def test_one_device_and_one_hour_with_everything_is_cut(spark):
+    """Chunks are cut by counts: none keeps much more than the bound, and results stay those of a plain window."""
+    rng = np.random.default_rng(9)
+    t = np.sort(rng.integers(0, 3600, 5000))
+    pdf = pd.DataFrame({"k": "hot", "t": t, "v": rng.integers(0, 10**6, 5000)})
+    pdf = pd.concat([pdf, pd.DataFrame({"k": ["a", None, None], "t": [5, 7, 9], "v": [1, 2, 3]})])
+    df, chunk = ordered.even_chunks(spark.createDataFrame(pdf), ["k"], "t", F.floor(F.col("t") / 3600), most_rows=400)
+    assert df.groupBy("k", chunk.alias("c")).count().agg(F.max("count")).first()[0] <= 500
+    out = ordered.beside(df, ["k"], ["t", "v"], chunk, {"before": "v"}, {"after": "v"}, "pos").toPandas()
+    assert "range_cuts" not in out.columns
+    want = pdf.sort_values(["k", "t", "v"]).reset_index(drop=True)
+    want["before"], want["after"] = (want.groupby("k", dropna=False)["v"].shift(s) for s in (1, -1))
+    want["pos"] = want.groupby("k", dropna=False).cumcount()
+    both = [x.sort_values(["k", "t", "v"])[["k", "t", "v", "before", "after", "pos"]].reset_index(drop=True) for x in (out, want)]
+    pd.testing.assert_frame_equal(both[0], both[1], check_dtype=False)
+    same, plain = ordered.even_chunks(spark.createDataFrame(pdf), ["k"], "t", F.lit(0), most_rows=10**6)
+    assert "range_cuts" not in same.columns
