@@ -11,7 +11,7 @@ from ..functions.fixed_values import (
     TRIM_IQR,
 )
 from .checkpoints import cut
-from .joins import first_row, reference_join, salted_join
+from .joins import first_row, reference_join
 from .quantiles import group_quantiles
 
 
@@ -73,16 +73,14 @@ def above_median(df: DataFrame, split: str, facet: list[str], out: str = "grp")
     work = df if facet else df.withColumn("all_rows", F.lit(1))
     keys = facet or ["all_rows"]
     medians = group_quantiles(work, keys, split, {"median": 0.5})
-    joined = salted_join(work, medians, keys, "left", spread=[c for c in df.columns if c not in keys])
+    joined = reference_join(work, medians, keys, "left", spread=[c for c in df.columns if c not in keys])
     return joined.withColumn(out, F.col(split) > F.col("median")).drop("median", "all_rows")
 
 
 def split_bands(df: DataFrame, split: str, facet: list[str], value: str = "movement",
                 group: str | None = None) -> DataFrame:
     """Mean +- 2 sd by period, group and facet; the group is "above the facet's median" or a column."""
-    flagged = above_median(df, split, facet)
-    if group is not None:
-        flagged = flagged.withColumn("grp", F.col(group))
+    flagged = above_median(df, split, facet) if group is None else df.withColumn("grp", F.col(group))
     return mean_bands(flagged, ["period_num", "grp", *facet], value).filter("grp IS NOT NULL")
 
 
@@ -94,10 +92,18 @@ def trim_outliers(df: DataFrame, keys: list[str], value: str = "movement", width
         (F.col("q25") - width * (F.col("q75") - F.col("q25"))).alias("low"),
         (F.col("q75") + width * (F.col("q75") - F.col("q25"))).alias("high"),
     )
-    joined = salted_join(df, q, keys, "left", spread=[c for c in df.columns if c not in keys])
+    joined = reference_join(df, q, keys, "left", spread=[c for c in df.columns if c not in keys])
     return joined.filter((F.col(value) >= F.col("low")) & (F.col(value) < F.col("high"))).drop("low", "high")
 
 
+def upper_lower(b: Column, slope: Column, sd: Column) -> Column:
+    """Array of (conf, movement): the effect at distance 0 ("lower") and one sd away ("upper")."""
+    return F.array(
+        F.struct(F.lit("lower").alias("conf"), b.alias("movement")),
+        F.struct(F.lit("upper").alias("conf"), (b + slope * sd).alias("movement")),
+    )
+
+
 def distance_bands(effects: DataFrame, keys: list[str], sd: Column | float, by: list[str]) -> DataFrame:
     """Effects at distance 0 ("lower") and one sd away ("upper"), trimmed and summarised.
 
@@ -108,10 +114,7 @@ def distance_bands(effects: DataFrame, keys: list[str], sd: Column | float, by:
         F.max(F.when(F.col("term") == "cell_x", F.col("b"))).alias("g"),
     )
     sd = sd if isinstance(sd, Column) else F.lit(float(sd))
-    both = F.array(
-        F.struct(F.lit("lower").alias("conf"), F.col("b").alias("movement")),
-        F.struct(F.lit("upper").alias("conf"), (F.col("b") + F.col("g") * sd).alias("movement")),
-    )
+    both = upper_lower(F.col("b"), F.col("g"), sd)
     long = (
         paired.withColumn("v", F.explode(both)).select(*keys, "cell", "v.*")
         .withColumn("period_num", F.col("cell") / 60.0)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import RESAMPLES, SUBSAMPLE_ROWS
+from .checkpoints import stored_and_counted
 from .joins import reference_join
 from .ordered import CHUNK, with_position
 
@@ -47,17 +48,34 @@ def cluster_bootstrap_sums(rows: DataFrame, cluster: str, values: list[str], rep
     return bootstrap_sums(indexed(sums, [cluster], F.lit(0)), values, reps)
 
 
+def subsample(n: int, drawn: DataFrame, size: int, spare: float = 12.0) -> DataFrame:
+    """(rep, idx, h): the `size` rows of each repetition with the smallest hashes; `drawn` has every (rep, idx, h).
+
+    Only rows below a threshold are ranked.  It is set so that a repetition has `size` rows and a margin of `spare` standard
+    deviations below it; should one have fewer than `size`, all of its rows are ranked.
+    """
+    order = W.partitionBy("rep").orderBy("h", "idx")
+
+    def smallest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+
+    share = (size + spare * size**0.5 + spare) / max(n, 1)
+    if share >= 1:
+        return smallest(drawn)
+    below = drawn.filter(F.col("h") < int(share * 2**32))
+    enough = below.groupBy("rep").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= size).select("rep")
+    short = stored_and_counted(drawn.select("rep").distinct().join(enough, "rep", "left_anti"))
+    if not short.rows:
+        return smallest(below)
+    rest = reference_join(drawn, short.table, ["rep"], "left_semi", spread=["idx"])
+    return smallest(below.join(enough, "rep", "left_semi")).unionByName(smallest(rest))
+
+
 def subsample_sums(rows: DataFrame, values: list[str], size: int = SUBSAMPLE_ROWS, reps: int = RESAMPLES) -> DataFrame:
     """Sums of `size` rows per repetition, drawn without replacement."""
     n = rows.count()
-    by_hash = W.partitionBy("rep").orderBy("h", "idx")
-    ranked = (
-        _draws(rows, n, reps).withColumnRenamed("draw", "idx")
-        .withColumn("h", draw_number(F.col("rep"), F.col("idx")))
-        .withColumn("place", F.row_number().over(by_hash))
-        .filter(F.col("place") <= size)
-    )
-    picked = reference_join(ranked, rows.select("idx", *values), ["idx"], "inner", spread=["rep"])
+    drawn = _draws(rows, n, reps).withColumnRenamed("draw", "idx").withColumn("h", draw_number(F.col("rep"), F.col("idx")))
+    picked = reference_join(subsample(n, drawn, size), rows.select("idx", *values), ["idx"], "inner", spread=["rep"])
     return picked.groupBy("rep").agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in values])
 
 

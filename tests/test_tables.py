@@ -4,31 +4,55 @@ from datetime import date, datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pingscape.functions import clock
 from pingscape.functions.fixed_values import MOVEMENT_COEF
 from pingscape.operators import alerts, context, counterfactual, estimates, joins, resample
+from pingscape.operators import quantiles
 from pingscape.operators.quantiles import describe, group_quantiles
 from pingscape.sources import sinks, tables
 
 
 # --- quantiles ---------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("accuracy", [20, 10000])
-def test_quantiles_are_exact_for_any_sketch_accuracy(spark, accuracy):
+@pytest.mark.parametrize("sketch", [8, 800])
+def test_quantiles_are_exact_for_any_sketch(spark, monkeypatch, sketch):
     rng = np.random.default_rng(21)
     groups = {"hot": rng.normal(0, 1, 4000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([7.0]),
               "two": np.array([1.0, 4.0]), "long_tail": np.exp(rng.normal(0, 4, 900))}
     pdf = pd.concat([pd.DataFrame({"g": k, "v": v}) for k, v in groups.items()])
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
-    out = group_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, accuracy).collect()
+    monkeypatch.setattr(quantiles, "SKETCH", sketch)
+    monkeypatch.setattr(quantiles, "MOST_VALUES", 20)
+    out = group_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs).collect()
     for r in out:
         for name, p in probs.items():
             assert r[name] == pytest.approx(np.quantile(groups[r.g], p), rel=1e-12), (r.g, name)
     assert len(out) == len(groups)
 
 
+@pytest.mark.parametrize("lo, hi", [(-9.0, -8.0), (8.0, 9.0), (0.3, 0.3), (-1e300, 1e300)])
+def test_a_bracket_that_misses_its_rank_is_repaired(spark, monkeypatch, lo, hi):
+    monkeypatch.setattr(quantiles, "MOST_VALUES", 10)
+    v = np.random.default_rng(2).random(3000)
+    data = spark.createDataFrame([(float(x), 1) for x in v], "v double, all_rows int")
+    wrong = data.groupBy("all_rows").agg(F.count("v").alias("n")).select("all_rows", F.array(F.struct(
+        F.lit("q").alias("name"), ((F.col("n") - 1) * 0.37).alias("rank"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")
+    )).alias("want"))
+    assert quantiles._quantiles(data, ["all_rows"], {"q": 0.37}, wrong).first()["q"] == pytest.approx(np.quantile(v, 0.37), rel=1e-12)
+
+
+def test_values_far_from_the_rank_are_not_shuffled(spark):
+    """The last step reads the few values of its bins; before it only sketches and counts are shuffled."""
+    df = spark.range(0, 200_000, 1, 4).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    plan = group_quantiles(df, [], "v", {"m": 0.5})
+    assert plan.first()["m"] == np.median(np.arange(200_000) * 7919 % 200_003)
+    tree = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in tree and "SortMergeJoin" not in tree
+
+
 def test_describe_ignores_nulls(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (None,), (6.0,)], "v double")
     row = describe(df, [], "v").first()
@@ -300,3 +324,14 @@ def test_active_alerts_match_each_alert(spark):
                                   "region_english string, start_dt timestamp, end_dt timestamp")
     out = panel.active_alerts(rows, given).collect()
     assert sorted((r.minute.hour, r.start_dt.hour) for r in out) == [(10, 9), (10, 10), (11, 10)]
+
+
+def test_subsample_ranks_few_rows_and_repairs_a_short_repetition(spark, monkeypatch):
+    """The same rows as by ranking all of them, also with a threshold set too low on purpose."""
+    drawn = resample._draws(spark.range(3000), 3000, 20).withColumnRenamed("draw", "idx")
+    drawn = drawn.withColumn("h", resample.draw_number(F.col("rep"), F.col("idx")))
+    order = Window.partitionBy("rep").orderBy("h", "idx")
+    want = {(r.rep, r.idx) for r in drawn.withColumn("p", F.row_number().over(order)).filter("p <= 90").collect()}
+    for spare in (12.0, 0.0, -5.0):
+        assert {(r.rep, r.idx) for r in resample.subsample(3000, drawn, 90, spare).collect()} == want
+    assert resample.subsample(50, drawn.filter("idx < 50"), 90).count() == 20 * 50
