@@ -1,7 +1,8 @@
 """Density clusters (DBSCAN) of places per key, for groups of any size.
 
-Distances are great-circle.  Places are put on a grid whose cells are small enough that all places
-of a cell are within eps of each other.  A cell with at least `min_points` weight is *dense*: its
+Distances are great-circle.  Places are points of the unit sphere in a grid of cubes, so neither the
+180th meridian nor the poles are edges.  Cubes are small enough that all places of one are within eps
+of each other.  A cell with at least `min_points` weight is *dense*: its
 places are cores of one cluster.  The other cells hold fewer places than `min_points`, so comparing
 them with the cells around is linear.  Clusters are the connected components of dense cells and
 single cores.  No step pairs the places of a cell with each other.
@@ -15,18 +16,15 @@ from pyspark.sql import functions as F
 from .checkpoints import cut
 from .joins import salted_join
 
-FILL = 0.7  # cell side / eps; below 1/sqrt(2), so that a cell's diagonal stays below eps
-PARTS = 8  # a cell is cut into PARTS x PARTS pieces when two dense cells are compared
+FILL = 0.57  # cell side / chord of eps; below 1/sqrt(3), so that a cube's diagonal stays below it
+PARTS = 8  # a cell is cut into PARTS x PARTS x PARTS pieces when two dense cells are compared
+AXES = ("u", "v", "t")
+CELL = ["cu", "cv", "ct"]
+ROUNDING = 1e-15  # of a coordinate on the unit sphere
 
 
-def _row_cos(cy: Column, side: float) -> Column:
-    """Largest cosine of latitude in a grid row."""
-    edge = F.least(F.abs(cy * side), F.abs((cy + 1) * side))
-    return F.cos(F.when((cy * side <= 0) & ((cy + 1) * side >= 0), 0.0).otherwise(edge))
-
-
-def _width(cy: Column, side: float) -> Column:
-    return F.lit(side) / _row_cos(cy, side)
+def _on_sphere(y: Column, x: Column) -> dict[str, Column]:
+    return {"u": F.cos(y) * F.cos(x), "v": F.cos(y) * F.sin(x), "t": F.sin(y)}
 
 
 def _haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -34,19 +32,16 @@ def _haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return s * s + F.cos(lat1) * F.cos(lat2) * t * t
 
 
-def _cells_around(y0: Column, y1: Column, x0: Column, x1: Column, eps: float, side: float) -> Column:
-    """Grid cells that can hold a place within eps of the box [y0, y1] x [x0, x1] (radians)."""
-    reach = 1.01 * eps / F.cos(F.greatest(F.abs(y0), F.abs(y1)) + eps)
-    rows = F.sequence(F.floor((y0 - eps) / side), F.floor((y1 + eps) / side))
-    return F.flatten(
-        F.transform(
-            rows,
-            lambda cy: F.transform(
-                F.sequence(F.floor((x0 - reach) / _width(cy, side)), F.floor((x1 + reach) / _width(cy, side))),
-                lambda cx: F.struct(cy.alias("cy"), cx.alias("cx")),
-            ),
-        )
-    )
+def _cells_around(low: list[Column], high: list[Column], chord: float, side: float) -> Column:
+    """Cells that can hold a place within the chord of a box: those in reach of it that the sphere passes through."""
+    spans = [F.sequence(F.floor((lo - chord) / side), F.floor((hi + chord) / side)) for lo, hi in zip(low, high)]
+    near = lambda c: F.greatest(c * side, -(c + 1) * side, F.lit(0.0))
+    far = lambda c: F.greatest(F.abs(c * side), F.abs((c + 1) * side))
+    square = lambda f, c: f(c["cu"]) * f(c["cu"]) + f(c["cv"]) * f(c["cv"]) + f(c["ct"]) * f(c["ct"])
+    cells = F.flatten(F.transform(spans[0], lambda i: F.flatten(F.transform(spans[1], lambda j: F.transform(
+        spans[2], lambda k: F.struct(i.alias("cu"), j.alias("cv"), k.alias("ct"))
+    )))))
+    return F.filter(cells, lambda c: (square(near, c) <= 1 + 1e-9) & (square(far, c) >= 1 - 1e-9))
 
 
 def density_clusters(
@@ -57,17 +52,17 @@ def density_clusters(
     `places` has distinct (keys, latitude, longitude) in degrees with a weight; eps is in radians.
     A border place joins the neighbouring cluster with the lowest core.
     """
-    side = FILL * eps
-    limit = math.sin(eps / 2) ** 2
+    chord = 2 * math.sin(eps / 2)
+    side, limit = FILL * chord, (chord / 2) ** 2
     y, x = F.radians("latitude"), F.radians("longitude")
     points = (
         places.select(*keys, "latitude", "longitude", F.col(weight).alias("w"))
         .withColumns({"y": y, "x": x})
-        .withColumn("cy", F.floor(F.col("y") / side))
-        .withColumn("cx", F.floor(F.col("x") / _width(F.col("cy"), side)))
+        .withColumns(_on_sphere(F.col("y"), F.col("x")))
+        .withColumns({c: F.floor(F.col(a) / side) for c, a in zip(CELL, AXES)})
         .withColumn("place", F.struct("latitude", "longitude"))
     )
-    cell = [*keys, "cy", "cx"]
+    cell = [*keys, *CELL]
     sums = points.groupBy(*cell).agg(F.sum("w").alias("cell_w"), F.min("place").alias("cell_node"))
     points = cut(
         salted_join(points, sums, cell, "inner", spread=["latitude", "longitude"])
@@ -77,8 +72,8 @@ def density_clusters(
     # places outside dense cells, with every place in reach
     probes = points.filter("NOT dense").select(
         *keys, F.col("place").alias("probe"), F.col("y").alias("py"), F.col("x").alias("px"),
-        F.explode(_cells_around(F.col("y"), F.col("y"), F.col("x"), F.col("x"), eps, side)).alias("c"),
-    ).select(*keys, "probe", "py", "px", "c.cy", "c.cx")
+        F.explode(_cells_around([F.col(a) for a in AXES], [F.col(a) for a in AXES], chord, side)).alias("c"),
+    ).select(*keys, "probe", "py", "px", "c.*")
     target = F.when(F.col("dense"), F.col("cell_node")).otherwise(F.col("place"))
     near = (
         salted_join(points, probes, cell, "inner", spread=["latitude", "longitude"])
@@ -95,7 +90,7 @@ def density_clusters(
 
     links = contacts.join(cores, [*keys, "probe"]).join(core_of, [*keys, "other"], "left").filter("dense OR core")
     edges = links.select(*keys, F.col("probe").alias("a"), F.col("other").alias("b")).filter("a != b")
-    edges = edges.unionByName(_dense_links(points.filter("dense"), keys, eps, side, limit))
+    edges = edges.unionByName(_dense_links(points.filter("dense"), keys, chord, side, limit))
     solid = points.filter("dense").select(*keys, F.col("cell_node").alias("node")).distinct()
     labels = components(solid.unionByName(single_cores), edges, keys)
 
@@ -118,29 +113,22 @@ def density_clusters(
     )
 
 
-def _graded(pairs: DataFrame, eps: float, limit: float) -> DataFrame:
-    """Keep pairs of boxes (y0a .. x1a, y0b .. x1b) that may be in reach; `sure` if they wholly are."""
-    gap = lambda lo, hi: F.greatest(
-        F.lit(0.0), F.col(lo + "b") - F.col(hi + "a"), F.col(lo + "a") - F.col(hi + "b")
-    )
-    span = lambda lo, hi: F.greatest(
-        F.abs(F.col(hi + "b") - F.col(lo + "a")), F.abs(F.col(hi + "a") - F.col(lo + "b"))
-    )
-    lats = [F.abs(F.col(c + t)) for c in ("y0", "y1") for t in ("a", "b")]
-    sq = lambda v: F.sin(v / 2) * F.sin(v / 2)
+def _graded(pairs: DataFrame, chord: float) -> DataFrame:
+    """Keep pairs of boxes (u0a .. t1a, u0b .. t1b) that may be in reach; `sure` if they wholly are."""
+    zero = F.lit(0.0)
+    gap = lambda x: F.greatest(F.col(f"{x}0b") - F.col(f"{x}1a"), F.col(f"{x}0a") - F.col(f"{x}1b"), zero)
+    span = lambda x: F.greatest(F.abs(F.col(f"{x}1b") - F.col(f"{x}0a")), F.abs(F.col(f"{x}1a") - F.col(f"{x}0b")))
     # margins far above rounding error keep the quick answers safe
-    equator_side = F.greatest(F.least(*lats) - eps, F.lit(0.0))
-    closest = sq(gap("y0", "y1")) + F.pow(F.cos(F.greatest(*lats)), 2) * sq(gap("x0", "x1"))
-    farthest = sq(span("y0", "y1")) + F.pow(F.cos(equator_side), 2) * sq(span("x0", "x1"))
+    closest = sum((F.pow(F.greatest(gap(x) - ROUNDING, zero), 2) for x in AXES), zero)
+    farthest = sum((F.pow(span(x) + ROUNDING, 2) for x in AXES), zero)
     return pairs.withColumns(
-        {"sure": farthest <= limit * (1 - 1e-9), "open": closest <= limit * (1 + 1e-9)}
+        {"sure": farthest <= chord**2 * (1 - 1e-9), "open": closest <= chord**2 * (1 + 1e-9)}
     ).filter("open").drop("open")
 
 
 def _boxes(points: DataFrame, keys: list[str]) -> DataFrame:
-    return points.groupBy(*keys).agg(
-        F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")
-    )
+    ends = [(x, side, pick) for x in AXES for side, pick in ((0, F.min), (1, F.max))]
+    return points.groupBy(*keys).agg(*[pick(x).alias(f"{x}{side}") for x, side, pick in ends])
 
 
 def _side(df: DataFrame, tag: str, shared: list[str]) -> DataFrame:
@@ -149,41 +137,38 @@ def _side(df: DataFrame, tag: str, shared: list[str]) -> DataFrame:
     return df.withColumnsRenamed({**names, "cell_node": tag})
 
 
-def _dense_links(points: DataFrame, keys: list[str], eps: float, side: float, limit: float) -> DataFrame:
+def _dense_links(points: DataFrame, keys: list[str], chord: float, side: float, limit: float) -> DataFrame:
     """Pairs of dense cells that hold places within eps of each other, as (a, b) of their nodes.
 
     Cells are compared by the tight boxes of their places: boxes that are surely close link their
     cells, boxes that are surely apart are dropped.  For the cells in between the same is done with
     the boxes of their pieces, and places are compared only where those leave it open too.
     """
-    cells = _boxes(points, [*keys, "cy", "cx", "cell_node"])
-    box = ["y0", "y1", "x0", "x1"]
+    cells = _boxes(points, [*keys, *CELL, "cell_node"])
+    low, high = [f"{x}0" for x in AXES], [f"{x}1" for x in AXES]
     around = cells.select(
-        *keys, F.col("cell_node").alias("a"), *[F.col(c).alias(c + "a") for c in box],
-        F.explode(_cells_around(*[F.col(c) for c in box], eps, side)).alias("c"),
-    ).select("*", "c.cy", "c.cx").drop("c")
-    pairs = around.join(_side(cells, "b", [*keys, "cy", "cx"]), [*keys, "cy", "cx"]).filter("a < b")
-    graded = cut(_graded(pairs, eps, limit).select(*keys, "a", "b", "sure"))
+        *keys, F.col("cell_node").alias("a"), *[F.col(c).alias(c + "a") for c in (*low, *high)],
+        F.explode(_cells_around([F.col(c) for c in low], [F.col(c) for c in high], chord, side)).alias("c"),
+    ).select("*", "c.*").drop("c")
+    pairs = around.join(_side(cells, "b", [*keys, *CELL]), [*keys, *CELL]).filter("a < b")
+    graded = cut(_graded(pairs, chord).select(*keys, "a", "b", "sure"))
     sure = graded.filter("sure").select(*keys, "a", "b")
     unsure = graded.filter("NOT sure").select(*keys, "a", "b")
     if unsure.isEmpty():
         return sure
 
-    split = points.withColumns(
-        {
-            "sy": F.floor(F.col("y") / (side / PARTS)),
-            "sx": F.floor(F.col("x") / (_width(F.col("cy"), side) / PARTS)),
-        }
-    )
-    pieces = _boxes(split, [*keys, "cell_node", "sy", "sx"])
+    piece = [f"s{x}" for x in AXES]
+    split = points.withColumns({p: F.floor(F.col(x) / (side / PARTS)) for p, x in zip(piece, AXES)})
+    pieces = _boxes(split, [*keys, "cell_node", *piece])
     both = unsure.join(_side(pieces, "a", keys), [*keys, "a"]).join(_side(pieces, "b", keys), [*keys, "b"])
-    graded = cut(_graded(both, eps, limit).select(*keys, "a", "b", "sya", "sxa", "syb", "sxb", "sure"))
+    at_a, at_b = [p + "a" for p in piece], [p + "b" for p in piece]
+    graded = cut(_graded(both, chord).select(*keys, "a", "b", *at_a, *at_b, "sure"))
     linked = graded.filter("sure").select(*keys, "a", "b").distinct()
     open_pieces = graded.filter("NOT sure").drop("sure").join(linked, [*keys, "a", "b"], "left_anti")
-    spots = split.select(*keys, "cell_node", "sy", "sx", "y", "x")
+    spots = split.select(*keys, "cell_node", *piece, "y", "x")
     compared = (
-        open_pieces.join(_side(spots, "a", keys), [*keys, "a", "sya", "sxa"])
-        .join(_side(spots, "b", keys), [*keys, "b", "syb", "sxb"])
+        open_pieces.join(_side(spots, "a", keys), [*keys, "a", *at_a])
+        .join(_side(spots, "b", keys), [*keys, "b", *at_b])
         .filter(_haversine(F.col("ya"), F.col("xa"), F.col("yb"), F.col("xb")) <= limit)
         .select(*keys, "a", "b").distinct()
     )

@@ -31,6 +31,24 @@ def control_long(wide: DataFrame, prefix: str = "ctr_") -> DataFrame:
     )
 
 
+def near_localities(points: DataFrame, status: DataFrame, keys: list[str], lat0: float, radius: float = ZONE_RADIUS_KM) -> DataFrame:
+    """(keys, day, status): the days and sides that have a locality within `radius` km of a point.
+
+    `points` has keys, longitude and latitude, `status` what `control_long` gives.  Being in the union of a side's discs
+    is being near one of its localities, so no union is drawn: localities stand in cells of side `radius` as arrays by
+    day and side, and a point looks into its own cell and the eight around.
+    """
+    x, y = x_km(F.col("longitude"), lat0), y_km(F.col("latitude"))
+    places = status.filter("status IS NOT NULL").select("day", "status", x.alias("x"), y.alias("y")).distinct()
+    cell = {"cx": grid_cell(F.col("x"), radius), "cy": grid_cell(F.col("y"), radius)}
+    held = places.withColumns(cell).groupBy("cx", "cy", "day", "status").agg(F.collect_list(F.struct("x", "y")).alias("places"))
+    asking = points.select(*keys, x.alias("x"), y.alias("y")).withColumns(cell)
+    for c in ("cx", "cy"):
+        asking = asking.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    near = F.exists("places", lambda p: planar(F.col("x"), F.col("y"), p["x"], p["y"]) <= radius)
+    return reference_join(asking, held, ["cx", "cy"], "inner", spread=keys).filter(near).select(*keys, "day", "status").distinct()
+
+
 def contact_lenses(status: DataFrame, lat0: float, radius: float = ZONE_RADIUS_KM) -> DataFrame:
     """Pairs of localities of both sides within 2r: (day, ax, ay, bx, by) in km.
 
@@ -78,62 +96,103 @@ def lens_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by:
     )
 
 
+#: Squares of the grid are also looked at in squares of twice, four times, ... their side; the last covers the earth.
+LEVELS = 11
+
+
 def front_distance(
     points: DataFrame, lenses: DataFrame, keys: list[str], lat0: float, radius: float = ZONE_RADIUS_KM,
     area: float = AREA_KM,
 ) -> DataFrame:
-    """(keys, distance_to_front in km) to the zone of the point's day; points: keys, day, lon, lat.
+    """(keys, distance_to_front in km) to the zone of the point's day; points: keys, day, lon, lat, one row per key.
 
-    Points are first put into areas.  Per day and occupied area only the lenses that can be nearest
-    to some point of the area are kept: those whose least distance to the area does not exceed the
-    smallest greatest distance.  Each point is then compared with its area's lenses only.
+    Points are put into squares.  A day's square carries the lenses that can be nearest to one of its points as an
+    array, so a point meets its square once and takes the least distance in an expression.  A point of a day without
+    lenses gives no row.
     """
     px = x_km(F.col("longitude_center"), lat0)
     py = y_km(F.col("latitude_center"))
-    # points and lenses are each read several times below, so both are stored once
+    # points are read for their squares and for their distances, so they are stored once
     placed = cut(points.select(*keys, "day", px.alias("x"), py.alias("y")).withColumns(
         {"area_x": grid_cell(F.col("x"), area), "area_y": grid_cell(F.col("y"), area)}
     ))
-    areas = placed.select("day", "area_x", "area_y").distinct()
-    near = cut(_area_lenses(areas, lenses, area, radius))
-    joined = reference_join(placed, near, ["day", "area_x", "area_y"], "inner", spread=keys)
-    distance = lens_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")], radius)
-    return joined.groupBy(*keys).agg(F.min(distance).alias("distance_to_front"))
+    near = _area_lenses(placed.select(*SQUARE).distinct(), _tiles(lenses, area), area, radius)
+    joined = reference_join(placed, near, SQUARE, "inner", spread=keys)
+    distance = lambda n: lens_distance(F.col("x"), F.col("y"), n["ax"], n["ay"], n["bx"], n["by"], radius)
+    return joined.select(*keys, F.array_min(F.transform("lenses", distance)).alias("distance_to_front"))
+
+
+SQUARE = ["day", "area_x", "area_y"]
+TILE = ["day", "tile_x", "tile_y"]
+
+
+def _tiles(lenses: DataFrame, area: float) -> DataFrame:
+    """Lenses by the square of the grid that holds their middle: (day, tile_x, tile_y, lenses); stored, as it is read twice."""
+    tile = {"tile_x": grid_cell((F.col("ax") + F.col("bx")) / 2, area), "tile_y": grid_cell((F.col("ay") + F.col("by")) / 2, area)}
+    return cut(lenses.withColumns(tile).groupBy(*TILE).agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("lenses")))
+
+
+def _over(c: str | Column, level: Column) -> Column:
+    """The square of a level that holds a square of the grid."""
+    return F.floor(F.col(c) / F.pow(F.lit(2.0), level) if isinstance(c, str) else c / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def _area_lenses(areas: DataFrame, lenses: DataFrame, area: float, radius: float) -> DataFrame:
-    """Lenses that can be nearest to some point of an area.
+def _around(squares: DataFrame) -> DataFrame:
+    """Squares with the nine squares of their `level` around them as (level, sx, sy)."""
+    for name, c in (("sx", "area_x"), ("sy", "area_y")):
+        at = _over(c, F.col("level"))
+        squares = squares.withColumn(name, F.explode(F.sequence(at - 1, at + 1)))
+    return squares
 
-    Lenses are gathered in tiles of the same grid first, so areas are compared with tiles (few) and
-    only tiles that may matter are opened.
+
+def _area_lenses(areas: DataFrame, tiles: DataFrame, area: float, radius: float) -> DataFrame:
+    """(day, area_x, area_y, lenses): the lenses that can be nearest to some point of a square.
+
+    First a bound on the distance of a square's farthest point to its nearest lens: of all levels, the nearest occupied
+    squares among the nine around.  Then the tiles that can hold a lens within the bound: those in the nine squares of the
+    level at which they reach as far as the bound.  Tiles and squares meet by equal squares of a level, whatever the
+    number of either; a square takes 9 rows per level.
     """
-    middle = {"tile_x": grid_cell((F.col("ax") + F.col("bx")) / 2, area),
-              "tile_y": grid_cell((F.col("ay") + F.col("by")) / 2, area)}
-    tiled = cut(lenses.withColumns(middle))
-    tiles = tiled.select("day", "tile_x", "tile_y").distinct()
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    in_level = tiles.select(*TILE, levels.alias("level")).select(
+        *TILE, "level", _over("tile_x", F.col("level")).alias("sx"), _over("tile_y", F.col("level")).alias("sy")
+    )
+    occupied = in_level.select("day", "level", "sx", "sy").distinct()
+    meet = ["day", "level", "sx", "sy"]
+    side = F.pow(F.lit(2.0), F.col("level"))
+
+    def far(c: str, s: str) -> Column:  # greatest distance along an axis between points of both squares, in squares
+        return F.greatest(F.abs((F.col(s) + 1) * side - F.col(c)), F.abs(F.col(c) + 1 - F.col(s) * side))
+
+    # a lens lies within r of its middle, so within r of its tile
+    most = area * F.sqrt(F.pow(far("area_x", "sx"), 2) + F.pow(far("area_y", "sy"), 2)) + radius
+    bound = (
+        _around(areas.withColumn("level", levels)).join(occupied, meet).groupBy(*SQUARE).agg(F.min(most).alias("bound"))
+    )
+    reach = F.greatest(F.ceil(F.log2((F.col("bound") + radius) / area)), F.lit(0)).cast("int")
+    open_tiles = _around(bound.withColumn("level", reach)).join(in_level, meet).select(*SQUARE, "bound", "tile_x", "tile_y")
     dx, dy = F.abs(F.col("area_x") - F.col("tile_x")), F.abs(F.col("area_y") - F.col("tile_y"))
     zero = F.lit(0).cast("long")
-    # a lens lies within r of its middle, so within r of its tile
     least = area * F.sqrt(F.pow(F.greatest(dx - 1, zero), 2) + F.pow(F.greatest(dy - 1, zero), 2)) - radius
     most = area * F.sqrt(F.pow(dx + 1, 2) + F.pow(dy + 1, 2)) + radius
-    graded = areas.join(tiles, "day").withColumns({"least": least, "most": most})
-    bound = graded.groupBy("day", "area_x", "area_y").agg(F.min("most").alias("bound"))
-    spot = ["day", "area_x", "area_y"]
-    open_tiles = graded.join(bound, spot).filter(F.col("least") <= F.col("bound")).select(*spot, "tile_x", "tile_y")
-    opened = open_tiles.join(tiled, ["day", "tile_x", "tile_y"])
+    tile = F.struct("tile_x", "tile_y", least.alias("least"), most.alias("most"))
+    near = open_tiles.filter(least <= F.col("bound")).groupBy(*SQUARE).agg(F.collect_list(tile).alias("near"))
+    closest = F.array_min(F.transform("near", lambda t: t["most"]))
+    near = near.withColumn("closest", closest).select(*SQUARE, F.explode(F.filter("near", lambda t: t["least"] <= F.col("closest"))).alias("t"))
+    near = near.select(*SQUARE, "t.tile_x", "t.tile_y").join(tiles, TILE)
     # the same comparison, lens by lens: distance from the lens middle to the square's nearest and farthest point
-    mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
     x0, y0 = F.col("area_x") * area, F.col("area_y") * area
-    out = lambda v, lo: F.greatest(lo - v, v - (lo + area), F.lit(0.0))
-    far = lambda v, lo: F.greatest(F.abs(v - lo), F.abs(v - (lo + area)))
-    lens = opened.withColumns(
-        {
-            "least": F.sqrt(F.pow(out(mx, x0), 2) + F.pow(out(my, y0), 2)) - radius,
-            "most": F.sqrt(F.pow(far(mx, x0), 2) + F.pow(far(my, y0), 2)),
-        }
-    )
-    closest = lens.groupBy(*spot).agg(F.min("most").alias("bound"))
-    return lens.join(closest, spot).filter(F.col("least") <= F.col("bound")).select(*spot, "ax", "ay", "bx", "by")
+
+    def reaches(n: Column) -> tuple[Column, Column]:
+        out = lambda v, lo: F.greatest(lo - v, v - (lo + area), F.lit(0.0))
+        far = lambda v, lo: F.greatest(F.abs(v - lo), F.abs(v - (lo + area)))
+        mx, my = (n["ax"] + n["bx"]) / 2, (n["ay"] + n["by"]) / 2
+        return F.hypot(out(mx, x0), out(my, y0)) - radius, F.hypot(far(mx, x0), far(my, y0))
+
+    gathered = near.groupBy(*SQUARE).agg(F.flatten(F.collect_list("lenses")).alias("lenses"))
+    closest = F.array_min(F.transform("lenses", lambda n: reaches(n)[1]))
+    kept = F.filter("lenses", lambda n: reaches(n)[0] <= F.col("closest"))
+    return gathered.withColumn("closest", closest).select(*SQUARE, kept.alias("lenses"))
 
 
 def one_front_per_day(front: DataFrame) -> DataFrame:

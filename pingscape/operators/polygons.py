@@ -49,6 +49,13 @@ def ring_area(ring: Column) -> Column:
     return F.abs(signed_area(ring))
 
 
+def polygon_areas(polygons: DataFrame, name: str, wkt: str = "geometry") -> DataFrame:
+    """(name, area) of whole polygons: all parts, without their holes; rows without geometry give none."""
+    given = polygons.filter(F.col(wkt).isNotNull()).select(name, wkt_rings(F.col(wkt)).alias("rings"))
+    total = F.aggregate("rings", F.lit(0.0), lambda s, r: s + signed_area(r))
+    return oriented_rings(given, name).select(name, total.alias("area"))
+
+
 def _crossings(ring: Column, y: Column) -> Column:
     """Sorted x of the places where a ring crosses the line at height y."""
     at = lambda i: F.element_at(ring, i)

@@ -110,21 +110,42 @@ def stay_members(
         .filter("is_core OR size(core_pos) > 0")
         .drop("near")
     )
-    groups = stay_groups(linked)
-    touched = linked.filter(F.size("core_pos") > 0).select(
-        "caid", "block", "pos", "latitude", "longitude", "utc_timestamp", "core_pos"
+    return _with_groups(linked, stay_groups(linked), window, block_size)
+
+
+def _with_groups(linked: DataFrame, groups: DataFrame, window: int, block_size: int) -> DataFrame:
+    """(caid, block, pos, ..., group_no) of the pings near cores, one row per stay that one of these cores belongs to.
+
+    The stay of a core is the last one that begins at or before it.  Beginnings go into the blocks of positions as rows
+    of their own, with one row per block for the last beginning before it, so a running maximum numbers the cores and a
+    window around a ping collects the numbers of its cores; pings and stays are not joined.
+    """
+    columns = ["latitude", "longitude", "utc_timestamp", "core_pos", "is_core"]
+    rows = with_halo(linked.select("caid", "pos", *columns), "pos", block_size, window)
+    begins = groups.select("caid", F.col("first_pos").alias("pos"), "group_no")
+    heads = with_halo(begins, "pos", block_size, window).drop("inner").withColumn("own", F.lit(1))
+    # the first block whose halo lies behind a beginning, and all later ones, know it from their carry row
+    past = F.floor((F.col("pos") + window) / block_size).cast("long") + 1
+    known = begins.groupBy("caid", past.alias("block")).agg(F.max("group_no").alias("group_no"))
+    blocks = rows.select("caid", "block").distinct().withColumns({"group_no": F.lit(None).cast("long"), "asks": F.lit(1)})
+    upto = W.partitionBy("caid").orderBy("block").rangeBetween(W.unboundedPreceding, 0)
+    carry = (
+        blocks.unionByName(known.withColumns({"asks": F.lit(0), "group_no": F.col("group_no").cast("long")}))
+        .withColumn("group_no", F.max("group_no").over(upto))
+        .filter("asks = 1 AND group_no IS NOT NULL")
+        .select("caid", "block", "group_no", F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("own"))
     )
-    reach = groups.withColumn(
-        "block",
-        F.explode(
-            F.sequence(
-                F.floor(F.greatest(F.col("first_pos") - window, F.lit(0)) / block_size),
-                F.floor((F.col("last_pos") + window) / block_size),
-            )
-        ),
+    both = rows.withColumn("own", F.lit(2)).unionByName(heads, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+    so_far = W.partitionBy("caid", "block").orderBy("pos", "own").rowsBetween(W.unboundedPreceding, 0)
+    around = W.partitionBy("caid", "block").orderBy("pos").rangeBetween(-window, window)
+    core = F.when(F.col("own") == 2, F.when(F.col("is_core"), F.struct("pos", F.col("so_far").alias("group_no"))))
+    found = both.withColumn("so_far", F.max("group_no").over(so_far)).withColumn("cores", F.collect_list(core).over(around))
+    near = F.filter("cores", lambda c: F.array_contains("core_pos", c["pos"]))
+    mine = found.filter("own = 2 AND inner AND size(core_pos) > 0")
+    return mine.select(
+        "caid", "block", "pos", "latitude", "longitude", "utc_timestamp",
+        F.explode(F.array_distinct(F.transform(near, lambda c: c["group_no"]))).alias("group_no"),
     )
-    belongs = F.exists("core_pos", lambda p: p.between(F.col("first_pos"), F.col("last_pos")))
-    return touched.join(reach, ["caid", "block"]).filter(belongs).drop("core_pos", "first_pos", "last_pos")
 
 
 def stay_groups(cores: DataFrame) -> DataFrame:

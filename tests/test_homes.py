@@ -47,6 +47,28 @@ def test_dense_cells_linked_only_by_places_between_their_boxes(spark):
         assert out.select("cluster").distinct().count() == expected
 
 
+@pytest.mark.parametrize("centre", [(-17.0, 180.0), (89.99, 0.0), (-89.995, 120.0), (0.0, 0.0)])
+def test_clusters_cross_the_180th_meridian_and_the_poles(spark, centre):
+    """Clouds of places around a point, made on the sphere, so their longitudes jump or run all around."""
+    rng = np.random.default_rng(11)
+    lat, lon = np.radians(centre)
+    up = np.array([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+    rows = []
+    for g, spread in enumerate([2e-6, 6e-6, 2e-5]):
+        p = up + rng.normal(0, spread, (70, 3))
+        p /= np.linalg.norm(p, axis=1)[:, None]
+        rows += [(g, float(a), float(b), 1) for a, b in zip(np.degrees(np.arcsin(p[:, 2])), np.degrees(np.arctan2(p[:, 1], p[:, 0])))]
+    rows += [(9, -17.0, 179.99999, 2), (9, -17.0, -179.99999, 2)]  # 2 m apart
+    pdf = pd.DataFrame(rows, columns=["g", "latitude", "longitude", "weight"])
+    out = clusters.density_clusters(spark.createDataFrame(pdf), ["g"], 0.05 / 6371, 3).collect()
+    got = {(r.g, r.latitude, r.longitude): tuple(r.cluster) for r in out}
+    for g, x in pdf.groupby("g"):
+        pts = x[["latitude", "longitude"]].values
+        for p, label in zip(pts, dbscan(pts, x.weight.values, 0.05 / 6371, 3)):
+            assert got.get((g, *p)) == label
+    assert len({c for (g, _, _), c in got.items() if g == 9}) == 1 and len(got) > 20
+
+
 DWELL = "caid string, latitude double, longitude double, utc_timestamp_start long, stay_length_sec int"
 
 
