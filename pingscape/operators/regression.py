@@ -16,40 +16,71 @@ from .events import EVENT
 CELL_COL = "time_to_raid_post"
 
 
-def long_outcomes(events: DataFrame, outcomes: list[str], samples: dict[str, Column] | None = None) -> DataFrame:
-    """Outcome grid as rows: outcome x {level, asinh} x named sample, in one pass over the panel.
+def _grid(outcomes: list[str], samples: dict[tuple, Column]) -> list[tuple]:
+    """(outcome, scale, sample, rule, value) of the outcome grid: outcome x {level, asinh} x sample.
 
     Rows with a missing outcome are left out, and zero distances from the anchor point too.
     """
-    samples = samples or {"": F.lit(True)}
     grid = []
     for name in outcomes:
         y = F.col(name).cast("double")
         usable = y.isNotNull() & (y != 0 if name == "distance_point" else F.lit(True))
         for sample, rule in samples.items():
-            keep = usable & rule
-            for scale, value in (("", y), ("log", F.asinh(y))):
-                entry = F.struct(
-                    F.lit(name).alias("outcome"), F.lit(scale).alias("scale"),
-                    F.lit(sample).alias("sample"), value.alias("y"),
-                )
-                grid.append(F.when(keep, entry))
+            grid += [(name, scale, sample, usable & rule, value) for scale, value in (("", y), ("log", F.asinh(y)))]
+    return grid
+
+
+def long_outcomes(events: DataFrame, outcomes: list[str], samples: dict[str, Column] | None = None) -> DataFrame:
+    """Outcome grid as rows, for uses that need the rows themselves; effects come from `grid_effects`."""
+    grid = [
+        F.when(keep, F.struct(
+            F.lit(name).alias("outcome"), F.lit(scale).alias("scale"), F.lit(sample).alias("sample"), value.alias("y")
+        ))
+        for name, scale, sample, keep, value in _grid(outcomes, samples or {"": F.lit(True)})
+    ]
     return (
         events.withColumn("cell_y", F.explode(F.array_compact(F.array(*grid))))
         .select(*events.columns, "cell_y.*")
     )
 
 
+def grid_effects(
+    events: DataFrame, keys: list[str], outcomes: list[str], samples: dict[tuple, Column] | None = None,
+    names: tuple[str, ...] = ("sample",), cell: str = CELL_COL, base: int = BASE_CELL,
+) -> DataFrame:
+    """Dummy effects of the whole outcome grid from one aggregate: (keys, names, outcome, scale, cell, b, n).
+
+    A row of the panel is read once and never repeated: per (keys, cell) every outcome, scale and sample is a mean and
+    a count over the rows of its own rule, and these become rows only after the aggregate.  `samples` maps the values of
+    the columns `names` to rules.
+    """
+    grid = _grid(outcomes, samples or {("",): F.lit(True)})
+    sums, parts = [], []
+    for i, (name, scale, sample, keep, value) in enumerate(grid):
+        used = F.when(keep, value)
+        sums += [F.avg(used).alias(f"m{i}"), F.count(used).alias(f"n{i}")]
+        said = [F.lit(v).alias(n) for n, v in zip((*names, "outcome", "scale"), (*sample, name, scale))]
+        parts.append(F.struct(*said, F.col(f"m{i}").alias("m"), F.col(f"n{i}").alias("n")))
+    wide = events.groupBy(*keys, cell).agg(*sums)
+    rows = wide.select(*keys, cell, F.explode(F.filter(F.array(*parts), lambda g: g["n"] > 0)).alias("g"))
+    return effects_of_means(rows.select(*keys, cell, "g.*"), [*keys, *names, "outcome", "scale"], cell, base)
+
+
 def dummy_effects(df: DataFrame, keys: list[str], y: str, cell: str = CELL_COL, base: int = BASE_CELL) -> DataFrame:
-    """OLS of y on cell dummies and a constant, per key, as (keys, cell, b, n).
+    """OLS of y on cell dummies and a constant, per key, as (keys, cell, b, n); see `effects_of_means`."""
+    means = df.filter(F.col(y).isNotNull()).groupBy(*keys, cell).agg(
+        F.avg(y).alias("m"), F.count(y).alias("n")
+    )
+    return effects_of_means(means, keys, cell, base)
+
+
+def effects_of_means(means: DataFrame, keys: list[str], cell: str = CELL_COL, base: int = BASE_CELL) -> DataFrame:
+    """(keys, cell, b, n) from the cell means m and counts n of a dummy regression with a constant.
 
     b is the cell mean minus the base mean.  Without base rows the minimum-norm solution applies: the
     constant is the sum of the K cell means over K + 1 (no constant when K = 1).  A cell without rows
     has coefficient 0 and gives no row here.
     """
-    means = df.filter(F.col(y).isNotNull()).groupBy(*keys, cell).agg(
-        F.avg(y).alias("m"), F.count(y).alias("n")
-    )
     group = W.partitionBy(*keys)  # one row per cell: the group is bounded by the number of cells
     is_base = F.col(cell) == base
     return (

@@ -81,18 +81,20 @@ def _(spark, sf):
     return back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.sum("l_quantity"), 2).alias("qty"))
 
 
-@query("src7_toggle_json", with_views("toggles") + """select region_ukrainian || '/' || day as place, t,
-    row_number() over (partition by region_ukrainian, day order by t) - 1 as position from
-    (select *, cast(t//3600 as varchar) as day from toggles)""")
-def _(spark, sf):
-    # lists of switch times as JSON text, one per region and hour, parsed back and unrolled
-    day = F.floor(F.col("t") / 3600).cast("string")
-    place = F.concat_ws("/", "region_ukrainian", day)
-    listed = V.toggles(spark, sf).groupBy(place.alias("place")).agg(
-        F.to_json(F.struct(F.sort_array(F.collect_list("t")).alias("locations"))).alias("body")
+@query("src7_toggle_json", with_views("toggles") + """select cast(dense_rank() over (order by name, hour) - 1 as bigint) as place,
+    row_number() over (partition by name, hour order by t) - 1 as position, t from
+    (select *, region_ukrainian || '-' || cast(t//86400 as varchar) as name, t//3600 as hour from toggles)""")
+def _(spark, sf):
+    # one file of lists per region and day, with a list of switch times per hour, written and read back
+    name = F.concat_ws("-", "region_ukrainian", F.floor(F.col("t") / 86400).cast("string"))
+    lists = V.toggles(spark, sf).groupBy(name.alias("name"), F.floor(F.col("t") / 3600).alias("hour")).agg(
+        F.sort_array(F.collect_list("t")).alias("locations")
     )
-    parsed = listed.withColumn("locations", F.from_json("body", "locations array<bigint>")["locations"])
-    return tables.toggle_rows(parsed).select("place", "position", "t")
+    files = lists.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("hour", "locations"))).alias("entries"))
+    body = F.concat(F.lit("\ufeff"), F.to_json(F.transform("entries", lambda e: F.struct(e["locations"].alias("locations")))))
+    folder = _scratch(spark, "toggles")
+    sinks.write_text(files.select("name", body.alias("value")), folder, ["name"])
+    return tables.scan_toggle_log(spark, folder).select("place", "position", "t")
 
 
 LINK = '<a href="([^"]*)">([^<]*)</a>'
@@ -216,13 +218,13 @@ def _(spark, sf):
     return joins.map_values(docs, "region", A.region_fixes(spark), "fixed")
 
 
-@query("prj8_fill_chain", """select d.doc_id, coalesce(quality, toxic, -1) as q, coalesce(lang, 'none') as lang
-    from documents d left join labels l on d.doc_id = l.doc_id and l.quality = 1""")
+@query("prj8_fill_chain", """select d.doc_id, coalesce(nullif(quality, 0)*10, nullif(toxic, 0)*20, -1) as q,
+    coalesce(nullif(lang, 'en'), nullif(source, 'web'), 'none') as lang from documents d left join labels l on d.doc_id = l.doc_id""")
 def _(spark, sf):
-    good = V.table(spark, sf, "labels").filter("quality = 1")
-    return V.table(spark, sf, "documents").select("doc_id", "lang").join(good, "doc_id", "left").select(
-        "doc_id", F.coalesce("quality", "toxic", F.lit(-1)).alias("q"), F.coalesce("lang", F.lit("none")).alias("lang")
-    )
+    docs = V.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    q = F.coalesce(F.nullif("quality", F.lit(0)) * 10, F.nullif("toxic", F.lit(0)) * 20, F.lit(-1))
+    lang = F.coalesce(F.nullif("lang", F.lit("en")), F.nullif("source", F.lit("web")), F.lit("none"))
+    return docs.join(V.table(spark, sf, "labels"), "doc_id", "left").select("doc_id", q.alias("q"), lang.alias("lang"))
 
 
 @query("prj9_sentinel_null", with_views("raw_pings") + """select caid, utc_timestamp,

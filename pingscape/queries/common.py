@@ -24,8 +24,8 @@ def pings(spark, sf) -> DataFrame:
     return select_pings(V.raw_pings(spark, sf), COUNTRY)
 
 
-def local_alerts(spark, sf) -> DataFrame:
-    return V.alerts(spark, sf).select(
+def local_alerts(spark, sf, view=V.alerts) -> DataFrame:
+    return view(spark, sf).select(
         "region_english",
         local_time(F.col("start_s"), V.ZONE).alias("start_dt"),
         local_time(F.col("end_s"), V.ZONE).alias("end_dt"),
@@ -44,12 +44,19 @@ def minute_panel(spark, sf) -> DataFrame:
     return panel.minute_panel(pings(spark, sf), V.regions(spark, sf), local_alerts(spark, sf), V.ZONE)
 
 
-def city_panel(spark, sf) -> DataFrame:
-    return panel.with_city(minute_panel(spark, sf), V.cities(spark, sf))
+def city_panel(spark, sf, ping_view=V.raw_pings, alert_view=V.alerts) -> DataFrame:
+    moved = select_pings(ping_view(spark, sf), COUNTRY)
+    minutes_of = panel.minute_panel(moved, V.regions(spark, sf), local_alerts(spark, sf, alert_view), V.ZONE)
+    return panel.with_city(minutes_of, V.cities(spark, sf))
 
 
-def event_panel(spark, sf, hours: float = 0.5, extend: bool = False) -> DataFrame:
-    return events.event_panel(city_panel(spark, sf), local_alerts(spark, sf), hours, extend)
+def event_panel(spark, sf, hours: float = 0.5, extend: bool = False, ping_view=V.raw_pings, alert_view=V.alerts) -> DataFrame:
+    return events.event_panel(city_panel(spark, sf, ping_view, alert_view), local_alerts(spark, sf, alert_view), hours, extend)
+
+
+def study_homes(spark, sf) -> DataFrame:
+    """Homes of the month of the events, from the dwells of that month."""
+    return homes.home_locations(V.study_dwells(spark, sf), *V.STUDY_SPAN)
 
 
 def night_windows(spark, sf) -> DataFrame:

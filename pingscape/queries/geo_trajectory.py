@@ -101,12 +101,24 @@ def _(spark, sf):
     )
 
 
-@query("ge10_ring_area", with_views("boxes") + """select region_english, round((x1-x0)*(y1-y0), 9) as area,
-    4 as corners from boxes""")
+@query("ge10_ring_area", with_views("boxes") + """select region_english,
+    round((x1-x0)*(y1-y0) - 0.1*0.05 + 0.02*0.02 + 0.3*0.2, 9) as area, 4 as rings from boxes""")
 def _(spark, sf):
-    ring = F.element_at("rings", 1)
-    return V.regions(spark, sf).withColumn("rings", wkt_rings(F.col("geometry"))).select(
-        "region_english", r(polygons.ring_area(ring), 9).alias("area"), (F.size(ring) - 1).alias("corners")
+    # a box with a hole, an island in the hole and a second part, their rings in no fixed direction
+    def ring(x0, y0, dx, dy, turned=False):
+        corners = [(0, 0), (dx, 0), (dx, dy), (0, dy), (0, 0)]
+        points = [F.concat_ws(" ", x0 + x, y0 + y) for x, y in (corners[::-1] if turned else corners)]
+        return F.concat(F.lit("("), F.concat_ws(", ", *points), F.lit(")"))
+
+    x0, y0 = F.col("x0"), F.col("y0")
+    outer = F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", x, y) for x, y in (
+        ("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))]), F.lit(")"))
+    hole, island = ring(x0 + 0.1, y0 + 0.05, 0.1, 0.05), ring(x0 + 0.12, y0 + 0.06, 0.02, 0.02, True)
+    text_of = F.concat(F.lit("MULTIPOLYGON (("), outer, F.lit(", "), hole, F.lit("), ("), island, F.lit("), ("), ring(x0 + 3, y0, 0.3, 0.2, True), F.lit("))"))
+    shapes = V.boxes(spark, sf).select("region_english", text_of.alias("geometry"))
+    counted = shapes.select("region_english", F.size(wkt_rings(F.col("geometry"))).alias("rings"))
+    return polygons.polygon_areas(shapes, "region_english").join(counted, "region_english").select(
+        "region_english", r("area", 9).alias("area"), "rings"
     )
 
 

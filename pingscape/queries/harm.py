@@ -109,10 +109,11 @@ def _(spark, sf):
 @query("prj6_conflict_period", with_views("merged_days") + """select strftime(smart_date, '%Y-%m-%d') as smart_date,
     period_of_conflict, case when event_date is null then 3 else period_of_conflict end as with_missing_last from merged_days""")
 def _(spark, sf):
-    last = C.conflict_period(F.col("month"), open_end=True)
-    return merged(spark, sf).select(
-        F.col("smart_date").cast("string").alias("smart_date"), "period_of_conflict",
-        F.coalesce(last, F.when(F.col("month").isNull(), 3)).alias("with_missing_last"),
+    days = merged(spark, sf, missing_is_last=True)
+    return days.select(
+        F.col("smart_date").cast("string").alias("smart_date"),
+        C.conflict_period(F.col("month"), open_end=True).alias("period_of_conflict"),
+        F.col("period_of_conflict").alias("with_missing_last"),
     )
 
 
@@ -236,7 +237,7 @@ def _(spark, sf):
     return _rate_rows(B.subsample_sums(avoided(spark, sf), [*AVOIDED, "civcas"]), AVOIDED)
 
 
-@query("so6_random_first_rows", BT4 + "select rep, round(civcas, 6) as civcas from sums")
+@query("so6_random_first_rows", BT4 + "select rep, round(cast(civcas as double), 6) as civcas from sums")
 def _(spark, sf):
     return B.subsample_sums(avoided(spark, sf), ["civcas"]).select("rep", r("civcas").alias("civcas"))
 

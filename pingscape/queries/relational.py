@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import clock
 from ..functions import fixed_values as K
 from ..operators import alerts as A
 from ..operators import context, estimates, events, front, homes, joins, ordered, panel, polygons, trajectory
@@ -136,23 +137,21 @@ def _(spark, sf):
 
     fit = dummy_effects(event_panel(spark, sf), events.EVENT, "distance_sum").withColumn("id", events.event_id())
     found = A.matched_alerts(local_alerts(spark, sf), fit)
-    minutes_ = A.seconds_between(F.col("end_dt"), F.col("start_dt")) / 60
+    minutes_ = clock.seconds_between(F.col("end_dt"), F.col("start_dt")) / 60
     return found.groupBy("region_english", text("start_dt").alias("start_dt"), r(minutes_).alias("duration")).agg(
         F.count(F.lit(1)).alias("cells")
     )
 
 
-@query("jn13_join_coalesce", """select d.doc_id, coalesce(a.quality, b.toxic) as v from documents d
-    left join (select * from labels where quality = 1) a on d.doc_id = a.doc_id
-    left join (select * from labels where toxic = 1) b on d.doc_id = b.doc_id""")
+@query("jn13_join_coalesce", """select d.doc_id, coalesce(a.v, b.v, -1) as v from documents d
+    left join (select doc_id, nullif(quality, 0)*10 as v from labels) a on d.doc_id = a.doc_id
+    left join (select doc_id, nullif(toxic, 0)*20 as v from labels) b on d.doc_id = b.doc_id""")
 def _(spark, sf):
     labels = V.table(spark, sf, "labels")
-    a = labels.filter("quality = 1").select("doc_id", "quality")
-    b = labels.filter("toxic = 1").select("doc_id", "toxic")
+    level = lambda c, n: labels.select("doc_id", (F.nullif(c, F.lit(0)) * n).alias("v"))
     docs = V.table(spark, sf, "documents").select("doc_id")
-    return docs.join(a, "doc_id", "left").join(b, "doc_id", "left").select(
-        "doc_id", F.coalesce("quality", "toxic").alias("v")
-    )
+    both = joins.join_coalesced(docs.join(level("quality", 10), "doc_id", "left"), level("toxic", 20), ["doc_id"], ["v"])
+    return both.select("doc_id", F.coalesce("v", F.lit(-1)).alias("v"))
 
 
 @query("jn14_region_lookup", with_views("econ") + """select name_2, strftime(day, '%Y-%m-%d') as day, count(*) as n,
@@ -792,9 +791,7 @@ def _(spark, sf):
 @query("se11_upper_lower", """select l_orderkey, l_linenumber, conf, round(case conf when 'upper' then l_quantity + l_tax*276.56 else l_quantity end, 6)
     as movement from lineitem, (values ('upper'), ('lower')) t(conf)""")
 def _(spark, sf):
-    ends = F.array(
-        F.struct(F.lit("lower").alias("conf"), F.col("l_quantity").alias("movement")),
-        F.struct(F.lit("upper").alias("conf"), (F.col("l_quantity") + F.col("l_tax") * 276.56).alias("movement")),
+    rows = V.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.explode(estimates.upper_lower(F.col("l_quantity"), F.col("l_tax"), F.lit(276.56))).alias("e")
     )
-    rows = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(ends).alias("e"))
     return rows.select("l_orderkey", "l_linenumber", "e.conf", r("e.movement").alias("movement"))

@@ -7,9 +7,9 @@ from ..operators import estimates as T
 from ..operators import events, front, regression
 from ..operators.checkpoints import cut
 from ..operators.quantiles import describe
-from ..plans.study import SCENARIOS, scenario_effects
+from ..plans.study import event_study, sample_rules, scenario_grid, window_study, with_periods
 from . import views as V
-from .common import city_panel, event_keys, event_panel, home_table, local_alerts, r, text
+from .common import city_panel, event_keys, event_panel, local_alerts, r, study_homes, text
 from .registry import query
 from .views import sql_effects, sql_time, with_views
 
@@ -61,35 +61,36 @@ def _(spark, sf):
     return panel.groupBy("rural").agg(*count)
 
 
-# homes of the home windows belong to other months than the event; one home per device stands in here
-HOMES_SQL = """, device_homes as (select caid, avg(latitude) as lat_h, avg(longitude) as lon_h from dwells group by 1),
-    home_d as (select e.*, """ + V._chord("latitude_center", "longitude_center", "lat_h", "lon_h") + """ as distance_home
-    from event_panel e join device_homes using (caid)),
-    home_min as (select *, min(distance_home) over (partition by caid, start_raid_next, region_english)
-    as distance_home_min from home_d)"""
+def _with_homes(*names: str) -> str:
+    """Views with the homes of the events' month, from the dwells of that month."""
+    views = with_views(*names, "homes", recursive=True)
+    for given, own in zip(V.HOME_SPAN, V.STUDY_SPAN):
+        views = views.replace(f"'{given}'", f"'{own}'")
+    return V.instead(views, dwells="study_dwells")
 
 
-def _device_homes(spark, sf):
-    return V.dwells(spark, sf).groupBy("caid").agg(
-        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude")
-    ).withColumn("start_date", F.lit("2022-03-02"))
+HOMES_SQL = """, home_d as (select e.*, """ + V._chord("latitude_center", "longitude_center", "latitude", "longitude") + f""" as
+    distance_home from event_panel e join homes h on e.caid = h.caid and
+    month(cast({sql_time('start_raid_next')} as timestamp)) = month(cast(h.start_date as date) + 5)),
+    home_min as (select *, min(distance_home) over (partition by caid, start_raid_next, region_english)
+    as distance_home_min from home_d)"""
 
 
-@query("tr19_home_distance", with_views("event_panel", "dwells").rstrip() + HOMES_SQL + f"""
+@query("tr19_home_distance", _with_homes("event_panel").rstrip() + HOMES_SQL + f"""
     select caid, {sql_time('minute')} as minute, city, {KEYS_SQL}, round(distance_home, 4) as distance_home,
     round(distance_home_min, 4) as distance_home_min from home_min""")
 def _(spark, sf):
-    near = events.home_distances(event_panel(spark, sf), _device_homes(spark, sf))
+    near = events.home_distances(event_panel(spark, sf), study_homes(spark, sf))
     return near.select(
         "caid", text("minute").alias("minute"), "city", *event_keys(), r("distance_home", 4).alias("distance_home"),
         r("distance_home_min", 4).alias("distance_home_min"),
     )
 
 
-@query("fil14_away_from_home", with_views("event_panel", "dwells").rstrip() + HOMES_SQL + f"""
+@query("fil14_away_from_home", _with_homes("event_panel").rstrip() + HOMES_SQL + f"""
     select caid, {KEYS_SQL}, count(*) as n from home_min where distance_home_min > 1000 group by all""")
 def _(spark, sf):
-    near = events.away_from_home(event_panel(spark, sf), _device_homes(spark, sf), 1000)
+    near = events.away_from_home(event_panel(spark, sf), study_homes(spark, sf), 1000)
     return near.groupBy("caid", *event_keys()).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -205,29 +206,33 @@ def _(spark, sf):
     return fit.select("l_returnflag", "term", r("b", 4).alias("b"))
 
 
-@query("st4_outcome_grid", with_views("event_panel").rstrip() + """, seen as (select *,
-    count(distinct minute) over (partition by caid) as n_minutes from event_panel), grid as (
+# the sample of devices seen in all three periods needs pings in all of them
+PERIOD_SQL = V.instead(with_views("event_panel").rstrip(), raw_pings="period_pings", alerts="period_alerts")
+OUTCOMES = ["distance_sum", "kmh_avg", "distance_point", "altitude_avg"]
+
+
+def _period_panel(spark, sf):
+    return event_panel(spark, sf, ping_view=V.period_pings, alert_view=V.period_alerts)
+
+
+@query("st4_outcome_grid", PERIOD_SQL + f""", periods as (select caid, count(distinct case
+    when m between 3 and 4 then 1 when m between 5 and 6 then 2 when m between 7 and 9 then 3 end) as n_periods
+    from (select caid, month(cast({sql_time('day')} as timestamp)) as m from event_panel) group by 1),
+    seen as (select * from event_panel join periods using (caid)), grid as (
     select s.*, outcome, scale, sample, case when scale = 'log' then asinh(v) else v end as y from
     (select *, unnest(['distance_sum', 'kmh_avg', 'distance_point', 'altitude_avg']) as outcome,
      unnest([distance_sum, kmh_avg, distance_point, altitude_avg]) as v from seen) s,
     (values (''), ('log')) t(scale), (values (''), ('_sample')) u(sample)
-    where v is not null and (outcome <> 'distance_point' or v <> 0) and (sample = '' or n_minutes >= 40)), fx as (""" +
+    where v is not null and (outcome <> 'distance_point' or v <> 0) and (sample = '' or n_periods = 3)), fx as (""" +
        sql_effects("grid", "y", "start_raid_next, region_english, outcome, scale, sample") +
        f""") select {KEYS_SQL}, outcome, scale, sample, cell as time_to_raid_post, n, round(b, 6) as b from fx""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-
-    panel = event_panel(spark, sf).withColumn("n_minutes", F.size(F.collect_set("minute").over(W.partitionBy("caid"))))
-    grid = regression.long_outcomes(
-        panel, ["distance_sum", "kmh_avg", "distance_point", "altitude_avg"],
-        {"": F.lit(True), "_sample": F.col("n_minutes") >= 40},
-    )
-    keys = [*KEYS, "outcome", "scale", "sample"]
-    fit = regression.dummy_effects(grid, keys, "y")
+    rules = {(name,): rule for name, rule in sample_rules().items()}
+    fit = regression.grid_effects(with_periods(_period_panel(spark, sf)), KEYS, OUTCOMES, rules)
     return fit.select(*event_keys(), "outcome", "scale", "sample", "time_to_raid_post", "n", r("b").alias("b"))
 
 
-@query("st5_scenario_grid", with_views("event_panel", "dwells").rstrip() + HOMES_SQL + """, moves as (select *,
+SAMPLES_SQL = HOMES_SQL + """, moves as (select *,
     min(kmh_avg) over (partition by caid, start_raid_next, region_english) as low from event_panel), samples as (
     select 'base' as scenario, start_raid_next, region_english, time_to_raid_post, distance_sum as y from event_panel
     union all select 'rural', start_raid_next, region_english, time_to_raid_post, distance_sum from event_panel where rural = 1
@@ -235,11 +240,66 @@ def _(spark, sf):
     union all select 'away_from_home', start_raid_next, region_english, time_to_raid_post, distance_sum from home_min
       where distance_home_min > 100
     union all select 'moving', start_raid_next, region_english, time_to_raid_post, distance_sum from moves where low > 0.3
-    ), fx as (""" + sql_effects("samples", "y", "scenario, start_raid_next, region_english") +
-       f""") select scenario, {KEYS_SQL}, cell as time_to_raid_post, n, round(b, 6) as b from fx""")
+    )"""
+
+
+@query("st5_scenario_samples", _with_homes("event_panel").rstrip() + SAMPLES_SQL + """, scaled as (select scenario, start_raid_next,
+    region_english, time_to_raid_post, scale, case when scale = 'log' then asinh(y) else y end as y
+    from samples, (values (''), ('log')) t(scale)), fx as (""" +
+       sql_effects("scaled", "y", "scenario, scale, start_raid_next, region_english") +
+       f""") select scenario, scale, {KEYS_SQL}, cell as time_to_raid_post, n, round(b, 6) as b from fx""")
+def _(spark, sf):
+    fit = event_study(event_panel(spark, sf), study_homes(spark, sf), ["distance_sum"]).filter("sample = ''")
+    return fit.select("scenario", "scale", *event_keys(), "time_to_raid_post", "n", r("b").alias("b"))
+
+
+# --- longer windows: 500 minutes around one alert of 245 minutes ----------------------------------------
+
+def _long_sql(hours: int) -> str:
+    """Event panel of a longer window, as the text of common table expressions."""
+    minutes = 60 * hours
+    return f""", long_events_{hours} as (select distinct region_english, start_dt//60*60 as start_raid_next from local_alerts
+    where (end_dt - start_dt)/60.0 > {minutes}),
+    windowed_{hours} as (select * from anchored semi join long_events_{hours} using (region_english, start_raid_next)
+    where time_to_raid between {-60 * minutes} and {60 * minutes}),
+    panel_{hours} as (select *, {hours} as hours, case when time_to_raid >= -600 then time_to_raid else -1 end as time_to_raid_post
+    from windowed_{hours} semi join (select start_raid_next, region_english from windowed_{hours} group by 1, 2
+    having count(distinct minute) = {2 * minutes + 1}) using (start_raid_next, region_english))"""
+
+
+LONG_WINDOW_SQL = V.instead(with_views("anchored", "local_alerts").rstrip(), raw_pings="long_pings", alerts="long_alerts")
+
+
+def _long_inputs(spark, sf):
+    return city_panel(spark, sf, V.long_pings, V.long_alerts), local_alerts(spark, sf, V.long_alerts)
+
+
+@query("tr18_long_windows", LONG_WINDOW_SQL + _long_sql(1) + _long_sql(4) + f""", long_panels as (select * from panel_1 union all
+    select * from panel_4) select hours, caid, {sql_time('minute')} as minute, city, {KEYS_SQL}, time_to_raid,
+    time_to_raid_post, round(distance_point, 4) as distance_point from long_panels""")
+def _(spark, sf):
+    given, alerts = _long_inputs(spark, sf)
+    given = cut(given)
+    windows = [events.event_panel(given, alerts, h, extend=True).withColumn("hours", F.lit(h)) for h in (1, 4)]
+    both = windows[0].unionByName(windows[1])
+    return both.select(
+        "hours", "caid", text("minute").alias("minute"), "city", *event_keys(), "time_to_raid", "time_to_raid_post",
+        r("distance_point", 4).alias("distance_point"),
+    )
+
+
+@query("st5_long_windows", LONG_WINDOW_SQL + _long_sql(1) + _long_sql(4) + """, long_panels as (
+    select hours, start_raid_next, region_english, time_to_raid_post, distance_sum as y from panel_1 union all
+    select hours, start_raid_next, region_english, time_to_raid_post, distance_sum from panel_4), scaled as (
+    select b.* replace (case when scale = 'log' then asinh(y) else y end as y), scale from long_panels b, (values (''), ('log')) t(scale)),
+    fx as (""" + sql_effects("scaled", "y", "hours, scale, start_raid_next, region_english") +
+       f""") select cast(60*hours as varchar) as scenario, scale, {KEYS_SQL}, cell as time_to_raid_post, n, round(b, 6) as b from fx""")
 def _(spark, sf):
-    fit = scenario_effects(event_panel(spark, sf), _device_homes(spark, sf), SCENARIOS, "distance_sum")
-    return fit.select("scenario", *event_keys(), "time_to_raid_post", "n", r("b").alias("b"))
+    given, alerts = _long_inputs(spark, sf)
+    given = cut(given)
+    fits = [window_study(given, alerts, h, ["distance_sum"]).filter("sample = ''") for h in (1, 4)]
+    both = fits[0].unionByName(fits[1])
+    return both.select("scenario", "scale", *event_keys(), "time_to_raid_post", "n", r("b").alias("b"))
 
 
 # --- long estimates -------------------------------------------------------------------------------------
@@ -365,6 +425,19 @@ def _(spark, sf):
     return bands.select("period_num", "grp", "facet", *[r(c).alias(c) for c in BANDS])
 
 
+@query("st10_group_column", """with l as (select l_linenumber % 3 as facet, l_discount as period_num, l_returnflag as grp,
+    l_quantity as movement from lineitem) select period_num, grp, facet, round(avg(movement), 6) as x_mean,
+    round(stddev_samp(movement), 6) as x_sd, round(avg(movement)+2*stddev_samp(movement), 6) as max_tick,
+    round(avg(movement)-2*stddev_samp(movement), 6) as min_tick from l group by 1, 2, 3""")
+def _(spark, sf):
+    rows = V.table(spark, sf, "lineitem").select(
+        (F.col("l_linenumber") % 3).alias("facet"), F.col("l_discount").alias("period_num"), F.col("l_tax").alias("split"),
+        "l_returnflag", F.col("l_quantity").alias("movement"),
+    )
+    bands = T.split_bands(rows, "split", ["facet"], group="l_returnflag")
+    return bands.select("period_num", "grp", "facet", *[r(c).alias(c) for c in BANDS])
+
+
 @query("st11_distance_bands", LINES_SQL + f""", sd as (select stddev_samp({DIST_SQL}) as sd from event_panel),
     ends as (select cell/60.0 as period_num, 'lower' as conf, a - a0 as movement from based where cell <> -1
     union all select cell/60.0, 'upper', a - a0 + (s - s0)*sd from based, sd where cell <> -1),
@@ -374,11 +447,8 @@ def _(spark, sf):
 def _(spark, sf):
     panel = _with_distance(cut(event_panel(spark, sf)))
     fit = regression.interacted_effects(panel, KEYS, "distance_sum", "distance_to_front")
-    spread = panel.agg(F.stddev_samp("distance_to_front").alias("sd"))
-    from ..operators.joins import reference_join
-
-    with_sd = reference_join(fit.withColumn("one", F.lit(1)), spread.withColumn("one", F.lit(1)), ["one"])
-    bands = T.distance_bands(with_sd, [*KEYS, "sd"], F.col("sd"), ["period_num", "time_period", "conf"])
+    sd = panel.agg(F.stddev_samp("distance_to_front")).first()[0]  # one number
+    bands = T.distance_bands(fit, KEYS, sd or 0.0, ["period_num", "time_period", "conf"])
     return bands.select("period_num", "time_period", "conf", r("x_mean", 4).alias("x_mean"), r("x_sd", 4).alias("x_sd"))
 
 
@@ -412,12 +482,13 @@ def _(spark, sf):
 
 # --- contact zone -----------------------------------------------------------------------------------------
 
-@query("ge6_near_localities", with_views("spots") + """select strftime(a.day, '%Y-%m-%d') as day,
-    count(*) as n_pairs from spots a join spots b on a.day = b.day and a.status = 'RU' and b.status = 'UA'
-    where sqrt(pow(a.x-b.x, 2)+pow(a.y-b.y, 2)) <= 20 group by 1""")
+@query("ge6_near_localities", with_views("spots", "cells") + f"""select distinct wp_index,
+    strftime(day, '%Y-%m-%d') as day, status from (select wp_index, radians(x)*cos(radians({V.LAT0}))*6371.009 as px,
+    radians(y)*6371.009 as py from cells) c join spots s on sqrt(pow(px-s.x, 2)+pow(py-s.y, 2)) <= 5""")
 def _(spark, sf):
-    pairs = front.contact_lenses(front.control_long(V.control(spark, sf)), V.LAT0, 10.0)
-    return pairs.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    points = V.cells(spark, sf).select("wp_index", F.col("x").alias("longitude"), F.col("y").alias("latitude"))
+    near = front.near_localities(points, front.control_long(V.control(spark, sf)), ["wp_index"], V.LAT0)
+    return near.select("wp_index", F.col("day").cast("string").alias("day"), "status")
 
 
 @query("ge7_contact_lenses", with_views("lenses") + """select strftime(day, '%Y-%m-%d') as day, round(ax, 6) as ax,
@@ -495,3 +566,30 @@ def _(spark, sf):
 def _(spark, sf):
     table = describe(_front_distances(spark, sf, cut(event_panel(spark, sf))), [], "distance_to_front")
     return table.select("n", *[r(c).alias(c) for c in ("mean", "sd", "min", "q25", "q50", "q75", "max")])
+
+
+# --- every scenario -------------------------------------------------------------------------------------
+
+GRID_SQL = _with_homes("event_panel", "lenses").rstrip() + SAMPLES_SQL + FRONT_SQL[len(with_views("event_panel", "lenses").rstrip()):] + """,
+    near as (select e.*, f.distance_to_front as dist from event_panel e join front f using (caid, start_raid_next, region_english)),
+    kept as (select start_raid_next, region_english from near where region_english not like '%R3%' group by 1, 2
+    having max(dist) - min(dist) >= 5 and count(*) >= 200),
+    lines as (select start_raid_next, region_english, time_to_raid_post as cell, regr_slope(distance_sum, dist) as s,
+    regr_intercept(distance_sum, dist) as a from near semi join kept using (start_raid_next, region_english) group by 1, 2, 3),
+    based as (select *, max(case when cell = -1 then s end) over g as s0, max(case when cell = -1 then a end) over g as a0
+    from lines window g as (partition by start_raid_next, region_english)), fx as (""" + sql_effects(
+    "samples", "y", "scenario, start_raid_next, region_english") + f""")
+    select scenario, {KEYS_SQL}, 'cell' as term, cell, round(b, 4) as b from fx
+    union all select 'interaction', {KEYS_SQL}, 'cell', cell, round(a - a0, 4) from based where cell <> -1
+    union all select 'interaction', {KEYS_SQL}, 'cell_x', cell, round(s - s0, 4) from based where cell <> -1
+    union all select 'interaction', {KEYS_SQL}, 'x', null, round(s0, 4) from based where cell = -1"""
+
+
+@query("st5_scenario_grid", GRID_SQL)
+def _(spark, sf):
+    panel = cut(event_panel(spark, sf))
+    grid = scenario_grid(
+        panel, study_homes(spark, sf), _front_distances(spark, sf, panel), panel, local_alerts(spark, sf), "distance_sum", hours=[],
+        names=["R3"], spread=5, rows=200,
+    )
+    return grid.select("scenario", *event_keys(), "term", "cell", r("b", 4).alias("b"))

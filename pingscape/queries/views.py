@@ -39,6 +39,32 @@ ALERTS = [
 ]
 NESTED_ALERT = ["'R01' as region_english", f"cast({START + 2010} as bigint) as start_s",
                 f"cast({START + 4200} as bigint) as end_s"]
+#: Device paths for the studies: `period_pings` has devices in one, two or all periods of the conflict, 61 days apart;
+#: `long_pings` has 500 minutes around one long alert.
+BLOCK_S = 61 * 86400
+PERIOD_PINGS = [
+    "concat('d',cast(user_id%30 as string)) as caid",
+    f"cast({START} + seq*60 + event_id%50 + {BLOCK_S}*least(floor(user_id/30)%3, case when user_id%30<10 then 1 else 2 end)"
+    " as bigint) as utc_timestamp",
+    "49.05D + (user_id%5)*0.2D + floor(seq/22)*0.002D + (event_id%7)*0.00002D as latitude",
+    "30.1D + (user_id%30)*0.005D + (event_id%5)*0.00002D + floor(user_id/30)*0.000003D as longitude",
+    *PINGS[4:],
+]
+LONG_PINGS = [
+    "concat('d',cast(user_id%40 as string)) as caid",
+    f"cast({START} + (event_id%500)*60 + user_id%50 as bigint) as utc_timestamp",
+    "49.05D + (event_id%7)*0.00002D as latitude",
+    "30.1D + (user_id%40)*0.005D + (event_id%5)*0.00002D + floor(event_id/500)*0.0000003D as longitude",
+    *PINGS[4:],
+]
+LONG_ALERTS = ["concat('R',cast(r_regionkey as string)) as region_english", f"cast({START + 15000} as bigint) as start_s",
+               f"cast({START + 15000 + 245 * 60} as bigint) as end_s"]
+#: Dwells in the month of the event study; a third of the devices live away from where their pings are.
+STUDY_DWELLS = [
+    DWELLS[0], "unix_seconds(cast(ts as timestamp)) + 5097600 as utc_timestamp_start", DWELLS[2],
+    DWELLS[3].replace(" as latitude", " + case when user_id%3=0 then 0.05D else 0.0D end as latitude"), DWELLS[4],
+]
+STUDY_SPAN = ("2024-02-18", "2024-05-20")
 BOXES = [
     "concat('R',cast(r_regionkey as string)) as region_english",
     "30.0D as x0", "30.7D as x1", "49.0D+0.2D*r_regionkey as y0", "49.18D+0.2D*r_regionkey as y1",
@@ -87,12 +113,40 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _timed_events(spark, sf) -> DataFrame:
+    """The columns of events that the ping views read."""
+    return table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+
+
 def raw_pings(spark, sf) -> DataFrame:
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    ranked = with_position(events, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "seq")
+    ranked = with_position(_timed_events(spark, sf), ["user_id"], ["ts", "event_id"], F.to_date("ts"), "seq")
     return ranked.drop(CHUNK).selectExpr(*PINGS)
 
 
+def period_pings(spark, sf) -> DataFrame:
+    ranked = with_position(_timed_events(spark, sf), ["user_id"], ["ts", "event_id"], F.to_date("ts"), "seq")
+    return ranked.drop(CHUNK).selectExpr(*PERIOD_PINGS)
+
+
+def long_pings(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").selectExpr(*LONG_PINGS)
+
+
+def period_alerts(spark, sf) -> DataFrame:
+    later = F.explode(F.array(*[F.lit(k * BLOCK_S) for k in range(3)]))
+    return alerts(spark, sf).withColumn("later", later).select(
+        "region_english", (F.col("start_s") + F.col("later")).alias("start_s"), (F.col("end_s") + F.col("later")).alias("end_s")
+    )
+
+
+def long_alerts(spark, sf) -> DataFrame:
+    return table(spark, sf, "region").filter("r_regionkey = 0").selectExpr(*LONG_ALERTS)
+
+
+def study_dwells(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").selectExpr(*STUDY_DWELLS)
+
+
 def dwells(spark, sf) -> DataFrame:
     return table(spark, sf, "events").selectExpr(*DWELLS)
 
@@ -129,7 +183,7 @@ def cities(spark, sf) -> DataFrame:
 
 
 def toggles(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").filter("event_type = 'error'").selectExpr(*TOGGLES)
+    return table(spark, sf, "events").selectExpr(*TOGGLES)
 
 
 def control(spark, sf) -> DataFrame:
@@ -171,10 +225,17 @@ SQL = {
     "pings": "select caid, utc_timestamp, latitude, longitude, altitude from raw_pings "
              "where horizontal_accuracy <= 150 and iso_country_code = 'UA'",
     "dwells": f"select {_text(DWELLS)} from events",
+    "study_dwells": f"select {_text(STUDY_DWELLS)} from events",
+    "period_pings": f"""select {_text(PERIOD_PINGS)} from (select *, row_number() over
+        (partition by user_id order by ts, event_id)-1 as seq from events)""",
+    "long_pings": f"select {_text(LONG_PINGS)} from events",
+    "period_alerts": f"""select region_english, start_s + k*{BLOCK_S} as start_s, end_s + k*{BLOCK_S} as end_s from
+        (select {_text(ALERTS)} from region union all select {_text(NESTED_ALERT)}), range(3) t(k)""",
+    "long_alerts": f"select {_text(LONG_ALERTS)} from region where r_regionkey = 0",
     "alerts": f"select {_text(ALERTS)} from region union all select {_text(NESTED_ALERT)}",
     "boxes": f"select {_text(BOXES)} from region union all select {_text(NESTED_BOX)}",
     "cities": f"select {_text(CITIES)} from nation",
-    "toggles": f"select {_text(TOGGLES)} from events where event_type='error'",
+    "toggles": f"select {_text(TOGGLES)} from events",
     "control": f"select {_text(CONTROL)} from supplier",
     "casualties": f"select * from (select {_text(CASUALTIES)} from orders) where {QUIET_DAYS}",
     "alert_days": f"""select smart_date, count(*) as alert, round(sum(price)/10000, 2) as movement
@@ -201,6 +262,13 @@ def with_views(*names: str, recursive: bool = False) -> str:
     return head + ",\n".join(f"{n} AS ({SQL[n]})" for n in order) + "\n"
 
 
+def instead(text: str, **views: str) -> str:
+    """The text of `with_views` with other views in the place of some: raw_pings="long_pings" and so on."""
+    for name, other in views.items():
+        text = text.replace(f"{name} AS ({SQL[name]})", f"{name} AS ({SQL[other]})")
+    return text
+
+
 def _chain(name: str, needs: list[str], text: str) -> None:
     SQL[name], NEEDS[name] = text, needs
 

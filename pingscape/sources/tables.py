@@ -3,6 +3,7 @@
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,9 +83,21 @@ def toggle_rows(entries: DataFrame, place: str = "place", locations: str = "loca
 
 
 def scan_toggle_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of {locations: [seconds...]}; the place is the entry's position in the file."""
-    entries = spark.read.schema("locations array<bigint>").option("multiLine", True).json(path)
-    return toggle_rows(entries.withColumn("place", F.monotonically_increasing_id()))
+    """JSON arrays of {locations: [seconds...]}, a byte order mark allowed; the place is the entry's position.
+
+    With several files the positions go on from file to file in the order of their paths, however the files are read;
+    what orders them is one row per file.  A file is parsed whole by one task.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.from_json(F.ltrim(F.regexp_replace("value", "^\ufeff", "")), "array<struct<locations:array<bigint>>>").alias("entries"),
+    )
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    counts = files.select("file", F.size("entries").alias("entries")).withColumn(
+        "first", F.coalesce(F.sum("entries").over(before), F.lit(0))
+    ).drop("entries")
+    entries = files.join(counts, "file").select("first", F.posexplode("entries").alias("at", "entry"))
+    return toggle_rows(entries.select((F.col("first") + F.col("at")).cast("long").alias("place"), "entry.locations"))
 
 
 def label_dictionary(
