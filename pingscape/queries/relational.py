@@ -544,8 +544,8 @@ PARENT_SQL = UNIT_SQL + """, par as (select case when unit in ('R0', 'R2', 'R4')
 
 
 @query("st13_population_and_devices", PARENT_SQL + """ select 'unit' as level, count(*) as n, round(corr(devices, population), 6) as r,
-    round(sum(devices)/sum(population), 9) as ratio from du union all select 'parent', count(*), round(corr(devices, population), 6),
-    round(sum(devices)/sum(population), 9) from par""")
+    round(sum(devices)/nullif(sum(population), 0), 9) as ratio from du union all select 'parent', count(*), round(corr(devices, population), 6),
+    round(sum(devices)/nullif(sum(population), 0), 9) from par""")
 def _(spark, sf):
     from ..operators.checkpoints import cut
     from ..operators.estimates import simple_fit

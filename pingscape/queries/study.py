@@ -562,7 +562,7 @@ def _(spark, sf):
 @query("st14_front_summary", FRONT_SQL + """ select count(*) as n, round(avg(distance_to_front), 6) as mean,
     round(stddev_samp(distance_to_front), 6) as sd, round(min(distance_to_front), 6) as min,
     round(quantile_cont(distance_to_front, 0.25), 6) as q25, round(quantile_cont(distance_to_front, 0.5), 6) as q50,
-    round(quantile_cont(distance_to_front, 0.75), 6) as q75, round(max(distance_to_front), 6) as max from front""")
+    round(quantile_cont(distance_to_front, 0.75), 6) as q75, round(max(distance_to_front), 6) as max from front having count(*) > 0""")
 def _(spark, sf):
     table = describe(_front_distances(spark, sf, cut(event_panel(spark, sf))), [], "distance_to_front")
     return table.select("n", *[r(c).alias(c) for c in ("mean", "sd", "min", "q25", "q50", "q75", "max")])
