@@ -2,6 +2,10 @@
 
 STAGES are functions of (spark, docs, sf_dir). Each works on all rows that the stage before kept; all but the last
 return the columns of their input. Each stage's result is written as Parquet before the next reads it.
+
+For every stage: null and empty texts are texts without words; a null doc_id is an id like others where rows are taken out,
+and is linked with nothing; an empty table gives an empty table; columns besides doc_id, text and n_chars are carried as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ from pingscape.llm.toxicity import toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic; rows that repeat an id with its text share one decision."""
     scored = toxicity(spark, docs, table(spark, sf_dir, "labels"))
     return without(docs, scored.filter("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id; of rows that repeat it, one."""
     found = near_duplicates(spark, docs)
     once = without(docs, found.filter("not kept"))
     keys = [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
@@ -35,7 +39,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; a document of which nothing is left goes."""
+    """Texts without the passages that repeat; a document of which nothing is left goes.
+
+    Where something was removed, the words left stand with one space between; other texts keep their white space.
+    Rows that repeat a text lose all of its windows of 35 words.
+    """
     cut = dedup_substrings(spark, docs, keep=tuple(docs.columns))
     left = cut.filter("n_removed = 0 or n_removed < n_words")
     new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("rest.text"))}
@@ -44,13 +52,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; rows that repeat an id with its text share one decision."""
     found = contamination(spark, docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.filter("contaminated"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all token pieces in sequences of 2048 tokens."""
+    """Places of all token pieces in sequences of 2048 tokens; every row is packed, repeated ones again, a null text as its end."""
     return pack(spark, docs, tokenizer_path(), size=2048, end=0)
 
 
