@@ -6,12 +6,12 @@ from pyspark.sql import types as T
 from ..functions import clock, geo
 from ..functions import fixed_values as K
 from ..operators import alerts as A
-from ..operators import checkpoints, context, estimates, front, homes, joins, panel
+from ..operators import checkpoints, context, front, homes, joins, panel
 from ..sources import sinks, tables
 from . import views as V
-from .common import event_panel, local_alerts, minute_panel, minutes, night_windows, pings, r, speeds, text
+from .common import local_alerts, minute_panel, minutes, night_windows, pings, r, speeds, text
 from .registry import query
-from .views import sql_arc, sql_day, sql_time, with_views
+from .views import sql_arc, sql_time, with_views
 
 # --- scans ---------------------------------------------------------------------------------------------
 

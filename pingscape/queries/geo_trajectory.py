@@ -3,17 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from ..functions.clock import local_time
-from ..operators import context, events, homes, joins, panel, polygons, trajectory
-from ..operators.estimates import simple_fit
+from ..operators import events, homes, polygons, trajectory
 from ..sources.tables import wkt_rings
 from . import views as V
-from .common import (
-    city_panel, event_panel, home_table, local_alerts, minute_panel, minutes, night_windows, pings, r,
-    speeds, text,
-)
+from .common import city_panel, event_panel, home_table, minute_panel, minutes, night_windows, pings, r, text
 from .registry import query
-from .views import sql_arc, sql_day, sql_time, with_views
+from .views import sql_day, sql_time, with_views
 
 PANEL_COLS = ["kmh_avg", "distance_avg", "distance_sum", "longitude_center", "latitude_center", "altitude_avg"]
 PANEL_SQL = ", ".join(f"round({c}, 6) as {c}" for c in PANEL_COLS)

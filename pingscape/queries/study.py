@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.clock import local_time, minute_of
 from ..operators import estimates as T
 from ..operators import events, front, regression
 from ..operators.checkpoints import cut
