@@ -2,8 +2,11 @@
 
 A text is cut before every run of white space that follows a visible character. The splitting rule of a byte-level
 BPE never puts white space after another character into one token and never looks back, so the ids of a text are
-those of its cuts one after another, and special strings, which hold no white space, stay whole. Most cuts repeat:
-each worker encodes a cut once and remembers it in a table of fixed size under a 128-bit hash.
+those of its cuts one after another, and special strings, which hold no white space, stay whole. It is cut between
+ASCII letters, digits and other visible characters too, where that rule always ends a token, but not at an apostrophe,
+which may begin a contraction, and not in or at a special string. Most cuts repeat: each worker encodes a cut once and
+remembers it in a table of fixed size under a 128-bit hash. New cuts are encoded as one text, which is divided by the
+bytes of its tokens; where these do not end with the cuts, one by one.
 """
 
 from __future__ import annotations
@@ -28,6 +31,12 @@ _VISIBLE[0x21:0x7F] = True
 #: First bytes of two-byte code points among which there is no white space (U+0085 and U+00A0 begin with C2).
 _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
+#: ASCII letters, digits and other visible characters without the apostrophe.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x27] = 0
 
 #: What a worker keeps and works on at once: entries of its table, ids of its pool, bytes of new cuts and of texts.
 SLOTS = 1 << 20
@@ -47,6 +56,20 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def fine_cuts(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """The same and the places between two kinds of ASCII characters, but none that touches a special string."""
+    kind, cut = _KIND[data], np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    raw = data.tobytes() if special else b""
+    for text in special:
+        at = raw.find(text)
+        while at >= 0:
+            cut[at : at + len(text) + 1] = False
+            at = raw.find(text, at + 1)
+    cut[cuts(data, offsets)] = True
+    return np.flatnonzero(cut)
+
+
 def checked_tokenizer(path: str):
     """The tokenizer without truncation and padding; cutting needs a byte-level rule and plain special tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,30 +90,68 @@ def checked_tokenizer(path: str):
 class Encoder:
     """Token ids of cuts, remembered in a table of SLOTS entries and a pool of ids of bounded size."""
 
-    def __init__(self, path: str, keep_ids: bool):
+    def __init__(self, path: str, keep_ids: bool, plain: bool = False):
+        """With `plain`, strings of special tokens are plain text."""
         self.tokenizer, self.keep_ids = checked_tokenizer(path), keep_ids
+        self.tokenizer.encode_special_tokens = plain
+        said = self.tokenizer.get_vocab(with_added_tokens=True)
+        # A byte-level token has a character for every byte, an added one its own text.
+        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = [t for t in added.values() if t]
+        self.sizes = np.zeros(max(said.values(), default=0) + 1, np.int64)
+        for token, i in said.items():
+            self.sizes[i] = len(added.get(i, token))
         self.keys = np.zeros((2, SLOTS), np.uint64)
         self.length = np.zeros(SLOTS, np.int32)
         self.at = np.zeros(SLOTS, np.int64)
         self.pool, self.used = np.zeros(1 << 20 if keep_ids else 0, np.uint32), 0
 
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return fine_cuts(data, offsets, self.special)
+
+    def _joined(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Numbers of tokens and ids of cuts encoded as one text; none where its tokens do not end with the cuts.
+
+        A line feed, a token of its own between visible characters, stands before a cut without white space.
+        """
+        apart = ~_SPACE[data[start]]
+        size = end - start + apart
+        stop = np.cumsum(size)
+        text = data[np.arange(stop[-1]) + np.repeat(start - apart - (stop - size), size)]
+        text[(stop - size)[apart]] = 0x0A
+        found = self.tokenizer.encode_batch_fast([text.tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+        ids = np.array(found, np.uint32)
+        ends = np.cumsum(self.sizes[ids])
+        feeds = (stop - size)[apart] + 1
+        last, feed = np.searchsorted(ends, stop), np.searchsorted(ends, feeds)
+        if ends[-1:].tolist() != stop[-1:].tolist() or (ends[last] != stop).any() or (ends[feed] != feeds).any():
+            return None
+        return np.diff(last, prepend=-1) - apart, np.delete(ids, feed)
+
+    def _one_by_one(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist())]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in found], np.int64)
+        return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+
     def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and pool places of new cuts, in batches of about equal bytes."""
         lengths, at = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
-        batch = (np.cumsum(end - start) // ENCODE_BYTES).astype(np.int64)
-        edges = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(start)]
-        raw = data.tobytes()
-        for a, b in zip(edges, edges[1:]):
-            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[a:b].tolist(), end[a:b].tolist())]
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            lengths[a:b] = [len(x) for x in found]
-            if self.keep_ids:
-                ids = np.fromiter(chain.from_iterable([x.ids for x in found]), np.uint32, int(lengths[a:b].sum()))
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), np.uint32)])
-                self.pool[self.used : self.used + len(ids)] = ids
-                at[a:b] = self.used + np.cumsum(lengths[a:b]) - lengths[a:b]
-                self.used += len(ids)
+        first, last = data[start], data[end - 1]
+        two = (end - start > 1) & (last >= 0x80) & _LEAD[data[np.maximum(end - 2, 0)]]
+        whole = (_SPACE[first] | _VISIBLE[first]) & (_VISIBLE[last] | two)  # may stand beside others in one text
+        for can, way in ((whole, self._joined), (~whole, self._one_by_one)):
+            some = np.flatnonzero(can)
+            batch = (np.cumsum((end - start)[some]) // ENCODE_BYTES).astype(np.int64)
+            for own in np.split(some, np.flatnonzero(np.diff(batch)) + 1) if len(some) else []:
+                n, ids = way(data, start[own], end[own]) or self._one_by_one(data, start[own], end[own])
+                lengths[own] = n
+                if self.keep_ids:
+                    if self.used + len(ids) > len(self.pool):
+                        self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 2), np.uint32)])
+                    self.pool[self.used : self.used + len(ids)] = ids
+                    at[own] = self.used + np.cumsum(n) - n
+                    self.used += len(ids)
         return lengths, at
 
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +196,7 @@ def encoded_chunks(column: pa.Array, path: str, keep_ids: bool) -> Iterator[tupl
     """(first row, end row, tokens of each text, encoder, (lengths, pool places) of its cuts) for chunks of a column."""
     coder = encoder(path, keep_ids)
     for a, b, data, offsets in chunks(column, TEXT_BYTES):
-        start = cuts(data, offsets)
+        start = coder.cuts(data, offsets)
         end = np.append(start[1:], len(data)) if len(start) else start
         length, at = coder.encode(data, start, end)
         yield a, b, row_sums(length, np.searchsorted(start, offsets)), coder, (length, at)
