@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import stored, tasks, written
-from .tokens import PLAIN, checked_tokenizer, cuts
+from .tokens import PLAIN, Encoder, cuts, row_sums
 from .words import byte_hashes
 
 LONG, FAN = 1 << 16, 8
@@ -154,8 +154,8 @@ class Sides:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = checked_tokenizer(path_a)
-        self.a.encode_special_tokens = True
+        self.coder = Encoder(path_a, keep_ids=True, plain=True)
+        self.a = self.coder.tokenizer
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(size)]
@@ -190,17 +190,38 @@ class Sides:
             return Tokens([], [])
         return self._read(self.b.encode(raw[1:].decode("utf-8", "replace")), self.bytes_b, raw, at)
 
+    def _ids_a(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the first side's ids of every text and the ids."""
+        start = self.coder.cuts(data, offsets)
+        length, at = self.coder.encode(data, start, np.append(start[1:], len(data)))
+        stop = np.cumsum(length, dtype=np.int64)
+        ids = self.coder.pool[np.arange(stop[-1]) + np.repeat(at - (stop - length), length)].astype(np.int32)
+        return row_sums(length, np.searchsorted(start, offsets)), ids
+
     def _encode(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether both sides read cuts back, the numbers of their ids and where these lie in the pools."""
-        texts = [raw.decode("utf-8", "replace") for raw in raws]
-        ids = [[x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64)
+        found = [self._ids_a(data, offsets), self.b.encode([raw.decode("utf-8", "replace")[1:] for raw in raws], num_threads=1)]
         good = np.ones(len(raws), bool)
-        for own, table in zip(ids, (self.bytes_a, self.bytes_b)):
-            good &= [b"".join([table[i] for i in x]) == raw for x, raw in zip(own, raws)]
+        ids, counts = [], []
+        for own, table, sizes in zip(found, (self.bytes_a, self.bytes_b), self.sizes):
+            if isinstance(own, tuple):
+                n, flat_ids = own
+            else:
+                n = np.array([len(x) for x in own], np.int64)
+                flat_ids = np.fromiter(chain.from_iterable(own), np.int32, int(n.sum()))
+            stop = np.cumsum(n)
+            run = np.concatenate([[0], np.cumsum(sizes[flat_ids])])
+            if (run[stop] != offsets[1:]).any() or b"".join([table[i] for i in flat_ids.tolist()]) != data.tobytes():
+                parts = np.split(flat_ids, stop[:-1])
+                good &= [b"".join([table[i] for i in x.tolist()]) == raw for x, raw in zip(parts, raws)]
+            ids.append(flat_ids)
+            counts.append(n)
         length, at = np.zeros((2, len(raws)), np.int32), np.zeros((2, len(raws)), np.int64)
-        for k, own in enumerate(ids):
-            length[k] = [len(x) if g else 0 for x, g in zip(own, good)]
-            flat_ids = np.fromiter(chain.from_iterable([x for x, g in zip(own, good) if g]), np.int32, int(length[k].sum()))
+        for k, (n, own) in enumerate(zip(counts, ids)):
+            length[k] = np.where(good, n, 0)
+            flat_ids = own[np.repeat(good, n)]
             if self.used[k] + len(flat_ids) > len(self.pools[k]):
                 self.pools[k] = np.concatenate([self.pools[k], np.zeros(max(len(flat_ids), len(self.pools[k]) // 2), np.int32)])
             self.pools[k][self.used[k] : self.used[k] + len(flat_ids)] = flat_ids
@@ -287,7 +308,9 @@ def aligned(side: Sides, raws: list[bytes]) -> Texts:
         run = np.concatenate([[0], np.cumsum(side.sizes[k][own])])
         ids.append(own)
         ends.append(run[1:] + np.repeat(start - run[stop - length[k]], length[k]))
-    marks = np.union1d(*ends)
+    marks = np.concatenate(ends)
+    marks.sort(kind="stable")  # two sorted runs
+    marks = marks[np.diff(marks, prepend=-1) > 0]
     in_a, in_b = (np.searchsorted(e, marks) for e in ends)
     common = marks[(ends[0][in_a] == marks) & (ends[1][in_b] == marks)]
     code = (np.searchsorted(offsets, marks) - 1) << 48 | ids[0][in_a].astype(np.int64) << SHIFT | ids[1][in_b]

@@ -7,10 +7,10 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from pingscape.llm import tokens
+from pingscape.llm import alignment, tokens
 from pingscape.llm.words import text_bytes
 
-A = public_tokenizers.path("byte_bpe_50k.json")
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = [
     "a", "Zz", "they", "7", "42", "'", "'s", "'ll", "''", "’", ".", "?!", "<|", "|>", "<|endoftext|>", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1f",
     "\x00", "\x7f", "é", "ß", "é", "日本", "\u0085", " ", "　", "🙂", "½", "_", "-", "▁",
@@ -68,3 +68,16 @@ def test_bytes_that_are_no_text_are_encoded_cut_by_cut():
     length, _ = coder.encode(data, start, np.append(start[1:], len(data)))
     counts = tokens.row_sums(length, np.searchsorted(start, offsets)).tolist()
     assert counts == [len(coder.tokenizer.encode(r.decode("utf-8", "replace"), add_special_tokens=False).ids) for r in raws]
+
+
+def test_new_cuts_of_an_alignment_are_encoded_as_one_text():
+    side = alignment.Sides(A, B)
+    side.coder.tokenizer = Counting(side.a)
+    raws = [" ".join(["", *[f"u{chr(97 + i % 26)}{chr(97 + i // 26)}v{end}" for i in range(300)]]).encode() for end in ("", ",", ".")]
+    found = alignment.aligned(side, raws)
+    assert side.coder.tokenizer.texts <= 3
+    assert found.good.all()
+    assert found.n_a.tolist() == [len(side.a.encode(r.decode(), add_special_tokens=False).ids) for r in raws]
+    assert found.n_b.tolist() == [len(side.b.encode(r.decode()[1:])) for r in raws]
+    mixed = alignment.aligned(side, [" fine".encode(), " a▁b".encode(), " ok �".encode(), b" no \xff"])
+    assert mixed.good.tolist() == [True, False, True, False]
