@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.checkpoints import checkpoint_dir
 from ..operators.checkpoints import cut as stored
 
-__all__ = ["key_of", "small_batches", "stored", "tasks", "without", "written"]
+__all__ = ["few", "key_of", "small_batches", "stored", "tasks", "without", "written"]
 
 #: Spark's setting for the bytes of an Arrow batch, its default, and what whole texts are sent in.
 BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
@@ -47,6 +47,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def few(df: DataFrame) -> bool:
+    """Whether a stored table has so few rows of keys that joins may broadcast it instead of dealing out both sides."""
+    return df.count() <= MOST_KEYS
+
+
 def without(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of a table with doc_id and text whose (doc_id, text_key) is not in `keys`; null ids are ids.
 

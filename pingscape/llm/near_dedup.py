@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import bit_map, marked
-from .frames import key_of, stored
+from .frames import few, key_of, stored
 from .graph import relabelled
 from .words import SPACED_LOWER, Words, as_long, chunks, mix, seeded
 
@@ -97,22 +97,18 @@ def _texts_of(documents: DataFrame, wanted) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            yield batch.filter(pa.array(marked(wanted.value, h)))
+            kept = pa.array(marked(wanted.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)))
+            yield batch.select([0, 1]).filter(kept)
 
-    return documents.filter("doc_id is not null").mapInArrow(pick, "doc_id long, text string")
-
-
-def _hashed(ids: DataFrame, column: str) -> DataFrame:
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([as_long(mix(batch.column(0).to_numpy().view(np.uint64)))], names=["mark"])
-
-    return ids.select(column).mapInArrow(spread, "mark long")
+    rows = documents.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("mark"))
+    return rows.mapInArrow(pick, "doc_id long, text string")
 
 
 def confirmed(spark: SparkSession, documents: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(a, b, same, all): intersection and union of the full shingle sets of every pair, from both whole texts."""
+    """(a, b, same, all): intersection and union of the full shingle sets of every pair, from both whole texts.
+
+    The pairs must be stored; few are broadcast to the texts of their second nodes.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last = None, None
@@ -134,15 +130,20 @@ def confirmed(spark: SparkSession, documents: DataFrame, pairs: DataFrame, width
                 names=["a", "b", "same", "all"],
             )
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = spark.sparkContext.broadcast(bit_map(_hashed(ids, "id")))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = spark.sparkContext.broadcast(bit_map(ids.select(F.xxhash64("id").alias("mark"))))
     texts = _texts_of(documents, wanted)
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    rows = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    rows = right.join(_sent(pairs.select("a", "b")), "b").join(left, "a").select("a", "b", "text_a", "text_b")
     found = rows.mapInArrow(compare, "a long, b long, same long, all long")
     return found.groupBy("a", "b").agg(F.max_by(F.struct("same", "all"), F.col("same") / F.col("all")).alias("x")).select("a", "b", "x.*")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Stored rows of ids, marked to be broadcast if they are few."""
+    return F.broadcast(rows) if few(rows) else rows
+
+
 def _one_set(raw: bytes, width: int) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8)
     return shingle_sets(data, np.array([0, len(data)]), width)[0]
@@ -162,9 +163,11 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, p
     signed = stored(signatures(docs, width))
     docs = docs.drop("text_key")
     member = signed.filter("doc_id is not null and n > 0")
-    nodes = member.groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    first = member.join(nodes.withColumnRenamed("node", "doc_id"), ["one", "two", "n", "doc_id"]).dropDuplicates(["one", "two", "n", "doc_id"])
-    each = first.select(F.col("doc_id").alias("node"), "copies", F.explode("keys").alias("key"))
+    # A row for every set; equal sets have equal keys and maps.
+    first = stored(member.groupBy("one", "two", "n").agg(
+        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits")
+    ))
+    each = first.select("node", "copies", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.struct(-F.col("copies"), F.col("node"))).alias("pivot")
     ).filter("low <> high").select("key", "pivot")
@@ -176,21 +179,23 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, p
         differ = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS // 64)), F.lit(0))
         return sizes & (differ * (100 + percent) <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
-    maps = first.select(F.col("doc_id").alias("node"), "n", "bits")
+    maps = first.select("node", "n", "bits")
     linked = 100 * F.col("same") >= percent * F.col("all")
     stars = held.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).count()
     x, y = maps.alias("x"), maps.alias("y")
     stars = stars.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(possible("x", "y"))
     stars = stored(stars.select("a", "b", "count"))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
+    best = stored(stars.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"))
     tested = stored(confirmed(spark, docs, best, width))
     labels = relabelled(None, tested.filter(linked))
 
     # The other pivots of a node's keys, where they are not yet in one component.
-    rest = _apart(stars.select("a", "b"), labels).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(confirmed(spark, docs, rest, width))
-    tested = stored(tested.unionByName(more).select("a", "b"))
-    labels = relabelled(labels, more.filter(linked))
+    rest = stored(_apart(stars.select("a", "b"), labels).join(_sent(tested.select("a", "b")), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = stored(confirmed(spark, docs, rest, width))
+        tested = tested.unionByName(more)
+        labels = relabelled(labels, more.filter(linked))
+    tested = tested.select("a", "b")
 
     # Keys that still hold several components: the pairs across them.
     split = _labelled(held.select("key", "node"), "node", "label", labels)
@@ -200,11 +205,11 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, p
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     pairs = x.join(y, across & possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    last = stored(pairs.join(known, ["a", "b"], "left_anti"))
+    last = stored(pairs.join(_sent(known), ["a", "b"], "left_anti"))
     if not last.isEmpty():
         labels = relabelled(labels, stored(confirmed(spark, docs, last, width)).filter(linked))
 
-    sets = _labelled(nodes, "node", "label", labels).select("one", "two", F.col("n").alias("size"), "label")
+    sets = _labelled(first, "node", "label", labels).select("one", "two", F.col("n").alias("size"), "label")
     whole = signed.alias("d").join(
         sets.alias("s"), (F.col("d.one") == F.col("s.one")) & (F.col("d.two") == F.col("s.two")) & (F.col("d.n") == F.col("s.size")), "left"
     )
@@ -217,8 +222,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, width: int = 5, p
 
 def _labelled(rows: DataFrame, node: str, name: str, labels: DataFrame) -> DataFrame:
     """Add the component of a node; a node without links is its own."""
-    own = labels.select(F.col("node").alias("labelled"), F.col("label").alias("found"))
-    return rows.join(own, F.col(node) == F.col("labelled"), "left").withColumn(name, F.coalesce("found", node)).drop("labelled", "found")
+    return rows.join(_sent(labels).toDF("labelled", "found"), F.col(node) == F.col("labelled"), "left").withColumn(name, F.coalesce("found", node)).drop("labelled", "found")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
