@@ -75,9 +75,14 @@ def density_clusters(
         F.explode(_cells_around([F.col(a) for a in AXES], [F.col(a) for a in AXES], chord, side)).alias("c"),
     ).select(*keys, "probe", "py", "px", "c.*")
     target = F.when(F.col("dense"), F.col("cell_node")).otherwise(F.col("place"))
+    # Only dense cells can hold many places, so only what asks for one is repeated by salt.
+    solid_points = points.filter("dense")
+    asking = probes.join(solid_points.select(*cell).distinct(), cell, "left_semi")
+    met = points.filter("NOT dense").join(probes, cell).unionByName(
+        salted_join(solid_points, asking, cell, "inner", spread=["latitude", "longitude"])
+    )
     near = (
-        salted_join(points, probes, cell, "inner", spread=["latitude", "longitude"])
-        .filter(_haversine(F.col("py"), F.col("px"), F.col("y"), F.col("x")) <= limit)
+        met.filter(_haversine(F.col("py"), F.col("px"), F.col("y"), F.col("x")) <= limit)
         .groupBy(*keys, "probe", target.alias("other"), "dense").agg(F.sum("w").alias("w"))
     )
     contacts = cut(near)

@@ -108,8 +108,10 @@ def front_distance(
 
     Points are put into squares.  A day's square carries the lenses that can be nearest to one of its points as an
     array, so a point meets its square once and takes the least distance in an expression.  A point of a day without
-    lenses gives no row.
+    lenses gives no row.  The distances are stored: they cost much for few bytes, so points are dealt to all shuffle
+    partitions and whoever reads the result several times does not work them out again.
     """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     px = x_km(F.col("longitude_center"), lat0)
     py = y_km(F.col("latitude_center"))
     # points are read for their squares and for their distances, so they are stored once
@@ -117,9 +119,9 @@ def front_distance(
         {"area_x": grid_cell(F.col("x"), area), "area_y": grid_cell(F.col("y"), area)}
     ))
     near = _area_lenses(placed.select(*SQUARE).distinct(), _tiles(lenses, area), area, radius)
-    joined = reference_join(placed, near, SQUARE, "inner", spread=keys)
+    joined = reference_join(placed.repartition(parts, *keys), near, SQUARE, "inner", spread=keys)
     distance = lambda n: lens_distance(F.col("x"), F.col("y"), n["ax"], n["ay"], n["bx"], n["by"], radius)
-    return joined.select(*keys, F.array_min(F.transform("lenses", distance)).alias("distance_to_front"))
+    return cut(joined.select(*keys, F.array_min(F.transform("lenses", distance)).alias("distance_to_front")))
 
 
 SQUARE = ["day", "area_x", "area_y"]
